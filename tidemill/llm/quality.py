@@ -1,7 +1,7 @@
 """Quality by weak supervision, in DataFrame operations alone.
 
 Each rule votes for a text (1), against it (-1) or abstains (0). Expectation-maximisation over the votes estimates how
-often each rule votes either way on good and on bad texts, and the share of good ones; it needs the vote patterns' counts
+often each rule votes either way on good and on bad texts; it needs the vote patterns' counts
 only, of which there are at most 3 ** rules. The posterior probability of a good text then is a sum of log ratios.
 """
 
@@ -22,11 +22,17 @@ RULES = [
     ("length", "n_words", (50, 1e12), (20, 1e12)),
     ("word_length", "mean_word", (3.0, 9.0), (2.0, 14.0)),
     ("symbols", "symbols_per_word", (-1.0, 0.05), (-1.0, 0.3)),
+    ("symbol_chars", "symbol_share", (-1.0, 0.01), (-1.0, 0.05)),
     ("lines", "dup_line_share", (-1.0, 0.05), (-1.0, 0.3)),
     ("repeats", "repeat_share", (-1.0, 0.05), (-1.0, 0.3)),
     ("line_words", "words_per_line", (5.0, 1e12), (2.0, 1e12)),
 ]
 
+#: Vote -> (its prior probability on good texts, on bad ones).
+PRIOR = {-1: (0.01, 0.2), 0: (0.04, 0.05), 1: (0.95, 0.75)}
+#: The assumed share of good texts.
+BALANCE = 0.8
+
 
 def _bound(value: Column, f) -> Column:
     """f(value), with value computed once however often f uses it."""
@@ -74,7 +80,7 @@ def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
 def measures(feats: DataFrame) -> DataFrame:
     per = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    return feats.select("*", per("word_chars", "n_words").alias("mean_word"), per("n_symbols", "n_words").alias("symbols_per_word"), per("n_dup_lines", "n_lines").alias("dup_line_share"), per("n_repeat_words", "n_words").alias("repeat_share"), per("n_words", "n_lines").alias("words_per_line"))
+    return feats.select("*", per("word_chars", "n_words").alias("mean_word"), per("n_symbols", "n_words").alias("symbols_per_word"), per("n_symbols", "word_chars").alias("symbol_share"), per("n_dup_lines", "n_lines").alias("dup_line_share"), per("n_repeat_words", "n_words").alias("repeat_share"), per("n_words", "n_lines").alias("words_per_line"))
 
 
 def vote(rule: tuple) -> Column:
@@ -83,28 +89,30 @@ def vote(rule: tuple) -> Column:
     return F.when((x < least) | (x > most), -1).when((x >= lo) & (x <= hi), 1).otherwise(0)
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, settled: float = 1e-9) -> tuple[float, list[dict[int, tuple[float, float]]]]:
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, settled: float = 1e-9, belief: float = 0.1, balance: float = BALANCE) -> tuple[float, list[dict[int, tuple[float, float]]]]:
     """Expectation-maximisation over vote patterns and their counts.
 
-    Returns the share of good texts and, for each rule, vote -> (its probability on good texts, on bad ones). It starts from
-    the majority of votes. Smoothing by one text keeps every probability above 0. Without patterns all is even.
+    Returns the assumed share of good texts and, for each rule, vote -> (its probability on good texts, on bad ones). It starts from
+    the filter that the posterior replaces: texts without a vote against are likely good, others likely not. A prior of
+    `belief` times the texts says what a rule is for - votes against are rare on good texts, common on bad ones - lest the
+    classes settle on two rules that merely go together; it also keeps every probability above 0.
     """
     n = len(patterns[0][0]) if patterns else 0
-    good = [0.5 + 0.45 * (s > 0) - 0.45 * (s < 0) if (s := sum(v) - 2 * sum(x < 0 for x in v)) else 0.5 for v, _ in patterns]
-    share, tables = 0.5, [{v: (1 / 3, 1 / 3) for v in (-1, 0, 1)} for _ in range(n)]
+    good = [0.1 if min(v, default=0) < 0 else 0.9 for v, _ in patterns]
+    share, tables = balance, [PRIOR for _ in range(n)]
     before = None
     for _ in range(rounds):
         total = sum(c for _, c in patterns)
+        weight = max(1.0, belief * total)
         g = sum(p * c for p, (_, c) in zip(good, patterns))
         b = total - g
-        share = (g + 1) / (total + 2) if total else 0.5
         tables = []
         for j in range(n):
-            at = {v: [1.0, 1.0] for v in (-1, 0, 1)}
+            at = {v: [weight * x for x in PRIOR[v]] for v in (-1, 0, 1)}
             for p, (votes, c) in zip(good, patterns):
                 at[votes[j]][0] += p * c
                 at[votes[j]][1] += (1 - p) * c
-            tables.append({v: (x / (g + 3), y / (b + 3)) for v, (x, y) in at.items()})
+            tables.append({v: (x / (g + weight), y / (b + weight)) for v, (x, y) in at.items()})
         logit = [math.log(share / (1 - share)) + sum(math.log(tables[j][v][0] / tables[j][v][1]) for j, v in enumerate(votes) if v) for votes, _ in patterns]
         good = [1 / (1 + math.exp(-max(-700, min(700, x)))) for x in logit]
         if before is not None and max((abs(x - y) for x, y in zip(good, before)), default=0) < settled:
@@ -136,6 +144,6 @@ def judge_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     rows = voted.groupBy(*names).count().collect()  # 3 ** rules at most
     share, tables = estimate(sorted((tuple(r[n] for n in names), r["count"]) for r in rows))
     if not tables:
-        tables = [{v: (1 / 3, 1 / 3) for v in (-1, 0, 1)} for _ in rules]
+        tables = [PRIOR for _ in rules]
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return voted.withColumn("quality", posterior(share, tables, names)).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("quality") >= threshold))

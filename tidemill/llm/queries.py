@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, packing, quality, simhash, warc
+from . import decontam, licenses, packing, quality, rans, simhash, warc
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.encoded(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge_quality(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "quality", "base_failed", "kept")
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": op1_decontamination,
         "op2_packing": op2_packing,
         "op4_license_scan": op4_license_scan,
+        "op5_token_ids": op5_token_ids,
         "op7_quality_rules": op7_quality_rules,
         "op8_warc": op8_warc,
         "op10_simhash": op10_simhash,
