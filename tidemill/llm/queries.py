@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, packing, quality, rans, simhash, warc
+from . import decontam, kneser_ney, licenses, packing, quality, rans, simhash, warc
 from .common import table
 
 
@@ -42,6 +42,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_ids": op5_token_ids,
         "op7_quality_rules": op7_quality_rules,
         "op8_warc": op8_warc,
+        "op9_lm_scoring": op9_lm_scoring,
         "op10_simhash": op10_simhash,
     }
 
