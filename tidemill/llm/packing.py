@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, stored
-from .tokens import ChunkEncoder
+from .tokens import encoder
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -133,7 +133,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id:
     step = 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = ChunkEncoder(spec.value)
+        enc = encoder(spec.value)
         for batch in slices(batches):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             rows, piece, start, length, crc, ids = [], [], [], [], [], []

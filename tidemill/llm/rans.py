@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch, slices
-from .tokens import ChunkEncoder
+from .tokens import encoder
 
 MAGIC, TABLE = b"TMRANS1\n", b"TMFREQ1\n"
 SCALE, LANES = 20, 1024
@@ -149,7 +149,7 @@ def tokenized(docs: DataFrame, tokenizer: str, *, end_id: int = 2, block_ids: in
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = ChunkEncoder(spec.value)
+        enc = encoder(spec.value)
         part, seq, at = TaskContext.get().partitionId(), 0, 0
         names: list = []
         held: list[bytes] = []

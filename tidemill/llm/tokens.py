@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -122,6 +123,12 @@ class ChunkEncoder:
         return [(next(heads) if f else b"") + b"".join(map(get, w)) for f, w in zip(firsts, cut)]
 
 
+@lru_cache(maxsize=2)
+def encoder(spec: str) -> ChunkEncoder:
+    """One encoder for all tasks that a worker runs, so that each starts with the pieces of those before."""
+    return ChunkEncoder(spec)
+
+
 def _joined(pieces: list[str]) -> list[str]:
     """Pieces between single spaces, so joined that each but the first starts with no white space."""
     out: list[str] = []
