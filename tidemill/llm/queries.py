@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, kneser_ney, licenses, packing, quality, rans, simhash, warc
+from . import decontam, kneser_ney, licenses, packing, quality, rans, simhash, toxicity, warc
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.encoded(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge_quality(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "quality", "base_failed", "kept")
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": op2_packing,
         "op4_license_scan": op4_license_scan,
         "op5_token_ids": op5_token_ids,
+        "op6_toxicity": op6_toxicity,
         "op7_quality_rules": op7_quality_rules,
         "op8_warc": op8_warc,
         "op9_lm_scoring": op9_lm_scoring,
