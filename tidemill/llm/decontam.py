@@ -150,25 +150,26 @@ def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list[SuffixA
     return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 10, block_bytes: int = 8 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
     """Where benchmark windows occur in documents: one row per row of docs.
 
     Columns: doc_id, text, n_words (long), n_hit (long: words inside any occurrence of a window), spans (maximal
-    runs of hit words: first and last, from 0), items (ids of the items whose windows occur, as strings, sorted).
+    runs of hit words: first and last, from 0), items (ids of the items whose windows occur, as strings, sorted),
+    and the columns of docs named in keep.
 
     Null and empty texts have no words and no hits. Items without words are ignored; an item shorter than the window
     is a window as a whole. Equal items are all named. Repeated documents give repeated rows. An empty benchmark
-    gives no hits, an empty docs an empty result. Columns other than the two named are not looked at.
+    gives no hits, an empty docs an empty result. Columns that aren't named are not looked at.
     """
     spark = docs.sparkSession
-    out = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast(_SPANS).alias("spans"), F.lit(None).cast("array<string>").alias("items"), F.col(f"`{text_col}`").alias("text"))
+    out = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{id_col}`").alias("doc_id"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast(_SPANS).alias("spans"), F.lit(None).cast("array<string>").alias("items"), F.col(f"`{text_col}`").alias("text"))
     for k, automaton in enumerate(_blocks(benchmark, window, block_bytes)):
         shared = spark.sparkContext.broadcast(automaton)
         out = out.mapInArrow(_finder(shared, out.schema), out.schema)
         if k % 16 == 15:
             out = stored(out, "leaks")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["last"] - s["first"] + 1)
-    return out.select("doc_id", "text", "n_words", F.coalesce(n_hit, F.lit(0).cast("long")).alias("n_hit"), F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return out.select(*[F.col(f"`{c}`") for c in keep], "doc_id", "text", "n_words", F.coalesce(n_hit, F.lit(0).cast("long")).alias("n_hit"), F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def _finder(shared, schema):
@@ -197,7 +198,7 @@ def _finder(shared, schema):
                 more |= {(s["first"], s["last"]) for s in spans[row] or ()}
                 spans[row] = [{"first": x, "last": y} for x, y in merged(more)]
                 items[row] = sorted(of.union(items[row] or ()))
-            cols = [batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(spans, batch.column("spans").type), pa.array(items, batch.column("items").type), batch.column("text")]
+            cols = [*batch.columns[:-4], pa.array(np.diff(bounds)), pa.array(spans, batch.column("spans").type), pa.array(items, batch.column("items").type), batch.column("text")]
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
     return find
@@ -215,25 +216,34 @@ def merged(spans: set[tuple[int, int]]) -> list[list[int]]:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 10, max_coverage: float = 0.5, block_bytes: int = 8 << 20) -> DataFrame:
-    """docs (doc_id, text) without the spans that occur in the benchmark.
+    """docs without the spans that occur in the benchmark.
 
     A span of hit words goes, with what stands between its words; what stands around it stays, with a line's end in
-    its place. A document more than `max_coverage` of whose words are hit goes as a whole. Columns: doc_id, text,
-    n_words, n_hit, removed (what was cut out, joined by line ends; null where nothing was). Nulls and ties: see find_leaks.
+    its place. A document more than `max_coverage` of whose words are hit goes as a whole. Columns: those of docs, then n_words, n_hit and
+    removed (what was cut out, joined by line ends; null where nothing was); docs' own columns of these names are dropped. Nulls and ties: see find_leaks.
     """
-    found = find_leaks(docs, benchmark, id_col=id_col, text_col=text_col, window=window, block_bytes=block_bytes)
-    found = found.where(F.col("n_hit") <= F.lit(max_coverage) * F.greatest("n_words", F.lit(1)))
+    own = ("n_words", "n_hit", "removed", "spans", "items")
+    rest = tuple(c for c in docs.columns if c not in (id_col, text_col, *own))
+    order = [F.col(f"`{c}`") if c in rest else F.col("doc_id" if c == id_col else "text").alias(c) for c in docs.columns if c not in own]
+    # names that find_leaks gives are free, as id_col and text_col are set apart
+    plain = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`").alias(f"_kept_{i}") for i, c in enumerate(rest)])
+    found = find_leaks(plain, benchmark, id_col="_id", text_col="_text", window=window, block_bytes=block_bytes, keep=tuple(f"_kept_{i}" for i in range(len(rest))))
+    found = found.where(F.col("n_hit") <= F.lit(max_coverage) * F.greatest("n_words", F.lit(1))).drop("items")
 
     def cut(batches):
-        for batch in slices(batch.select(["doc_id", "n_words", "n_hit", "spans", "text"]) for batch in batches):
+        for batch in batches:
             texts, removed = batch.column("text").to_pylist(), [None] * batch.num_rows
             for k, spans in enumerate(batch.column("spans").to_pylist()):
                 if spans:
                     texts[k], removed[k] = without(texts[k].encode(), [(s["first"], s["last"]) for s in spans])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), batch.column("n_words"), batch.column("n_hit"), pa.array(removed, pa.string())], names=["doc_id", "text", "n_words", "n_hit", "removed"])
-
-    kind = found.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(cut, f"doc_id {kind}, text string, n_words long, n_hit long, removed string")
+            new = {"text": pa.array(texts, pa.string()), "spans": pa.array(removed, pa.string())}
+            yield pa.RecordBatch.from_arrays([new.get(n, c) for n, c in zip(batch.schema.names, batch.columns)], names=["removed" if n == "spans" else n for n in batch.schema.names])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" if f.name != "spans" else "removed string" for f in found.schema)
+    out = found.mapInArrow(cut, schema)
+    for i, c in enumerate(rest):
+        out = out.withColumnRenamed(f"_kept_{i}", c)
+    return out.select(*order, "n_words", "n_hit", "removed")
 
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> tuple[str, str]:

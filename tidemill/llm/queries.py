@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, kneser_ney, licenses, packing, quality, rans, simhash, toxicity, warc
+from . import decontam, kneser_ney, licenses, packing, quality, rans, simhash, substrings, toxicity, warc
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
 
@@ -55,10 +60,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_packing": op2_packing,
+        "op3_substrings": op3_substrings,
         "op4_license_scan": op4_license_scan,
         "op5_token_ids": op5_token_ids,
         "op6_toxicity": op6_toxicity,
@@ -66,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_simhash": op10_simhash,
+        "pipeline": pipeline,
     }
 
 
