@@ -24,11 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, slices
+from .common import scratch, slices, small_batches
 from .tokens import encoder
 
 MAGIC, TABLE = b"TMRANS1\n", b"TMFREQ1\n"
-SCALE, LANES = 20, 1024
+SCALE, LANES = 20, 4096
 LOW = np.uint64(1 << 31)
 HEAD = struct.Struct("<4sIIIQIIII")  # mark, documents, ids, lanes, first id, bytes of documents, words, crc32 of ids, crc32 of what follows
 ENTRY, FOOT = struct.Struct("<QQQI"), struct.Struct("<QII8s")
@@ -46,7 +46,8 @@ class Model:
     @property
     def slots(self) -> np.ndarray:
         if self._slots is None:
-            self._slots = np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq.astype(np.int64))
+            kind = np.uint16 if len(self.freq) <= 1 << 16 else np.uint32  # the smaller, the better it is cached
+            self._slots = np.repeat(np.arange(len(self.freq), dtype=kind), self.freq.astype(np.int64))
         return self._slots
 
 
@@ -142,8 +143,11 @@ def unpack_docs(raw: bytes, n: int) -> tuple[list[int | None], np.ndarray]:
     return [None if z else x for x, z in zip(np.frombuffer(raw, "<i8", n).tolist(), null.tolist())], np.frombuffer(raw, "<u8", n, 8 * n).astype(np.int64)
 
 
-def tokenized(docs: DataFrame, tokenizer: str, *, end_id: int = 2, block_ids: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents in ascending order of doc_id, null first, as rows (part, seq, at, n, n_docs, docs, ids) of whole documents each."""
+def tokenized(docs: DataFrame, tokenizer: str, *, end_id: int = 2, block_ids: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents in ascending order of doc_id, null first, as rows (part, seq, at, n, n_docs, docs, width, ids) of whole documents each.
+
+    Each task ends with a row of seq -1 that has no documents but the counts of its ids: symbols and counts.
+    """
     with open(tokenizer, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     end = int(end_id).to_bytes(4, "little")
@@ -154,15 +158,21 @@ def tokenized(docs: DataFrame, tokenizer: str, *, end_id: int = 2, block_ids: in
         names: list = []
         held: list[bytes] = []
         n = 0
+        total = np.zeros(1, np.int64)
 
         def row():
             lengths = [len(x) // 4 for x in held]
+            nonlocal total
             small = np.frombuffer(b"".join(held), "<u4")
+            own = np.bincount(small, minlength=len(total))
+            own[: len(total)] += total
+            total = own
             if len(small) and small.max() < 1 << 16:
                 small = small.astype("<u2")
-            cols = [[part], [seq], [at], [n], [len(names)], [pack_docs(names, lengths)], [small.itemsize], [small.tobytes()]]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["part", "seq", "at", "n", "n_docs", "docs", "width", "ids"])
+            return written(part, seq, at, n, len(names), pack_docs(names, lengths), small.itemsize, small.tobytes(), None, None)
+
+        def written(*values):
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=[x.split()[0] for x in schema.split(", ")])
 
         for b in slices(batches):
             for doc, raw in zip(b.column(0).to_pylist(), enc.encode([x or "" for x in b.column(1).to_pylist()])):
@@ -174,26 +184,21 @@ def tokenized(docs: DataFrame, tokenizer: str, *, end_id: int = 2, block_ids: in
                     names, held, seq, at, n = [], [], seq + 1, at + n, 0
         if names:
             yield row()
+        ids = np.flatnonzero(total)
+        yield written(part, -1, 0, 0, 0, None, None, None, ids.tolist(), total[ids].tolist())
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return rows.mapInArrow(run, "part int, seq int, at long, n long, n_docs int, docs binary, width int, ids binary")
+    schema = "part int, seq int, at long, n long, n_docs int, docs binary, width int, ids binary, symbols array<int>, counts array<long>"
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    return rows.mapInArrow(run, schema)
 
 
 def _frequencies(tokens: DataFrame) -> np.ndarray:
     """Counts of all symbols; as many rows as the vocabulary has come to the driver."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, np.int64)
-        for b in batches:
-            for width, raw in zip(b.column(0).to_pylist(), b.column(1)):
-                own = np.bincount(np.frombuffer(raw.as_py(), f"<u{width}"), minlength=len(total))
-                own[: len(total)] += total
-                total = own
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
-
-    rows = tokens.select("width", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    pairs = tokens.where("seq = -1").select(F.explode(F.arrays_zip("symbols", "counts")).alias("x"))
+    rows = pairs.groupBy(F.col("x.symbols").alias("id")).agg(F.sum("x.counts").alias("n")).toArrow()
     ids, n = rows.column("id").to_numpy(), rows.column("n").to_numpy()
     counts = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int64)
     counts[ids] = n
@@ -208,6 +213,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 2, id
     runs again writes it anew.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     kept = scratch(spark, "tokens")
     tokenized(docs, tokenizer, end_id=end_id, id_col=id_col, text_col=text_col).write.option("compression", "zstd").parquet(kept)
     tokens = spark.read.parquet(kept)
@@ -247,7 +253,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 2, id
             fs.move(f"{name}.{attempt}", name)
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(index)], pa.int64())], names=["file", "blocks"])
 
-    tokens.mapInArrow(write, "file string, blocks long").agg(F.sum("blocks")).collect()
+    tokens.where("seq >= 0").drop("symbols", "counts").mapInArrow(write, "file string, blocks long").agg(F.sum("blocks")).collect()
     return total
 
 
@@ -286,11 +292,11 @@ def read_ids(spark: SparkSession, path: str, *, with_ids: bool = True) -> DataFr
             for content in b.column(0):
                 for block in blocks_of(content.as_py()):
                     first, doc_ids, lengths, ids = unpack_block(block, model)
-                    raw = ids.astype("<u4").tobytes()
+                    raw = memoryview(ids.astype("<u4").tobytes())
                     ends = np.cumsum(lengths)
                     parts = [raw[4 * a : 4 * z] for a, z in zip((ends - lengths).tolist(), ends.tolist())]
                     cols = [pa.array(doc_ids, pa.int64()), pa.array(first + ends - lengths), pa.array(lengths), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(cols + [pa.array(parts, pa.binary())] * with_ids, names=["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
+                    yield pa.RecordBatch.from_arrays(cols + ([pa.array([bytes(x) for x in parts], pa.binary())] if with_ids else []), names=["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(path).select("content")
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)

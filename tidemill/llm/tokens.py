@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from collections.abc import Iterable
@@ -13,6 +14,10 @@ from tokenizers import Tokenizer
 _GAP = re.compile(r" (?=\s|$)")
 
 
+#: The byte alphabet of byte-level tokenizers: printable bytes stand for themselves, the others for characters from 256 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: chr(b) if b in _PRINTED else chr(256 + sum(x not in _PRINTED for x in range(b))) for b in range(256)}
+
 #: Letters, then signs, and perhaps the same once more after a line's end: each run is one pretoken in either kind of
 #: pattern, and letters of these blocks compose with nothing here.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([#*$%&|<>,.;:!?]*)(?:\n([A-Za-zÀ-ÖØ-öø-ÿ]+)([#*$%&|<>,.;:!?]*))?")
@@ -30,25 +35,19 @@ class ChunkEncoder:
     not bear upon results.
     """
 
-    def __init__(self, spec: str, keep: int = 600_000, dtype: str = "<u4"):
+    def __init__(self, spec: str, keep: int = 500_000, dtype: str = "<u4"):
         self.lib, self.keep, self.dtype = Tokenizer.from_str(spec), keep, dtype
         told = json.loads(spec)
         pre, norm = told.get("pre_tokenizer") or {}, told.get("normalizer")
         self.kind = "whole"
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not norm:
-            vocab = self.lib.get_vocab(with_added_tokens=True)
-            self.edge = np.zeros(max(vocab.values()) + 1, bool)
-            self.edge[[i for t, i in vocab.items() if t[:1] == "Ġ"]] = True
-            self.line = np.zeros(len(self.edge), bool)
-            self.line[vocab.get("Ċ", 0)] = True
             self.kind = "led"
         elif pre.get("type") == "Sequence" and (s := pre["pretokenizers"][0]).get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert"):
-            end = told["model"].get("end_of_word_suffix")
-            if end:
-                vocab = self.lib.get_vocab(with_added_tokens=True)
-                self.edge = np.zeros(max(vocab.values()) + 1, bool)
-                self.edge[[i for t, i in vocab.items() if t.endswith(end)]] = True
-                self.kind = "dropped"
+            self.kind = "dropped"
+        vocab = self.lib.get_vocab(with_added_tokens=True)
+        self.line = vocab.get(_BYTES[10])
+        #: each id's bytes
+        self.raw = [np.array(i, dtype).tobytes() for i in range(max(vocab.values(), default=0) + 1)]
         self.seen: dict[str, bytes] = {}
         self.lines: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
@@ -76,31 +75,38 @@ class ChunkEncoder:
                     cut.append((w, parts))
             else:
                 other.append(w)
-        self._together(list(heads), " ", seen)
-        self._together(list(after), "\n", lines)
+        self._alone(list(heads), " ", seen)
+        self._alone(list(after), "\n", lines)
         if tails := [x for x in tails if x not in self.tails]:
             self.tails.update(zip(tails, self._whole(tails)))
         ends = self.tails
         seen.update([(w, seen[a] + ends[b] + (lines[c] + ends[d] if c else b"")) for w, (a, b, c, d) in cut])
         seen.update(zip(other, self._whole([" " + w for w in other])))
 
-    def _together(self, words: list[str], lead: str, into: dict[str, bytes]) -> None:
-        """Ids of lead + word for words that are one pretoken each."""
-        edge = self.edge if self.kind == "dropped" or lead == " " else self.line
-        for at in range(0, len(words), 5000):
-            some = words[at : at + 5000]
-            ids = np.array(self.lib.encode_batch_fast([lead + lead.join(some)], add_special_tokens=False)[0].ids, self.dtype)
-            marks = np.flatnonzero(edge[ids])
-            starts, ends = (marks, np.append(marks[1:], len(ids))) if self.kind == "led" else (np.append(0, marks[:-1] + 1), marks + 1)
-            if len(marks) == len(some):
-                raw, n = ids.tobytes(), ids.itemsize
-                into.update(zip(some, [raw[a:b] for a, b in zip((starts * n).tolist(), (ends * n).tolist())]))
-            else:
-                into.update(zip(some, self._whole([lead + w for w in some])))
+    def _alone(self, words: list[str], lead: str, into: dict[str, bytes]) -> None:
+        """Ids of lead + word for words that are one pretoken each: straight from the library's model, on the word's byte alphabet."""
+        tokenize, raw = self.lib.model.tokenize, self.raw
+        if self.kind == "dropped":
+            head, start = b"", ""
+            words_ = [w.lower() for w in words]
+        else:
+            head, start = (b"", _BYTES[32]) if lead == " " else (raw[self.line], "")
+            words_ = words
+        for w, x in zip(words, words_):
+            if not x.isascii():
+                x = x.encode().decode("latin-1").translate(_BYTES)
+            into[w] = head + b"".join([raw[t.id] for t in tokenize(start + x)])
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Each text's ids, little-endian, in self.dtype."""
         texts = list(texts)
+        gc.disable()  # pieces make no cycles, and there are many to look through
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if self.kind == "whole":
             return self._whole(texts)
         if len(self.seen) + len(self.lines) + len(self.tails) > self.keep:
