@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import ctypes.util
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -16,6 +18,11 @@ from pyspark.sql import functions as F
 ALNUM = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 _made: dict[str, str] = {}
+try:
+    _libc = ctypes.CDLL(ctypes.util.find_library("c") or "libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # not every C library has it
+    _libc = None
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,6 +65,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most: str = "8m") -> None:
+    """From now on Arrow batches have about that many bytes, so that a worker holds little of long texts at a time. Results don't depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
+def give_back() -> None:
+    """Returns what a task has freed to the system: workers outlive their tasks, and other tasks need the memory."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def binary(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null becomes empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -72,6 +91,7 @@ def slices(batches: Iterable[pa.RecordBatch], most: int = 4 << 20) -> Iterator[p
         step = max(1, most // mean)
         for i in range(0, batch.num_rows, step):
             yield batch.slice(i, step)
+    give_back()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, delete, scratch, slices
+from .common import binary, delete, give_back, scratch, slices, small_batches
 
 BEGIN = np.uint64(xxhash.xxh3_64_intdigest(b"begin", 1))
 END = np.uint64(xxhash.xxh3_64_intdigest(b"end", 1))
@@ -221,6 +221,7 @@ def _merge(path: str, shards: int):
         for to, part in _by_shard(second[0], shards):
             out.append((to, 1, pack(*_gapped([x[part] for x in second]))))
         out.append((s, 2, pack(np.array([(c == k).sum() for k in (1, 2, 3, 4)]))))
+        give_back()
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], names=["shard", "kind", "data"])
 
     return run
@@ -325,6 +326,7 @@ def train(docs: DataFrame, path: str, *, text_col: str = "text", shard_bytes: in
     The number of shards is the texts' size over shard_bytes. An empty docs gives a model that knows no words.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(f"`{text_col}`").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = min(MOST_SHARDS, max(1, -(-size // shard_bytes)))

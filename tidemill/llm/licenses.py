@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, binary, slices
+from .common import ALNUM, binary, slices, small_batches
 
 # Phrases that name a licence by themselves, and the notices that licences ask for.
 PHRASES = {"mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -124,6 +124,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     no words, no labels and score 0; equal labels from several templates count once. Columns other than the two are not looked at.
     """
     phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
+    small_batches(docs.sparkSession)
     frequency = word_frequency(docs, {w for _, t in templates for w in _words(t.encode())}, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(Matcher(templates, frequency, threshold))
     known = [(b" " + b" ".join(_words(p.encode())) + b" ", max(_words(p.encode()), key=len), label) for p, label in phrases.items()]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import slices, small_batches, stored
 from .tokens import encoder
 
 
@@ -126,6 +126,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id:
     tokenizer: path of a tokenizers file, read on the driver. Null is as empty: the end id alone. Columns: doc_id, piece
     (int), start, length (long), ids_crc32 (long), and with_ids ids (binary, unsigned little-endian 32-bit).
     """
+    small_batches(docs.sparkSession)
     with open(tokenizer, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = docs.select(F.col(f"`{id_col}`")).schema[0].dataType.simpleString()

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, slices, stored
+from .common import binary, slices, small_batches, stored
 from .components import components
 
 #: Bit j of a byte becomes 1 in the j-th byte of a word, so that adding words counts bits in eight lanes.
@@ -187,6 +187,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 3, max_bits: int = 3, id_col: s
     class has no other. Empty input: empty result.
     """
     kind = docs.select(F.col(f"`{id_col}`")).schema[0].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):

@@ -5,10 +5,10 @@ anchor. Which string of a repeated passage is its anchor depends on the passage
 anchor at the same distance. An anchor's context is all that a string around it can reach: `length - k` bytes on either side.
   1. Anchors are dealt to shards by their hash. Places with equal context but the first are covered over all of it.
      A task sends on one place of each context only, so no context has more places than there are tasks.
-  2. Where one anchor has several contexts, these are cut out of the texts and dealt to shards by the anchor again (anchors with very
-     many contexts by their two halves, of which any common string has one). A shard's contexts are one text, whose
-     suffix array is built by induced sorting; permuted common prefixes tell runs of suffixes that share `length` bytes. All
-     places in a run but the first are covered.
+  2. Where one anchor has several contexts, these are cut out of the texts and dealt to shards by the first text that has the anchor, so
+     that what one text shares with another is cut out in one piece (anchors with very many contexts go by their two halves, of which
+     any common string has one). Contexts that were dealt alike are one text, whose suffix array is built by induced
+     sorting; permuted common prefixes tell runs of suffixes that share `length` bytes. All places in a run but the first are covered.
   3. Covered spans are merged by text.
 All steps send hashes, places and contexts; the texts themselves stay in files of the shared folder, one for each task of the first step.
 """
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, scratch, slices, stored
+from .common import binary, give_back, scratch, slices, small_batches, stored
 from .kneser_ney import pack, unpack
 from .suffix_array import common_prefixes, suffix_array
 
@@ -192,6 +192,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
             rows.append((kind, part, data))
     if rows:
         yield now, rows
+    give_back()
 
 
 def _match(many: int) -> Callable:
@@ -222,9 +223,10 @@ def _match(many: int) -> Callable:
                 v, o, p, part = v[reps], o[reps], p[reps], part[reps]
                 cut = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, int)
                 sizes = np.repeat(np.diff(np.append(cut, len(v))), np.diff(np.append(cut, len(v)))) if len(v) else np.zeros(0, int)
+                leader = np.repeat(np.minimum.reduceat(o, cut), np.diff(np.append(cut, len(v)))) if len(v) else v
                 several = np.flatnonzero(sizes > 1)
-                for q, (a, b, x, y) in _dealt(part[several], [_unsigned(o[several]), p[several], v[several], (sizes[several] > many).astype(np.int64)]):
-                    out.append((to, WANTED, q, pack(a, b, x, y)))
+                for q, cols in _dealt(part[several], [_unsigned(o[several]), p[several], _unsigned(leader[several]), (sizes[several] > many).astype(np.int64)]):
+                    out.append((to, WANTED, q, pack(*cols)))
             if out:
                 yield _batch(out)
 
@@ -248,21 +250,21 @@ def _cut(path: str, shards: int, length: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _grouped(batches, "part"):
-            o, p, v, many = (np.concatenate(x) for x in zip(*[unpack(data) for _, _, data in rows]))
+            o, p, leader, many = (np.concatenate(x) for x in zip(*[unpack(data) for _, _, data in rows]))
             o, p, many = _signed(o), p.astype(np.int64), many.astype(bool)
             order = np.lexsort((p, o))
-            o, p, v, many = o[order], p[order], v[order], many[order]
+            o, p, leader, many = o[order], p[order], _mixed(leader[order] + np.uint64(1)), many[order]
             held, n = [], 0
 
             def flush():
-                to, ords, starts, left, texts = zip(*held)
-                sizes = np.array([len(x) for x in texts])
+                key, ords, starts, texts = zip(*held)
+                key, sizes = np.array(key, np.uint64), np.array([len(x) for x in texts])
                 ends = np.cumsum(sizes)
                 joined = np.frombuffer(b"".join(texts), np.uint8)
                 out = []
-                for s, (i,) in _dealt(np.array(to), [np.arange(len(to))]):
+                for s, (i,) in _dealt(_shard(key, shards), [np.arange(len(key))]):
                     own = np.concatenate([joined[ends[j] - sizes[j] : ends[j]] for j in i])
-                    head = pack(_unsigned(np.array(ords)[i]), np.array(starts)[i], sizes[i])
+                    head = pack(key[i], _unsigned(np.array(ords)[i]), np.array(starts)[i], sizes[i])
                     out.append((s, WANTED, part, len(head).to_bytes(4, "little") + head + own.tobytes()))
                 return _batch(out)
 
@@ -270,27 +272,76 @@ def _cut(path: str, shards: int, length: int) -> Callable:
                 lo, hi = _looked_up(b.column(0).to_numpy(), o)
                 for i in np.flatnonzero(hi > lo).tolist():
                     text = (b.column(1)[i].as_py() or "").encode()
-                    for j in range(lo[i], hi[i]):
-                        at = int(p[j])
+                    spans: dict[int, list[list[int]]] = {}
+                    for at, key, often in zip(p[lo[i] : hi[i]].tolist(), leader[lo[i] : hi[i]].tolist(), many[lo[i] : hi[i]].tolist()):
                         a, z = max(0, at - reach), min(len(text), at + length)
                         if z - a < length:
                             continue
-                        if many[j]:  # a common string has this half or that
-                            keys = {xxhash.xxh3_64_intdigest(text[max(0, at - half) : at + K], 1), xxhash.xxh3_64_intdigest(text[at : at + K + half + 1], 2)}
+                        if often:  # a common string has this half or that
+                            for key in (xxhash.xxh3_64_intdigest(text[max(0, at - half) : at + K], 1), xxhash.xxh3_64_intdigest(text[at : at + K + half + 1], 2)):
+                                spans.setdefault(key, []).append([a, z])
+                        elif (own := spans.setdefault(key, [])) and a <= own[-1][1]:
+                            own[-1][1] = z
                         else:
-                            keys = {int(v[j])}
-                        for to in {int(x) for x in _shard(np.array(list(keys), np.uint64), shards)}:
-                            held.append((to, int(o[j]), a, at - a, text[a:z]))
+                            own.append([a, z])
+                    for key, own in spans.items():
+                        for a, z in own:
+                            held.append((key, int(o[lo[i]]), a, text[a:z]))
                             n += z - a
-                if n >= 32 << 20:
-                    yield flush()
-                    held, n = [], 0
+                    if n >= 16 << 20:
+                        yield flush()
+                        held, n = [], 0
             if held:
                 yield flush()
 
     return run
 
 
+def _hashes(t: np.ndarray, length: int) -> np.ndarray:
+    """Of all strings of that length."""
+    h, size, out, done = _BYTE[t], 1, None, 0
+    while size <= length:
+        if length & size:
+            part = h[done : len(t) - length + done + 1]
+            out = part if out is None else out * np.uint64(pow(_BASE, size, 1 << 64)) + part
+            done += size
+        if 2 * size <= length:
+            h = h[:-size] * np.uint64(pow(_BASE, size, 1 << 64)) + h[size:]
+        size *= 2
+    return _mixed(out)
+
+
+def _candidates(texts: np.ndarray, starts: np.ndarray, ends: np.ndarray, ord_: np.ndarray, pos: np.ndarray, length: int):
+    """The same without what can't repeat: bytes in no string whose hash occurs twice. What is left of a context is one or more contexts."""
+    n = len(texts)
+    if n < length:
+        return None
+    h = _hashes(texts, length)
+    fits = np.ones(n, bool)
+    fits[len(h) :] = False
+    for back in range(1, length):  # strings that reach into the next context
+        fits[np.maximum(ends - back, starts)] = False
+    at = np.flatnonzero(fits)
+    order = at[np.argsort(h[at])]
+    same = h[order[1:]] == h[order[:-1]]
+    again = order[np.append(same, False) | np.append(False, same)] if len(order) else order
+    if not len(again):
+        return None
+    step = np.zeros(n + 1, np.int32)
+    step[again] += 1
+    np.subtract.at(step, again + length, 1)
+    keep = np.cumsum(step[:n]) > 0
+    new = keep.copy()
+    new[1:] &= ~keep[:-1]
+    edge = starts[keep[starts]]
+    new[edge] = True
+    first = np.flatnonzero(new)
+    row = np.searchsorted(ends, first, "right")
+    place = np.cumsum(keep)
+    s = place[first] - 1
+    return texts[keep], s, np.append(s[1:], place[-1]), ord_[row], pos[row] + first - starts[row]
+
+
 def repeated(texts: np.ndarray, starts: np.ndarray, ends: np.ndarray, ord_: np.ndarray, pos: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(ord, start) of each string of `length` bytes in the contexts [starts, ends) of texts that has an earlier place; pos: where contexts start in their texts."""
     sa = suffix_array(texts)
@@ -308,40 +359,58 @@ def repeated(texts: np.ndarray, starts: np.ndarray, ends: np.ndarray, ord_: np.n
     return o[later], at[later]
 
 
-def _resolve(length: int, most: int = 4 << 20) -> Callable:
-    """A shard's contexts -> covered spans."""
+def _resolve(length: int, most: int = 2 << 20) -> Callable:
+    """A shard's contexts -> covered spans. Contexts of one key are in one suffix array; an array has about `most` bytes, or one key's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for to, rows in _grouped(batches, "to"):
-            texts, o, p, n, part = [], [], [], [], []
+            texts, cols = [], []
             for _, q, data in rows:
                 size = int.from_bytes(data[:4], "little")
-                a, b, c = unpack(data[4 : 4 + size])
-                o.append(_signed(a))
-                p.append(b.astype(np.int64))
-                n.append(c.astype(np.int64))
-                part.append(np.full(len(a), q))
+                key, a, b, c = unpack(data[4 : 4 + size])
+                cols.append((key, _signed(a), b.astype(np.int64), c.astype(np.int64), np.full(len(a), q)))
                 texts.append(np.frombuffer(data, np.uint8, offset=4 + size))
-            o, p, n, part = (np.concatenate(x) for x in (o, p, n, part))
-            ends = np.cumsum(n)
-            so, sp = repeated(np.concatenate(texts), ends - n, ends, o, p, length)
-            if not len(so):
-                continue
-            where = np.argsort(o, kind="stable")
-            own = part[where[np.searchsorted(o[where], so)]]
-            out = []
-            for q, (a, b) in _dealt(own, [so, sp]):
-                order = np.lexsort((b, a))
-                a, b = a[order], b[order]
-                new = np.append(True, (a[1:] != a[:-1]) | (b[1:] > b[:-1] + length))
-                first = np.flatnonzero(new)
-                last = np.append(first[1:] - 1, len(a) - 1)
-                out.append((to, SPANS, q, pack(_unsigned(a[first]), b[first], b[last] + length - b[first])))
-            yield _batch(out)
+            key, o, p, n, part = (np.concatenate(x) for x in zip(*cols))
+            text, ends = np.concatenate(texts), np.cumsum(n)
+            del texts, rows, cols
+            order = np.argsort(key, kind="stable")
+            key, o, p, n, part, starts = key[order], o[order], p[order], n[order], part[order], (ends - n)[order]
+            new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            sums = np.cumsum(np.add.reduceat(n, new))
+            for lo, hi in _runs(new, sums, len(key), most):
+                own = np.concatenate([text[starts[j] : starts[j] + n[j]] for j in range(lo, hi)])
+                e = np.cumsum(n[lo:hi])
+                left = _candidates(own, e - n[lo:hi], e, o[lo:hi], p[lo:hi], length)
+                if left is None:
+                    continue
+                so, sp = repeated(*left, length)
+                if not len(so):
+                    continue
+                where = np.argsort(o[lo:hi], kind="stable")
+                home = part[lo:hi][where[np.searchsorted(o[lo:hi][where], so)]]
+                out = []
+                for q, (a, b) in _dealt(home, [so, sp]):
+                    by = np.lexsort((b, a))
+                    a, b = a[by], b[by]
+                    fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] > b[:-1] + length))
+                    first = np.flatnonzero(fresh)
+                    last = np.append(first[1:] - 1, len(a) - 1)
+                    out.append((to, SPANS, q, pack(_unsigned(a[first]), b[first], b[last] + length - b[first])))
+                yield _batch(out)
 
     return run
 
 
+def _runs(new: np.ndarray, sums: np.ndarray, n: int, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of contexts, whole keys each, of about `most` bytes."""
+    bounds = np.append(new[1:], n)
+    at = done = 0
+    while at < len(new):
+        to = max(at + 1, int(np.searchsorted(sums, done + most, "right")))
+        yield int(new[at]), int(bounds[to - 1])
+        done, at = int(sums[to - 1]), to
+
+
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs with _ord first and _text last: numbers in the order of the ids, all different.
 
@@ -360,7 +429,7 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return stored(ranged.select(F.monotonically_increasing_id().alias("_ord"), *rest, text), "numbered")
 
 
-def covered_spans(docs: DataFrame, path: str, *, id_col: str, text_col: str, length: int, many: int = 20_000) -> tuple[DataFrame, list[str]]:
+def covered_spans(docs: DataFrame, path: str, *, id_col: str, text_col: str, length: int, many: int = 2_000) -> tuple[DataFrame, list[str]]:
     """Rows (part, kind, data) that tell each part's covered spans, one FILE row for each part; the columns in the parts' files."""
     if length < 2 * K:
         raise ValueError(f"length must be {2 * K} or more")
@@ -403,6 +472,7 @@ def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     different texts, in the order of their text's hash, so of equal rows all but one are removed as far as they are long enough. An empty input gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     path = path or scratch(spark, "texts")
     own = ["doc_id", "text", "kept", "n_bytes", "n_removed", "n_spans", "spans"]
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), *[F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col, *own)], F.col(f"`{text_col}`").alias("text"))

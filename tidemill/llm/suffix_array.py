@@ -27,16 +27,19 @@ def _types(t: np.ndarray) -> np.ndarray:
 
 def _leftmost(s: np.ndarray) -> np.ndarray:
     """Places of type S whose left neighbour isn't."""
-    return np.flatnonzero(s[1:] & ~s[:-1]) + 1
+    return (np.flatnonzero(s[1:] & ~s[:-1]) + 1).astype(np.int32)
 
 
 def _split(places: np.ndarray, chars: np.ndarray, into: list[list[np.ndarray]]) -> None:
     """Appends places to their characters' buckets, in order."""
-    order = np.argsort(chars, kind="stable")
+    order = chars.argsort(kind="stable")
     places, chars = places[order], chars[order]
-    cut = np.flatnonzero(np.append(True, chars[1:] != chars[:-1]))
-    for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(places)]):
-        into[chars[a]].append(places[a:z])
+    cut = (chars[1:] != chars[:-1]).nonzero()[0].tolist()
+    a = 0
+    for z in cut:
+        into[chars[a]].append(places[a : z + 1])
+        a = z + 1
+    into[chars[a]].append(places[a:])
 
 
 def _induced(t: np.ndarray, s: np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -46,7 +49,7 @@ def _induced(t: np.ndarray, s: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     if len(seeds):
         _split(seeds, t[seeds], own)
     larger: list[list[np.ndarray]] = [[] for _ in range(256)]
-    larger[t[n - 1]].append(np.array([n - 1]))  # what the empty suffix induces
+    larger[t[n - 1]].append(np.array([n - 1], np.int32))  # what the empty suffix induces
     for c in range(256):
         k = 0
         while k < len(larger[c]) or k < len(larger[c]) + len(own[c]):
@@ -78,7 +81,7 @@ def _induced(t: np.ndarray, s: np.ndarray, seeds: np.ndarray) -> np.ndarray:
             k += 1
         parts += smaller[c]
         parts += done
-    return np.concatenate(parts)[::-1] if parts else np.zeros(0, np.int64)
+    return np.concatenate(parts)[::-1] if parts else np.zeros(0, np.int32)
 
 
 def _words(t: np.ndarray, pad: int = 16) -> np.ndarray:
@@ -117,14 +120,14 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     is_lms[lms] = True
     sorted_lms = order[is_lms[order]]
     # a substring reaches from one leftmost-S place to the next, included; the last one to the text's end
-    length = np.zeros(n, np.int64)
+    length = np.zeros(n, np.int32)
     length[lms] = np.append(lms[1:] - lms[:-1] + 1, n - lms[-1])
     words = _words(t)
     a, b = sorted_lms[1:], sorted_lms[:-1]
     same = (length[a] == length[b]) & (a != lms[-1]) & (b != lms[-1])
     at = np.flatnonzero(same)
     same[at] = _equal(words, a[at], b[at], length[a[at]])
-    name = np.zeros(n, np.int64)
+    name = np.zeros(n, np.int32)
     name[sorted_lms] = np.append(0, np.cumsum(~same))
     reduced = name[lms]
     top = int(reduced.max()) + 1
@@ -151,6 +154,8 @@ def _small(t: list[int], k: int) -> list[int]:
     for c in range(1, k + 1):
         heads[c] += heads[c - 1]
 
+    larger = [not x for x in s]
+
     def induce(seeds: list[int]) -> list[int]:
         sa = [-1] * n
         tail = heads[1:]
@@ -161,19 +166,18 @@ def _small(t: list[int], k: int) -> list[int]:
         sa_first = n - 1
         sa[head[t[sa_first]]] = sa_first
         head[t[sa_first]] += 1
-        for i in range(n):
-            j = sa[i] - 1
-            if j >= 0 and not s[j]:
-                c = t[j]
-                sa[head[c]] = j
+        for j in sa:  # grows ahead of the loop
+            if j > 0 and larger[j - 1]:
+                c = t[j - 1]
+                sa[head[c]] = j - 1
                 head[c] += 1
         tail = heads[1:]
         for i in range(n - 1, -1, -1):
-            j = sa[i] - 1
-            if j >= 0 and s[j]:
-                c = t[j]
+            j = sa[i]
+            if j > 0 and s[j - 1]:
+                c = t[j - 1]
                 tail[c] -= 1
-                sa[tail[c]] = j
+                sa[tail[c]] = j - 1
         return sa
 
     lms = [i for i in range(1, n) if s[i] and not s[i - 1]]
@@ -201,10 +205,10 @@ def _small(t: list[int], k: int) -> list[int]:
 def common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     """Permuted: for each place, how many bytes its suffix shares with the one before it in order, up to `most`; 0 for the first."""
     n = len(t)
-    plcp = np.zeros(n, np.int64)
+    plcp = np.zeros(n, np.int32)
     if n < 2:
         return plcp
-    phi = np.full(n, -1, np.int64)
+    phi = np.full(n, -1, np.int32)
     phi[sa[1:]] = sa[:-1]
     words = np.ascontiguousarray(_words(t)).view("<u8").ravel()
     live = np.flatnonzero(phi >= 0)

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, slices
+from .common import binary, give_back, slices, small_batches
 from .kneser_ney import held_out_by
 
 #: Values of a text's features, in order.
@@ -171,6 +171,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     model = fit(*fit_sample(docs, labels, id_col=id_col, text_col=text_col, folds=folds, fold=fold, fit_rows=fit_rows), **options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.select(F.col(f"`{id_col}`")).schema[0].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -186,10 +187,13 @@ def without_toxic(docs: DataFrame, labels: DataFrame, *, text_col: str = "text",
     model = fit(*fit_sample(docs, labels, text_col=text_col, fit_rows=fit_rows, **options))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.schema
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            score = shared.value.scores(binary(b.column(text_col)))
-            yield b.filter(pa.array(score < threshold))
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                yield part.filter(pa.array(shared.value.scores(binary(part.column(text_col))) < threshold))
+        give_back()
 
     return docs.mapInArrow(run, schema)

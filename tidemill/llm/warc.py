@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import give_back, scratch, small_batches
 
 SKIPPABLE = 0x184D2A5D
 DATE = "2024-01-01T00:00:00Z"
@@ -101,7 +101,9 @@ def write_warc(assigned: DataFrame, path: str, *, archive_bytes: int = 16 << 20,
                     held, size, k = [], 0, k + 1
         if held:
             yield flush()
+        give_back()
 
+    small_batches(assigned.sparkSession)
     return assigned.mapInArrow(write, "file string, n long").agg(F.sum("n")).first()[0] or 0
 
 
