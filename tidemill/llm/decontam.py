@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, binary, slices, stored
+from .common import ALNUM, binary, slices, small_batches, stored
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _SPANS = "array<struct<first:int,last:int>>"
@@ -161,18 +161,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     is a window as a whole. Equal items are all named. Repeated documents give repeated rows. An empty benchmark
     gives no hits, an empty docs an empty result. Columns that aren't named are not looked at.
     """
+    out = _marked(docs, benchmark, id_col, text_col, window, block_bytes, keep)
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["last"] - s["first"] + 1)
+    return out.select(*[F.col(f"`{c}`") for c in keep], "doc_id", "text", "n_words", F.coalesce(n_hit, F.lit(0).cast("long")).alias("n_hit"), F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int, keep: tuple[str, ...], then=None, schema: str | None = None) -> DataFrame:
+    """keep, doc_id, n_words, spans, items and text of each row; or, of that schema, what `then` makes of such batches in the same worker."""
     spark = docs.sparkSession
+    small_batches(spark)
     out = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{id_col}`").alias("doc_id"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast(_SPANS).alias("spans"), F.lit(None).cast("array<string>").alias("items"), F.col(f"`{text_col}`").alias("text"))
-    for k, automaton in enumerate(_blocks(benchmark, window, block_bytes)):
-        shared = spark.sparkContext.broadcast(automaton)
-        out = out.mapInArrow(_finder(shared, out.schema), out.schema)
+    blocks = _blocks(benchmark, window, block_bytes)
+    for k, automaton in enumerate(blocks):
+        find = _finder(spark.sparkContext.broadcast(automaton))
+        if then is not None and k == len(blocks) - 1:
+            return out.mapInArrow(lambda batches, find=find: map(then, find(batches)), schema)
+        out = out.mapInArrow(find, out.schema)
         if k % 16 == 15:
             out = stored(out, "leaks")
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["last"] - s["first"] + 1)
-    return out.select(*[F.col(f"`{c}`") for c in keep], "doc_id", "text", "n_words", F.coalesce(n_hit, F.lit(0).cast("long")).alias("n_hit"), F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return out
 
 
-def _finder(shared, schema):
+def _finder(shared):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: SuffixAutomaton = shared.value
         for batch in slices(batches):
@@ -227,20 +237,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     order = [F.col(f"`{c}`") if c in rest else F.col("doc_id" if c == id_col else "text").alias(c) for c in docs.columns if c not in own]
     # names that find_leaks gives are free, as id_col and text_col are set apart
     plain = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`").alias(f"_kept_{i}") for i, c in enumerate(rest)])
-    found = find_leaks(plain, benchmark, id_col="_id", text_col="_text", window=window, block_bytes=block_bytes, keep=tuple(f"_kept_{i}" for i in range(len(rest))))
-    found = found.where(F.col("n_hit") <= F.lit(max_coverage) * F.greatest("n_words", F.lit(1))).drop("items")
-
-    def cut(batches):
-        for batch in batches:
-            texts, removed = batch.column("text").to_pylist(), [None] * batch.num_rows
-            for k, spans in enumerate(batch.column("spans").to_pylist()):
-                if spans:
-                    texts[k], removed[k] = without(texts[k].encode(), [(s["first"], s["last"]) for s in spans])
-            new = {"text": pa.array(texts, pa.string()), "spans": pa.array(removed, pa.string())}
-            yield pa.RecordBatch.from_arrays([new.get(n, c) for n, c in zip(batch.schema.names, batch.columns)], names=["removed" if n == "spans" else n for n in batch.schema.names])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" if f.name != "spans" else "removed string" for f in found.schema)
-    out = found.mapInArrow(cut, schema)
+    kept = tuple(f"_kept_{i}" for i in range(len(rest)))
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, spans = batch.column("n_words").to_pylist(), [x or [] for x in batch.column("spans").to_pylist()]
+        hit = [sum(x["last"] - x["first"] + 1 for x in own) for own in spans]
+        rows = [i for i in range(len(n)) if hit[i] <= max_coverage * max(n[i], 1)]
+        batch = batch.take(pa.array(rows, pa.int64()))
+        texts, removed = batch.column("text").to_pylist(), [None] * len(rows)
+        for k, i in enumerate(rows):
+            if spans[i]:
+                texts[k], removed[k] = without(texts[k].encode(), [(x["first"], x["last"]) for x in spans[i]])
+        new = {"text": pa.array(texts, pa.string()), "spans": pa.array([hit[i] for i in rows], pa.int64()), "items": pa.array(removed, pa.string())}
+        return pa.RecordBatch.from_arrays([new.get(c, x) for c, x in zip(batch.schema.names, batch.columns)], names=[{"spans": "n_hit", "items": "removed"}.get(c, c) for c in batch.schema.names])
+
+    kind = {f.name: f.dataType.simpleString() for f in plain.schema}
+    schema = ", ".join([*[f"{c} {kind[c]}" for c in kept], f"doc_id {kind['_id']}, n_words long, n_hit long, removed string, text string"])
+    out = _marked(plain, benchmark, "_id", "_text", window, block_bytes, kept, cut, schema)
     for i, c in enumerate(rest):
         out = out.withColumnRenamed(f"_kept_{i}", c)
     return out.select(*order, "n_words", "n_hit", "removed")

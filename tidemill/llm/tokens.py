@@ -35,7 +35,7 @@ class ChunkEncoder:
     not bear upon results.
     """
 
-    def __init__(self, spec: str, keep: int = 500_000, dtype: str = "<u4"):
+    def __init__(self, spec: str, keep: int = 300_000, dtype: str = "<u4"):
         self.lib, self.keep, self.dtype = Tokenizer.from_str(spec), keep, dtype
         told = json.loads(spec)
         pre, norm = told.get("pre_tokenizer") or {}, told.get("normalizer")
