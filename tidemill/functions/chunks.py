@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import words, words_uax29
+from .text import let, words, words_uax29
 
 
 @dataclass(frozen=True)
@@ -53,7 +53,7 @@ def chunk_array(text: Column, word_array: Column, config: ChunkConfig | None = N
         one = F.array(F.struct(F.lit(0).cast("long").alias("chunk_index"), F.lit(0).cast("long").alias("start_index"), long(n).alias("end_index"), long(n).alias("word_count"), text.alias("content")))
         return F.when(n <= c.window, one).otherwise(F.transform(F.sequence(F.lit(0), last - F.when(merge, 1).otherwise(0)), chunk))
 
-    return F.element_at(F.transform(F.array(word_array), cut), 1)
+    return let(word_array, cut)
 
 
 def chunks(df: DataFrame, keys: list[str], text_col: str = "text", config: ChunkConfig | None = None, exact: bool = True) -> DataFrame:

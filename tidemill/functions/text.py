@@ -20,6 +20,11 @@ NEGATIVE = ["bad", "terrible", "awful", "horrible", "negative", "sad", "hate", "
 EMBEDDING_SIZE = 768
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value computed once a row however often, and wherever, f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def any_of(text: Column, words: list[str]) -> Column:
     """Whether text contains any of the words. One alternation, so the text is scanned once."""
     return text.rlike("|".join(rf"\Q{w}\E" for w in words))
@@ -43,9 +48,14 @@ def normalized(text: Column) -> Column:
 
 def shingles(text: Column, n: int = 3) -> Column:
     """Distinct character n-grams of the normalized text: shorter texts are one, empty ones none."""
-    t = normalized(text)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, n)))
-    return F.when(F.length(t) >= n, grams).when(t != "", F.array(t)).otherwise(F.array().cast("array<string>"))
+
+
+    def grams(t: Column) -> Column:
+        # characters are split once: looking up the i-th in a string would start at its beginning each time
+        cut = let(F.split(t, ""), lambda cs: F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.array_join(F.slice(cs, i, n), "")))
+        return F.when(F.length(t) >= n, F.array_distinct(cut)).when(t != "", F.array(t)).otherwise(F.array().cast("array<string>"))
+
+    return let(normalized(text), grams)
 
 
 def words(text: Column) -> Column:
@@ -53,15 +63,18 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-@F.pandas_udf("array<string>")
-def words_uax29(text: pd.Series) -> pd.Series:
-    """Words by Unicode's default word boundaries, those with a letter or digit."""
+def _cut_uax29(text: pd.Series) -> pd.Series:
     import regex
 
     cut, alnum = regex.compile(r"(?w)\b"), regex.compile(r"[\p{Alphabetic}\p{N}]")
     return text.map(lambda t: [] if t is None else [w for w in cut.split(t) if alnum.search(w)])
 
 
+def words_uax29(text: Column) -> Column:
+    """Words by Unicode's default word boundaries, those with a letter or digit."""
+    return F.pandas_udf(_cut_uax29, "array<string>")(text)
+
+
 def sentiment(text: Column) -> Column:
     """(positive - negative) / all of the lexicon's words that the text contains, 0 without any; null for an empty text."""
     low = F.lower(text)
@@ -78,10 +91,9 @@ def seed_of(text: Column) -> Column:
 
 def embedding(text: Column, size: int = EMBEDDING_SIZE) -> Column:
     """A placeholder vector of unit length from the text's hash; null for an empty text."""
-    raw = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: ((seed_of(text) % 2000 + i) % 2000) / F.lit(1000.0) - 1)
-    unit = F.element_at(
-        F.transform(F.array(raw), lambda v: F.element_at(F.transform(F.array(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))), lambda m: F.transform(v, lambda x: F.when(m > 0, x / m).otherwise(x))), 1)), 1
-    )
+    raw = let(seed_of(text), lambda seed: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: ((seed % 2000 + i) % 2000) / F.lit(1000.0) - 1))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    unit = let(raw, lambda v: let(norm(v), lambda m: F.transform(v, lambda x: F.when(m > 0, x / m).otherwise(x))))
     return F.when(text != "", unit.cast("array<float>"))
 
 

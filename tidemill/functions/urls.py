@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Parameters that only track.
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "ref", "yclid", "_ga"]
 _ABSOLUTE = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
@@ -44,11 +46,14 @@ def normalize(href: str | None, base: str | None) -> str | None:
     return urlunsplit((scheme, netloc, path, urlencode(sorted(kept.items())), ""))
 
 
-@F.pandas_udf("string")
-def normalize_url(href: pd.Series, base: pd.Series) -> pd.Series:
+def _normalize(href: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([normalize(h, b) for h, b in zip(href, base)], dtype=object)
 
 
+def normalize_url(href: Column, base: Column) -> Column:
+    return F.pandas_udf(_normalize, "string")(href, base)
+
+
 def part(url: Column, k: int) -> Column:
     return F.regexp_extract(url, _ABSOLUTE, k)
 
@@ -57,7 +62,7 @@ def normalize_absolute(url: Column) -> Column:
     """The same for absolute URLs that need no percent coding, in the JVM; null for others."""
     pairs = F.transform(F.filter(F.split(part(url, 4), "&"), lambda p: p != ""), lambda p, i: F.struct(F.split(p, "=", 2)[0].alias("k"), i.alias("i"), F.regexp_replace(p, "^[^=]*=?", "").alias("v")))
     kept = F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(TRACKING))
-    last = F.element_at(F.transform(F.array(kept), lambda a: F.filter(a, lambda p: ~F.exists(a, lambda q: (q["k"] == p["k"]) & (q["i"] > p["i"])))), 1)
+    last = let(kept, lambda a: F.filter(a, lambda p: ~F.exists(a, lambda q: (q["k"] == p["k"]) & (q["i"] > p["i"]))))
     query = F.array_join(F.transform(F.array_sort(last), lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
     path = F.when(part(url, 3) == "", "/").otherwise(part(url, 3))
     whole = F.concat(F.lower(part(url, 1)), F.lit("://"), F.lower(part(url, 2)), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,10 @@ def percent(x: Column) -> Column:
     return F.format_string("%.1f", x * 100)
 
 
+def _micros(ts: str | Column) -> Column:
+    return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
+
+
 # --- success rates
 
 
@@ -183,7 +188,7 @@ def circuit_states(counted: DataFrame, checks: DataFrame, most: int = FAILURES,
     q = checks.select("ts", F.lit(None).cast("long").alias("seq"), "domain", F.lit(None).cast("long").alias("count"), F.lit(None).cast("boolean").alias("tripped"), F.lit(1).alias("is_check"))
     w = Window.partitionBy("domain").orderBy("ts", "is_check", "seq").rowsBetween(Window.unboundedPreceding, 0)
     out = c.union(q).withColumn("stuck", F.coalesce(F.max(F.col("tripped").cast("int")).over(w), F.lit(0)) == 1).withColumn("n", F.last("count", ignorenulls=True).over(w)).withColumn("since", start.over(w))
-    alive = (F.unix_micros("ts") - F.unix_micros("since")) < ttl * 1_000_000
+    alive = (_micros("ts") - _micros("since")) < ttl * 1_000_000
     n = F.when(F.col("stuck"), F.lit(most + 1)).when(alive, F.col("n")).otherwise(0).cast("long")
     return out.where("is_check = 1").select("ts", "domain", F.when(n > most, "open").otherwise("closed").alias("state"), n.alias("failure_count"), F.col("stuck").alias("requires_full_browser"))
 
@@ -215,7 +220,7 @@ def crawl_delay(robots: Column, agent: str) -> Column:
         low = F.lower(line)
         name = F.btrim(F.substring(low, F.lit(12), F.length(low)))
         on = F.when(low.startswith("user-agent:"), (name == "*") | F.contains(F.lit(agent.lower()), name)).otherwise(acc["on"])
-        value = F.expr("try_cast(null as double)") if False else F.try_to_number(F.btrim(F.get(F.split(line, ":"), F.lit(1))), F.lit("999999999.999")).cast("double")
+        value = F.btrim(F.get(F.split(line, ":"), F.lit(1))).try_cast("double")
         found = on & low.startswith("crawl-delay:") & value.isNotNull()
         return F.struct(on.alias("on"), F.when(found, F.greatest(value * 1000, F.lit(0.0)).cast("long")).otherwise(acc["ms"]).alias("ms"))
 
@@ -223,14 +228,15 @@ def crawl_delay(robots: Column, agent: str) -> Column:
     return F.struct(ms.alias("standard_delay_ms"), (ms * SLOW_FACTOR).alias("slow_path_delay_ms"))
 
 
-@F.pandas_udf("boolean")
-def crawl_allowed(robots, agent, path):
-    """Whether a path may be fetched: the longest rule of the agent's own group, else of the group of all, decides; ties allow."""
-    import pandas as pd
-
+def _allowed(robots: pd.Series, agent: pd.Series, path: pd.Series) -> pd.Series:
     return pd.Series([allowed(r or "", a, p) for r, a, p in zip(robots, agent, path)])
 
 
+def crawl_allowed(robots: Column, agent: Column, path: Column) -> Column:
+    """Whether a path may be fetched: the longest rule of the agent's own group, else of the group of all, decides; ties allow."""
+    return F.pandas_udf(_allowed, "boolean")(robots, agent, path)
+
+
 def allowed(robots: str, agent: str, path: str) -> bool:
     import re
 
@@ -292,7 +298,7 @@ def while_listed(requests: DataFrame, bans: DataFrame, ttl: int = BLACKLIST_SECO
     b = bans.select("ts", F.lit(None).cast("long").alias("seq"), "domain", F.lit(0).alias("ask"))
     last = F.last(F.when(F.col("ask") == 0, F.col("ts")), ignorenulls=True).over(Window.partitionBy("domain").orderBy("ts", "ask").rowsBetween(Window.unboundedPreceding, 0))
     out = q.union(b).withColumn("banned", last).where("ask = 1")
-    return out.select("ts", "seq", "domain", F.coalesce((F.unix_micros("ts") - F.unix_micros("banned")) < ttl * 1_000_000, F.lit(False)).alias("listed"))
+    return out.select("ts", "seq", "domain", F.coalesce((_micros("ts") - _micros("banned")) < ttl * 1_000_000, F.lit(False)).alias("listed"))
 
 
 def keys(prefix: str, domain: Column, suffix: str | None = None) -> Column:
@@ -316,4 +322,4 @@ def pressure(samples: DataFrame, high: float = 90.0, low: float = 85.0) -> DataF
 def live_at(entries: DataFrame, at: Column) -> DataFrame:
     """entries (key, value, ts, ttl_seconds; null: for good), the last of each key, that haven't ended at a time."""
     last = entries.where(F.col("ts") <= at).groupBy("key").agg(F.max_by(F.struct("value", "ts", "ttl_seconds"), "ts").alias("x")).select("key", "x.*")
-    return last.where(F.col("ttl_seconds").isNull() | (F.unix_micros("ts") + F.col("ttl_seconds") * 1_000_000 > F.unix_micros(at)))
+    return last.where(F.col("ttl_seconds").isNull() | (_micros("ts") + F.col("ttl_seconds").cast("long") * 1_000_000 > _micros(at)))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
-from ..functions.text import is_boilerplate, word_count
+from ..functions.text import is_boilerplate, let, word_count
 
 LD = "struct<title:string,description:string,date_published:string,date_modified:string,author:string,authors:array<string>,publisher:string,og_image:string,section:string,word_count:bigint,language:string,canonical_url:string>"
 KINDS = {
@@ -65,16 +65,12 @@ def content_struct(raw: Column, least_bytes: int = 20) -> Column:
 
     def whole(p: Column) -> Column:
         text = F.array_join(F.concat(F.transform(p["headings"], lambda h: h["text"]), p["paragraphs"], p["items"]), "\n\n")
-        return _let(text, lambda t: _let(word_count(t), lambda n: F.struct(
+        return let(text, lambda t: let(word_count(t), lambda n: F.struct(
             t.alias("text"), p["paragraphs"].alias("paragraphs"), p["headings"].alias("headings"), raw["code_blocks"].alias("code_blocks"), raw["quotes"].alias("quotes"), n.alias("word_count"),
             raw["found_main_content"].alias("found_main_content"), quality(raw["found_main_content"], F.size(p["headings"]), F.size(p["paragraphs"]), n, F.size(raw["code_blocks"]) + F.size(raw["quotes"])).alias("quality_score"),
         )))
 
-    return _let(F.struct(headings.alias("headings"), paragraphs.alias("paragraphs"), items.alias("items")), whole)
-
-
-def _let(value: Column, f) -> Column:
-    return F.element_at(F.transform(F.array(value), f), 1)
+    return let(F.struct(headings.alias("headings"), paragraphs.alias("paragraphs"), items.alias("items")), whole)
 
 
 def quality(main: Column, headings: Column, paragraphs: Column, words: Column, rich: Column) -> Column:
