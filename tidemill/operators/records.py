@@ -69,12 +69,12 @@ def enriched(records: DataFrame, now: Column, with_embedding: bool = True, with_
     """records with what they lack, and error: why a record can't be enriched (then it stays as it is)."""
     text = F.coalesce(F.col("text_content"), F.lit(""))
     todo = needs_enrichment() & (text != "")
-    out = records.withColumn("error", F.when(needs_enrichment() & (text == ""), "Empty text"))
+    new = {"error": F.when(needs_enrichment() & (text == ""), "Empty text"), "updated_at": F.when(todo, now.cast("long")).otherwise(F.col("updated_at"))}
     if with_embedding:
-        out = out.withColumn("embedding", F.when(todo & F.col("embedding").isNull(), embedding(text)).otherwise(F.col("embedding")))
+        new["embedding"] = F.when(todo & F.col("embedding").isNull(), embedding(text)).otherwise(F.col("embedding"))
     if with_sentiment:
-        out = out.withColumn("sentiment_score", F.when(todo & F.col("sentiment_score").isNull(), clamped(sentiment(text), -1.0, 1.0)).otherwise(F.col("sentiment_score")))
-    return out.withColumn("updated_at", F.when(todo, now.cast("long")).otherwise(F.col("updated_at")))
+        new["sentiment_score"] = F.when(todo & F.col("sentiment_score").isNull(), clamped(sentiment(text), -1.0, 1.0)).otherwise(F.col("sentiment_score"))
+    return records.withColumns(new)
 
 
 def media(url: Column, kind: str, alt: Column | None = None, width: int | None = None, height: int | None = None) -> Column:
