@@ -153,7 +153,7 @@ def tokenized(docs: DataFrame, tokenizer: str, *, end_id: int = 2, block_ids: in
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(spec.value)
+        enc = encoder(spec.value, 1_000_000)
         part, seq, at = TaskContext.get().partitionId(), 0, 0
         names: list = []
         held: list[bytes] = []

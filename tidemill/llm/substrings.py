@@ -152,7 +152,8 @@ def _scan(path: str, shards: int, length: int, most: int = 2_000_000) -> Callabl
                 row = np.searchsorted(ends, at, "right")
                 a, z = np.maximum(starts[row], at - reach), np.minimum(ends[row], at + length)
                 digest = xxhash.xxh3_64_intdigest
-                ctx = np.array([digest(joined[x:y]) for x, y in zip(a.tolist(), z.tolist())], np.uint64)
+                # the anchor's place in its context counts: near a text's ends two anchors may have one context, which then is no repeat
+                ctx = np.array([digest(joined[x:y], d) for x, y, d in zip(a.tolist(), z.tolist(), (at - a).tolist())], np.uint64)
                 held.append((value, ctx, ords[rows_][row], at - starts[row]))
                 n += len(at)
             if n >= most:
@@ -223,7 +224,7 @@ def _match(many: int) -> Callable:
                 v, o, p, part = v[reps], o[reps], p[reps], part[reps]
                 cut = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, int)
                 sizes = np.repeat(np.diff(np.append(cut, len(v))), np.diff(np.append(cut, len(v)))) if len(v) else np.zeros(0, int)
-                leader = np.repeat(np.minimum.reduceat(o, cut), np.diff(np.append(cut, len(v)))) if len(v) else v
+                leader = np.repeat(np.minimum.reduceat(o, cut), np.diff(np.append(cut, len(v)))) if len(v) else o
                 several = np.flatnonzero(sizes > 1)
                 for q, cols in _dealt(part[several], [_unsigned(o[several]), p[several], _unsigned(leader[several]), (sizes[several] > many).astype(np.int64)]):
                     out.append((to, WANTED, q, pack(*cols)))
@@ -434,8 +435,8 @@ def covered_spans(docs: DataFrame, path: str, *, id_col: str, text_col: str, len
     if length < 2 * K:
         raise ValueError(f"length must be {2 * K} or more")
     rows = _numbered(docs, id_col, text_col)
-    n = rows.rdd.getNumPartitions()
-    shards = max(1, 2 * n)
+    n = max(1, rows.rdd.getNumPartitions())
+    shards = 2 * n
     found = rows.mapInArrow(_scan(path, shards, length), ROWS)
     found = stored(found.repartition(shards, "to").sortWithinPartitions("to").mapInArrow(_match(many), ROWS), "matched")
     docs.sparkSession.sparkContext._jvm.System.gc()  # lets go of the shuffle's files

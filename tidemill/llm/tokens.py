@@ -49,6 +49,7 @@ class ChunkEncoder:
         #: each id's bytes
         self.raw = [np.array(i, dtype).tobytes() for i in range(max(vocab.values(), default=0) + 1)]
         self.seen: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.lines: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {"": b""}
 
@@ -109,8 +110,10 @@ class ChunkEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         if self.kind == "whole":
             return self._whole(texts)
-        if len(self.seen) + len(self.lines) + len(self.tails) > self.keep:
-            self.seen.clear(), self.lines.clear()
+        if len(self.seen) > self.keep // 2:  # what has been met lately stays
+            self.old, self.seen = self.seen, {}
+        if len(self.lines) + len(self.tails) > self.keep // 2:
+            self.lines.clear()
             self.tails = {"": b""}
         cut = [t.split(" ") for t in texts]
         firsts = [w[0] for w in cut]
@@ -122,7 +125,12 @@ class ChunkEncoder:
         for w in cut:
             del w[0]
         seen = self.seen
-        if new := [x for x in set().union(*cut) if x not in seen]:
+        new = [x for x in set().union(*cut) if x not in seen]
+        if new and self.old:
+            old = self.old
+            seen.update([(x, old[x]) for x in new if x in old])
+            new = [x for x in new if x not in seen]
+        if new:
             self._learn(new)
         get = seen.__getitem__
         heads = iter(self._whole([f for f in firsts if f]))
@@ -130,9 +138,9 @@ class ChunkEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(spec: str) -> ChunkEncoder:
+def encoder(spec: str, keep: int = 300_000) -> ChunkEncoder:
     """One encoder for all tasks that a worker runs, so that each starts with the pieces of those before."""
-    return ChunkEncoder(spec)
+    return ChunkEncoder(spec, keep)
 
 
 def _joined(pieces: list[str]) -> list[str]:

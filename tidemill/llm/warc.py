@@ -157,10 +157,10 @@ def read_warc(spark, path: str) -> DataFrame:
     return files.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
-def archived(pages: DataFrame, path: str | None = None, **options) -> DataFrame:
+def archived(pages: DataFrame, path: str | None = None, *, archive_bytes: int = 16 << 20, **options) -> DataFrame:
     """Writes pages as archives (under path, or a scratch folder) and reads them back. An empty input gives an empty result."""
     spark = pages.sparkSession
     path = path or scratch(spark, "warc")
-    if not write_warc(assign(pages, **options), path):
+    if not write_warc(assign(pages, **options), path, archive_bytes=archive_bytes):
         return spark.createDataFrame([], "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
     return read_warc(spark, path)
