@@ -309,10 +309,10 @@ def keys(prefix: str, domain: Column, suffix: str | None = None) -> Column:
 # --- memory
 
 
-def pressure(samples: DataFrame, high: float = 90.0, low: float = 85.0) -> DataFrame:
-    """samples (ts, used_percent) with under_pressure: on above high, off below low, as before in between, off at the start."""
+def pressure(samples: DataFrame, high: float = 90.0, low: float = 85.0, key: str | None = None) -> DataFrame:
+    """samples (ts, used_percent) with under_pressure: on above high, off below low, as before in between, off at the start. key: the host's column, if samples are of many."""
     mark = F.when(F.col("used_percent") > high, True).when(F.col("used_percent") < low, False)
-    state = F.last(mark, ignorenulls=True).over(Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
+    state = F.last(mark, ignorenulls=True).over((Window.partitionBy(key) if key else Window).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
     return samples.withColumn("under_pressure", F.coalesce(state, F.lit(False)))
 
 
