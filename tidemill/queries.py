@@ -335,7 +335,7 @@ def page_density(s, d):
     return pages.density(_pages(s, d), ["page_id"])
 
 
-@query(r"SELECT page_id, CASE WHEN regexp_matches(html, '(?i)<(article|main)[\s>]') THEN 1.5 ELSE 0.5 END AS tag_score FROM pages")
+@query(r"SELECT page_id, CASE WHEN regexp_matches(html, '(?i)<(article|main)[\s>]') THEN 1.5::DOUBLE ELSE 0.5::DOUBLE END AS tag_score FROM pages")
 def page_tag_scores(s, d):
     return pages.density(_pages(s, d), ["page_id"]).select("page_id", "tag_score")
 
@@ -468,7 +468,7 @@ def metric_gauges(s, d):
     return metrics.gauges(_requests(s, d).select("ts", F.lit("domain_ban_rate").alias("metric"), F.col("domain").alias("label"), "value"))
 
 
-@query("SELECT label, bound, count(*) FILTER (WHERE bound IS NULL OR value <= bound) AS n FROM (SELECT CASE WHEN success THEN 'fast' ELSE 'slow' END AS label, value FROM " + REQUESTS + "), (SELECT unnest([" + ", ".join(map(str, metrics.BOUNDS)) + ", NULL]) AS bound) GROUP BY label, bound")
+@query("SELECT label, bound, count(*) FILTER (WHERE bound IS NULL OR value <= bound) AS n FROM (SELECT CASE WHEN success THEN 'fast' ELSE 'slow' END AS label, value FROM " + REQUESTS + "), (SELECT CAST(unnest([" + ", ".join(map(str, metrics.BOUNDS)) + ", NULL]) AS DOUBLE) AS bound) GROUP BY label, bound")
 def metric_histogram(s, d):
     r = _requests(s, d).select("ts", F.lit("request_duration_seconds").alias("metric"), F.when(F.col("success"), "fast").otherwise("slow").alias("label"), "value")
     return metrics.histogram(r).select("label", "bound", "n")
