@@ -15,7 +15,7 @@ import struct
 import tempfile
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -143,7 +143,7 @@ def _save(path: str, name: str, columns: list[np.ndarray]) -> None:
     fs.move(temporary, f"{root}/{name}")
 
 
-@cache
+@lru_cache(maxsize=20_000)  # a process may hold some 65,000 maps
 def _mapped(path: str, name: str, kinds: tuple[str, ...]) -> list[np.ndarray]:
     """The columns of a file, mapped into memory. One that no local path reaches is first fetched into an unnamed file."""
     fs, root = pyarrow.fs.FileSystem.from_uri(path)
