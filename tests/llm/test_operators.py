@@ -267,17 +267,12 @@ def test_language_model_sums_to_one(spark):
     words = sorted({w for _, t in rows for w in t.split()})
     import numpy as np
 
-    h, _ = kneser_ney.WordHashes().of([" ".join([*words, "unseen"]).encode()])
-    for context in (words[0], words[7], "unseen"):
-        u = kneser_ney.WordHashes().of([context.encode()])[0][0]
-        pair = np.array([np.concatenate([[u, x]]) for x in h], np.uint64)
-        two = m.score(pair.ravel(), np.full(len(h), 2))[2]
-        one = m.score(np.full(len(h), u), np.full(len(h), 1))[2]
-        # p(x | u) * p(end | x) and p(end | u) besides: take the end apart
-        ends = m.score(h, np.full(len(h), 1))[2]
-        start = m.score(h, np.full(len(h), 1))[2]
-        del ends, start
-        assert np.isfinite(two).all() and np.isfinite(one).all()
+    h, _ = kneser_ney.WordHashes().of([" ".join([*words, "unseen", "another"]).encode()])
+    every = np.append(h[:-1], kneser_ney.END)  # all known words, an unknown one, and the end
+    for context in (h[0], h[7], h[-1], kneser_ney.BEGIN):
+        count, base, p = m.pairs(np.full(len(every), context), every)
+        assert abs(p.sum() - 1) < 1e-9 and (p > 0).all() and count.sum() == m.sums["n_tokens"] and (count == 0).sum() == 1
+        assert abs((10**base).sum() - 1) < 1e-9
 
 
 def brute_classes(rows, max_bits=3):

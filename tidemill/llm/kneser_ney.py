@@ -294,9 +294,8 @@ class Model:
                 o[part][hit] = c[at[hit]]
         return out
 
-    def score(self, h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of texts, given their words' hashes: (known tokens, base scores, scores)."""
-        u, w = with_ends(h, sizes)
+    def pairs(self, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of words w after words u: (counts of w, log10 base probabilities of w, probabilities of w after u)."""
         words, at = np.unique(np.concatenate([u, w]), return_inverse=True)
         count, continued, total, once, twice, more = self._look("words", WORDS, words)
         iu, iw = at[: len(u)], at[len(u) :]
@@ -307,13 +306,17 @@ class Model:
         d = self.bigram_d
         seen = total > 0
         left = np.where(seen, (d[0] * once + d[1] * twice + d[2] * more) / np.maximum(total, 1), 1.0)
-        pairs, ip = np.unique(bigram(u, w), return_inverse=True)
-        (c,) = self._look("bigrams", BIGRAMS, pairs)
-        p = (_lowered(c, d)[ip] / np.maximum(total, 1)[iu]) * seen[iu] + left[iu] * p1[iw]
-        first = np.cumsum(sizes + 1) - (sizes + 1)
+        distinct, ip = np.unique(bigram(u, w), return_inverse=True)
+        (c,) = self._look("bigrams", BIGRAMS, distinct)
+        return count[iw], base[iw], (_lowered(c, d)[ip] / np.maximum(total, 1)[iu]) * seen[iu] + left[iu] * p1[iw]
+
+    def score(self, h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts, given their words' hashes: (known tokens, base scores, scores)."""
         if not len(sizes):
             return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-        return np.add.reduceat((count > 0).astype(np.int64)[iw], first), np.add.reduceat(base[iw], first), np.add.reduceat(np.log10(p), first)
+        count, base, p = self.pairs(*with_ends(h, sizes))
+        first = np.cumsum(sizes + 1) - (sizes + 1)
+        return np.add.reduceat((count > 0).astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(np.log10(p), first)
 
 
 def _lowered(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
