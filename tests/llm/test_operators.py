@@ -195,6 +195,18 @@ def test_token_files(spark, docs, none, tmp_path):
     assert [r["start"] for r in twice] == [0, twice[0]["n_tokens"]]
 
 
+def test_order_is_seen(spark):
+    make = lambda ids, n: spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id bigint, text string").coalesce(1).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    assert rans.lies_in_order(make(range(20), 3)) and rans.lies_in_order(make([1, 1, 2, 2, 2], 2)) and rans.lies_in_order(make([], 2))
+    assert not rans.lies_in_order(make([None, 1, 2], 2)) and not rans.lies_in_order(make(range(20), 1).orderBy(F.desc("doc_id")))
+    mixed = make(range(20), 1).where("doc_id > 9").union(make(range(20), 1).where("doc_id <= 10"))  # 10 is in both, partitions come the other way round
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for df in (make(range(50), 3), mixed, make(range(20), 1).union(make(range(5, 15), 1))):
+        got = rans.encoded(df, path).orderBy("start").collect()
+        assert [r["doc_id"] for r in got] == sorted(r["doc_id"] for r in df.collect())
+        assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
+
+
 def test_toxicity(spark, docs, none):
     rng = random.Random(3)
     rows = [(i, sentence(rng.randint(20, 80), rng), 0) for i in range(300)]

@@ -11,7 +11,6 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Every byte that is no word byte becomes a space, A-Z become a-z. Bytes from 0x80 on only occur in
 #: UTF-8 sequences of non-ASCII characters, all of which are word characters.
@@ -96,8 +95,3 @@ def slices(batches: Iterable[pa.RecordBatch], most: int = 4 << 20) -> Iterator[p
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def first_columns(df: DataFrame, **named: str) -> DataFrame:
-    """Only the named columns, under the operator's own names, so that other columns cannot clash."""
-    return df.select(*[F.col(f"`{there}`").alias(here) for here, there in named.items()])

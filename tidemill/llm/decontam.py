@@ -14,7 +14,6 @@ sent to the workers, and each adds its hits to the documents' rows, so no shuffl
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -275,7 +274,3 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> tuple[str, str]:
 def leak_digest(leaks: DataFrame) -> DataFrame:
     """The contract's columns of find_leaks()."""
     return leaks.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
-
-
-def sha_of(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

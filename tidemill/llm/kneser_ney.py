@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import struct
 import tempfile
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -378,7 +377,3 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), held_out_by(id_col, folds, fold).alias("held_out"), F.col(f"`{text_col}`").alias("text"))
     model = train(rows.where(~F.col("held_out")), path or scratch(docs.sparkSession, "ngrams"))
     return score_texts(rows, model, keep=("doc_id", "held_out"))
-
-
-def crc_fold(text: str, folds: int) -> int:
-    return zlib.crc32(text.encode()) % folds

@@ -143,22 +143,25 @@ def unpack_docs(raw: bytes, n: int) -> tuple[list[int | None], np.ndarray]:
     return [None if z else x for x, z in zip(np.frombuffer(raw, "<i8", n).tolist(), null.tolist())], np.frombuffer(raw, "<u8", n, 8 * n).astype(np.int64)
 
 
-def tokenized(docs: DataFrame, tokenizer: str, *, end_id: int = 2, block_ids: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, *, end_id: int = 2, block_ids: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", in_order: bool = False) -> DataFrame:
     """Documents in ascending order of doc_id, null first, as rows (part, seq, at, n, n_docs, docs, width, ids) of whole documents each.
 
-    Each task ends with a row of seq -1 that has no documents but the counts of its ids: symbols and counts.
+    Each task ends with a row of seq -1 that has no documents but the counts of its ids (symbols and counts), the least and greatest doc_id, and
+    whether these came in order. in_order: the input is taken as it lies; else it is range-sorted.
     """
     with open(tokenizer, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(spec.value, 1_000_000)
+        enc = encoder(spec.value, 500_000)
         part, seq, at = TaskContext.get().partitionId(), 0, 0
         names: list = []
         held: list[bytes] = []
         n = 0
         total = np.zeros(1, np.int64)
+        low = high = None
+        rising = True
 
         def row():
             lengths = [len(x) // 4 for x in held]
@@ -169,13 +172,15 @@ def tokenized(docs: DataFrame, tokenizer: str, *, end_id: int = 2, block_ids: in
             total = own
             if len(small) and small.max() < 1 << 16:
                 small = small.astype("<u2")
-            return written(part, seq, at, n, len(names), pack_docs(names, lengths), small.itemsize, small.tobytes(), None, None)
+            return written(part, seq, at, n, len(names), pack_docs(names, lengths), small.itemsize, small.tobytes(), None, None, None, None, None)
 
         def written(*values):
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=[x.split()[0] for x in schema.split(", ")])
 
         for b in slices(batches):
             for doc, raw in zip(b.column(0).to_pylist(), enc.encode([x or "" for x in b.column(1).to_pylist()])):
+                rising = rising and doc is not None and (high is None or high <= doc)
+                low, high = doc if low is None else low, doc
                 names.append(doc)
                 held.append(raw + end)
                 n += len(held[-1]) // 4
@@ -185,15 +190,45 @@ def tokenized(docs: DataFrame, tokenizer: str, *, end_id: int = 2, block_ids: in
         if names:
             yield row()
         ids = np.flatnonzero(total)
-        yield written(part, -1, 0, 0, 0, None, None, None, ids.tolist(), total[ids].tolist())
+        yield written(part, -1, 0, 0, 0, None, None, None, ids.tolist(), total[ids].tolist(), low, high, rising)
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    schema = "part int, seq int, at long, n long, n_docs int, docs binary, width int, ids binary, symbols array<int>, counts array<long>"
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    if not in_order:
+        rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    schema = "part int, seq int, at long, n long, n_docs int, docs binary, width int, ids binary, symbols array<int>, counts array<long>, low long, high long, rising boolean"
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.bool_()]
     return rows.mapInArrow(run, schema)
 
 
+def _parts_in_order(parts: list) -> list | None:
+    """Partitions (part, low, high, rising) in the order of their ids; null if ids don't rise within and from one to the next."""
+    parts = sorted((p for p in parts if p["low"] is not None), key=lambda p: (p["low"], p["high"]))
+    fit = all(p["rising"] for p in parts) and all(a["high"] <= b["low"] for a, b in zip(parts, parts[1:]))
+    return [p["part"] for p in parts] if fit else None
+
+
+def lies_in_order(docs: DataFrame, id_col: str = "doc_id") -> bool:
+    """Whether ids rise within and between partitions, so that nothing need be sorted. Reads the ids only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = high = None
+        rising = True
+        for b in batches:
+            c = b.column(0)
+            if not len(c):
+                continue
+            if c.null_count:
+                rising, low, high = False, 0, 0
+                break
+            x = c.to_numpy()
+            rising = rising and bool((x[1:] >= x[:-1]).all()) and (high is None or high <= x[0])
+            low, high = int(x[0]) if low is None else low, int(x[-1])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([low], pa.int64()), pa.array([high], pa.int64()), pa.array([rising])], names=["part", "low", "high", "rising"])
+
+    ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"))
+    return _parts_in_order(ids.mapInArrow(run, "part int, low long, high long, rising boolean").collect()) is not None
+
+
 def _frequencies(tokens: DataFrame) -> np.ndarray:
     """Counts of all symbols; as many rows as the vocabulary has come to the driver."""
 
@@ -214,9 +249,16 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 2, id
     """
     spark = docs.sparkSession
     small_batches(spark)
-    kept = scratch(spark, "tokens")
-    tokenized(docs, tokenizer, end_id=end_id, id_col=id_col, text_col=text_col).write.option("compression", "zstd").parquet(kept)
-    tokens = spark.read.parquet(kept)
+    order = None
+    # documents that lie in order already are spared the shuffle; whether they did is told once more by what was read
+    for in_order in (True, False) if lies_in_order(docs, id_col) else (False,):
+        kept = scratch(spark, "tokens")
+        tokenized(docs, tokenizer, end_id=end_id, id_col=id_col, text_col=text_col, in_order=in_order).write.option("compression", "zstd").parquet(kept)
+        tokens = spark.read.parquet(kept)
+        parts = tokens.where("seq = -1").select("part", "low", "high", "rising").collect()
+        order = _parts_in_order(parts) if in_order else sorted(p["part"] for p in parts)
+        if order is not None:
+            break
     fs, root = pyarrow.fs.FileSystem.from_uri(path)
     fs.create_dir(root, recursive=True)
     freq = quantised(_frequencies(tokens))
@@ -226,8 +268,8 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 2, id
     # one number for each partition of the range-sorted documents
     sums = {r["part"]: r["n"] for r in tokens.groupBy("part").agg(F.sum("n").alias("n")).collect()}
     base, total = {}, 0
-    for p in sorted(sums):
-        base[p] = total
+    for k, p in enumerate(order):
+        base[p] = k, total
         total += sums[p]
     shared = spark.sparkContext.broadcast((freq, base))
 
@@ -240,11 +282,12 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 2, id
         for b in batches:
             for part, seq, at, n, n_docs, docs, width, ids in zip(*[b.column(c).to_pylist() for c in ("part", "seq", "at", "n", "n_docs", "docs", "width", "ids")]):
                 if out is None:
-                    name = f"{root}/part-{part:06d}-{seq:06d}.ids"
+                    name = f"{root}/part-{base[part][0]:06d}-{seq:06d}.ids"
                     out = fs.open_output_stream(f"{name}.{attempt}", compression=None)
                     out.write(MAGIC)
-                raw = pack_block(np.frombuffer(ids, f"<u{width}").astype(np.uint32), base[part] + at, docs, n_docs, model)
-                index.append((place, len(raw), base[part] + at, n))
+                first = base[part][1] + at
+                raw = pack_block(np.frombuffer(ids, f"<u{width}").astype(np.uint32), first, docs, n_docs, model)
+                index.append((place, len(raw), first, n))
                 out.write(raw)
                 place += len(raw)
         if out is not None:
@@ -253,7 +296,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 2, id
             fs.move(f"{name}.{attempt}", name)
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(index)], pa.int64())], names=["file", "blocks"])
 
-    tokens.where("seq >= 0").drop("symbols", "counts").mapInArrow(write, "file string, blocks long").agg(F.sum("blocks")).collect()
+    tokens.where("seq >= 0").drop("symbols", "counts", "low", "high", "rising").mapInArrow(write, "file string, blocks long").agg(F.sum("blocks")).collect()
     return total
 
 

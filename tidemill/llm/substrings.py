@@ -15,7 +15,6 @@ All steps send hashes, places and contexts; the texts themselves stay in files o
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -430,8 +429,8 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return stored(ranged.select(F.monotonically_increasing_id().alias("_ord"), *rest, text), "numbered")
 
 
-def covered_spans(docs: DataFrame, path: str, *, id_col: str, text_col: str, length: int, many: int = 2_000) -> tuple[DataFrame, list[str]]:
-    """Rows (part, kind, data) that tell each part's covered spans, one FILE row for each part; the columns in the parts' files."""
+def covered_spans(docs: DataFrame, path: str, *, id_col: str, text_col: str, length: int, many: int = 2_000) -> DataFrame:
+    """Rows (part, kind, data) that tell each part's covered spans, and one FILE row for each part."""
     if length < 2 * K:
         raise ValueError(f"length must be {2 * K} or more")
     rows = _numbered(docs, id_col, text_col)
@@ -442,7 +441,7 @@ def covered_spans(docs: DataFrame, path: str, *, id_col: str, text_col: str, len
     docs.sparkSession.sparkContext._jvm.System.gc()  # lets go of the shuffle's files
     contexts = found.where(F.col("kind") == WANTED).repartition(n, "part").sortWithinPartitions("part").mapInArrow(_cut(path, shards, length), ROWS)
     spans = contexts.repartition(shards, "to").sortWithinPartitions("to").mapInArrow(_resolve(length), ROWS)
-    return found.where(F.col("kind").isin(COVERED, FILE)).union(spans), rows.columns
+    return found.where(F.col("kind").isin(COVERED, FILE)).union(spans)
 
 
 def _merge(spans: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -477,7 +476,7 @@ def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     path = path or scratch(spark, "texts")
     own = ["doc_id", "text", "kept", "n_bytes", "n_removed", "n_spans", "spans"]
     docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), *[F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col, *own)], F.col(f"`{text_col}`").alias("text"))
-    found, _ = covered_spans(docs, path, id_col="doc_id", text_col="text", length=length)
+    found = covered_spans(docs, path, id_col="doc_id", text_col="text", length=length)
     rest = [f for f in docs.schema.fields if f.name != "text"]
     reach = length - K
 
@@ -514,7 +513,3 @@ def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest]) + ", text string, kept binary, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>"
     n = max(1, docs.rdd.getNumPartitions())
     return found.repartition(n, "part").sortWithinPartitions("part").mapInArrow(run, schema)
-
-
-def sha256_of(kept: bytes) -> str:
-    return hashlib.sha256(kept).hexdigest()
