@@ -181,6 +181,27 @@ def test_license_join_is_exact(spark):
         assert got[i]["score"] == max([0.0, *want.values()])
 
 
+def test_licenses_across_lines(spark):
+    """Notices as they are wrapped in source files."""
+    texts = [
+        "/*\n * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the \"Software\"), to deal\n */",
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+        "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n",
+        "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted",
+        "Licensed\n\nunder\nthe\nMIT\nLicense",
+        "Licensed\n" + sentence(30) + "\nunder the\n" + sentence(30) + "\nMIT License",
+    ]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = by_id(licenses.scan_licenses(df, phrases={}))
+    for i, label in enumerate(["mit", "bsd", "gpl-3", "isc", "mit"]):
+        assert label in got[i]["labels"].split(","), (i, got[i]["labels"])
+    assert [got[i]["score"] for i in range(5)] == [1.0] * 5 and got[0]["matches"][0]["block"] == 1
+    assert got[5]["labels"] == ""  # too far apart
+    by_lines = by_id(licenses.scan_licenses(df, phrases={}, across_lines=False))
+    assert all(not by_lines[i]["labels"] for i in (0, 1, 4))
+
+
 def test_token_files(spark, docs, none, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)

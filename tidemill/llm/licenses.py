@@ -1,7 +1,7 @@
 """Licence scan: exact set-similarity join between text blocks and licence notices.
 
-A block is a line of a text; a block and a template are sets of words (as in decontam.words_of). A block matches
-where it holds at least `threshold` of a template's words. The template words are ordered by their frequency in the
+A block is a line of a text, or a window across line ends: as many consecutive words as the template has. A block and a template
+are sets of words (as in decontam.words_of). A block matches where it holds at least `threshold` of a template's words. The template words are ordered by their frequency in the
 corpus, rarest first. Of a template with n words, c = ceil(threshold * n) must be found, hence one at least of its
 n - c + 1 rarest (prefix filter). A block of fewer than c words is passed over (length filter), and so is one in which the
 places of the first shared word leave room for fewer than c shared ones (positional filter). What is left is counted exactly.
@@ -10,6 +10,7 @@ places of the first shared word leave room for fewer than c shared ones (positio
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -57,6 +58,7 @@ class Matcher:
         every = {w for _, t in templates for w in _words(t.encode())}
         self.rank = {w: i for i, w in enumerate(sorted(every, key=lambda w: (frequency.get(w, 0), w)))}
         self.templates = []
+        self.lengths: list[int] = []  # words, repeated ones too
         self.index: dict[int, list[tuple[int, int]]] = {}
         for label, text in templates:
             own = sorted({self.rank[w] for w in _words(text.encode())})
@@ -65,6 +67,7 @@ class Matcher:
             need = max(1, math.ceil(threshold * len(own) - 1e-9))
             k = len(self.templates)
             self.templates.append((label, frozenset(own), len(own), need))
+            self.lengths.append(len(_words(text.encode())))
             for i, r in enumerate(own[: len(own) - need + 1]):
                 self.index.setdefault(r, []).append((k, i))
         names = {r: w for w, r in self.rank.items()}
@@ -89,6 +92,45 @@ class Matcher:
                     found[label] = max(found.get(label, 0.0), shared / n)
         return found
 
+    def across(self, words: list[bytes], starts: list[int]) -> Iterator[tuple[int, int, str, float]]:
+        """Matches of windows across line ends: first line, last line, label, containment. starts: each line's first word's number.
+
+        A window has as many words as the template; the lines are those of its first and its last shared word. Of windows
+        that overlap, the best is given.
+        """
+        rank, everywhere = self.rank, set(words)
+        own = {rank[w] for w in everywhere if w in rank}
+        tried = set()
+        for r in own:
+            for k, _ in self.index.get(r, ()):
+                label, template, n, need = self.templates[k]
+                if k in tried or len(template.intersection(own)) < need:
+                    continue
+                tried.add(k)
+                at = [(i, x) for i, w in enumerate(words) if (x := rank.get(w)) in template]
+                count: Counter = Counter()
+                tail, best, end = 0, None, -1
+                for i, x in at:
+                    count[x] += 1
+                    while at[tail][0] <= i - self.lengths[k]:
+                        y = at[tail][1]
+                        count[y] -= 1
+                        if not count[y]:
+                            del count[y]
+                        tail += 1
+                    a = at[tail][0]
+                    first, last = bisect_right(starts, a) - 1, bisect_right(starts, i) - 1
+                    if len(count) < need or first == last:
+                        continue
+                    if best and a > end:
+                        yield best
+                        best = None
+                    end = i
+                    if not best or len(count) / n > best[3]:
+                        best = (first, last, label, len(count) / n)
+                if best:
+                    yield best
+
 
 def word_frequency(docs: DataFrame, words: set[bytes], text_col: str = "text") -> dict[bytes, int]:
     """How often the given words occur in all texts. There is one row for each word at most."""
@@ -115,14 +157,16 @@ def _places(joined: bytes, phrase: bytes) -> list[int]:
     return out
 
 
-def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8) -> DataFrame:
+def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8, across_lines: bool | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, matches, labels, score.
 
     n_base: places where a phrase's words stand consecutively; first_word and last_word their smallest and largest start, null
-    without any. matches: array of (block: line number from 0, label, containment). labels: base labels and the matches', distinct,
+    without any. matches: array of (block: line number from 0, of a window the first line's, label, containment). across_lines: whether
+    windows across line ends are blocks too, by default with the built-in templates; one adds nothing where one of its lines has the label. labels: base labels and the matches', distinct,
     sorted. score: 1 with a base label, else the best containment of any match, else 0. Null and empty texts have
     no words, no labels and score 0; equal labels from several templates count once. Columns other than the two are not looked at.
     """
+    across_lines = templates is None if across_lines is None else across_lines
     phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
     small_batches(docs.sparkSession)
     frequency = word_frequency(docs, {w for _, t in templates for w in _words(t.encode())}, text_col)
@@ -148,10 +192,23 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                             base.add(label)
                 matches = []
                 if not matcher.prefix.isdisjoint(words):
+                    starts_of_lines, n = [], 0
                     for k, line in enumerate(t.split(b"\n")):
                         own = line.translate(ALNUM).split()
+                        starts_of_lines.append(n)
+                        n += len(own)
                         if own and not matcher.prefix.isdisjoint(own):
                             matches += [{"block": k, "label": x, "containment": c} for x, c in sorted(matcher.block(own).items())]
+                    if across_lines and len(starts_of_lines) > 1:
+                        have_lines: dict[str, list[int]] = {}
+                        for m in matches:
+                            have_lines.setdefault(m["label"], []).append(m["block"])
+                        spans: dict[tuple[int, str], float] = {}
+                        for first, last, x, c in matcher.across(words, starts_of_lines):
+                            own_lines = have_lines.get(x, [])
+                            if bisect_right(own_lines, last) == bisect_left(own_lines, first):
+                                spans[first, x] = max(spans.get((first, x), 0.0), c)
+                        matches += [{"block": k, "label": x, "containment": c} for (k, x), c in sorted(spans.items())]
                 labels = sorted(base.union(m["label"] for m in matches))
                 score = 1.0 if base else max([0.0, *(m["containment"] for m in matches)])
                 rows.append((len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), matches, ",".join(labels), score))
