@@ -202,6 +202,24 @@ def test_licenses_across_lines(spark):
     assert all(not by_lines[i]["labels"] for i in (0, 1, 4))
 
 
+def test_licenses_own_label_only(spark):
+    """Licences with nearly the same notice: each text yields its own label, and that of others none."""
+    foundation = licenses._FOUNDATION
+    rows = [
+        ("apache-2", "Licensed under the Apache License, Version 2.0."), ("gpl-3", "This work is licensed under the GNU General Public License, version 3."), ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
+        ("mit", "Released under the MIT License."), ("proprietary", "All rights reserved."), ("", "Licensed under the Foo License"), ("", "Licensed under the Apache License, Version 1.1"), ("gpl-2", "This work is licensed under the GNU General Public License, version 2"),
+        ("gpl-2,gpl-3", "This work is licensed under the GNU General Public License, version 2 or version 3"), ("gpl-3", "This work is licensed under version 3 of the GNU General Public License"), ("gpl-3", "This work is licensed under the GNU General Public License v3"),
+        ("", "This work is licensed under the GNU Lesser General Public License, version 2.1"), ("lgpl-3", "Licensed under the GNU Lesser General Public License, version 3"), ("agpl-3", "Licensed under the GNU Affero General Public License, version 3"),
+        ("cc-by", "Licensed under CC BY 4.0"), ("cc-by", "Licensed under CC BY 3.0"), ("cc-by-sa", "Licensed under CC BY-SA 4.0"), ("cc-by-nc", "Licensed under CC BY-NC-SA 4.0"), ("cc-by,cc-by-nc", "Licensed under CC BY 4.0 or CC BY-NC 4.0"), ("cc-by-nc", "Use 4.0 licensed under CC BY-\nNC 4.0"),
+        ("gpl-2", foundation.format("", 2)), ("gpl-3", foundation.format("", 3)), ("lgpl-3", foundation.format("Lesser ", 3)), ("agpl-3", foundation.format("Affero ", 3)), ("lgpl-3", foundation.format("Lesser\n * ", 3).replace("License as", "License\n * as")),
+        ("", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+        ("", "This is free software released into the public domain"), ("", "Permission to use, copy, modify, and distribute this software and its documentation for any purpose and without fee is hereby granted"),
+    ]
+    rows += [(label, text) for label, text, *_ in licenses.TEMPLATES] + [(label, text.replace(" ", "\n")) for label, text, *_ in licenses.TEMPLATES]
+    got = by_id(licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id bigint, text string")))
+    assert [(r[1], got[i]["labels"]) for i, r in enumerate(rows)] == [(t, label) for label, t in rows]
+
+
 def test_token_files(spark, docs, none, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)

@@ -1,7 +1,8 @@
 """Licence scan: exact set-similarity join between text blocks and licence notices.
 
 A block is a line of a text, or a window across line ends: as many consecutive words as the template has. A block and a template
-are sets of words (as in decontam.words_of). A block matches where it holds at least `threshold` of a template's words. The template words are ordered by their frequency in the
+are sets of words (as in decontam.words_of). A block matches where it holds at least `threshold` of a template's words and, of a
+template that has one, the name: what tells its licence from others with nearly the same notice, as a pattern over the block's words. The template words are ordered by their frequency in the
 corpus, rarest first. Of a template with n words, c = ceil(threshold * n) must be found, hence one at least of its
 n - c + 1 rarest (prefix filter). A block of fewer than c words is passed over (length filter), and so is one in which the
 places of the first shared word leave room for fewer than c shared ones (positional filter). What is left is counted exactly.
@@ -10,6 +11,7 @@ places of the first shared word leave room for fewer than c shared ones (positio
 from __future__ import annotations
 
 import math
+import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -22,28 +24,43 @@ from .common import ALNUM, binary, slices, small_batches
 
 # Phrases that name a licence by themselves, and the notices that licences ask for.
 PHRASES = {"mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+#: Between a licence and its version: up to 12 words that are no version, and other versions of which there is a choice.
+_TO_VERSION = r"(?:(?!gnu |version |v?\d)[^ ]+ ){0,12}(?:(?:version |v )*v?\d+ (?:[01] )?(?:or |and )+)*(?:version |v )*v?"
+
+
+def _public(kind: str, version: int) -> str:
+    """The name of a GNU licence: kind is a word before "general", or empty."""
+    before, name = ("", f"{kind} ") if kind else ("(?<! lesser)(?<! library)(?<! affero)", "")
+    return rf"{before} {name}general public licen[cs]e {_TO_VERSION}{version} | v(?:ersion )?v?{version} of the (?:gnu )?{name}general public licen[cs]e "
+
+
+_FOUNDATION = "you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License"
+# label, notice and, where a notice of another licence may hold enough of its words, the name
 TEMPLATES = [
-    ("mit", "Released under the MIT License"),
-    ("mit", "Licensed under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2", "Licensed under the Apache License, Version 2.0"),
-    ("apache-2", "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("gpl-2", "This work is licensed under the GNU General Public License, version 2"),
-    ("gpl-3", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl-3", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    ("lgpl-3", "Licensed under the GNU Lesser General Public License, version 3"),
-    ("agpl-3", "Licensed under the GNU Affero General Public License, version 3"),
+    ("mit", "Released under the MIT License", " mit "),
+    ("mit", "Licensed under the MIT License", " mit "),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", " associated "),
+    ("apache-2", "Licensed under the Apache License, Version 2.0", " apache (?:software |license |licence |version |v )*v?2 "),
+    ("apache-2", "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", " apache "),
+    ("gpl-2", "This work is licensed under the GNU General Public License, version 2", _public("", 2)),
+    ("gpl-2", _FOUNDATION.format("", 2), _public("", 2)),
+    ("gpl-3", "This work is licensed under the GNU General Public License, version 3", _public("", 3)),
+    ("gpl-3", _FOUNDATION.format("", 3), _public("", 3)),
+    ("lgpl-3", "Licensed under the GNU Lesser General Public License, version 3", _public("lesser", 3)),
+    ("lgpl-3", _FOUNDATION.format("Lesser ", 3), _public("lesser", 3)),
+    ("agpl-3", "Licensed under the GNU Affero General Public License, version 3", _public("affero", 3)),
+    ("agpl-3", _FOUNDATION.format("Affero ", 3), _public("affero", 3)),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by", "Licensed under CC BY 4.0"),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", " mozilla public licen[cs]e (?:version |v )*v?2 "),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", " attribution (?!share|non ?comm|no ?deriv)"),
+    ("cc-by", "Licensed under CC BY 4.0", " cc by (?!nc |sa |nd )"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", " attribution share ?alike "),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0", " cc by sa "),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", " attribution non ?commercial "),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0", " cc by nc "),
     ("proprietary", "All rights reserved"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("unlicense", "This is free and unencumbered software released into the public domain", " unencumbered "),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", " with or without fee "),
 ]
 
 
@@ -54,13 +71,14 @@ def _words(text: bytes) -> list[bytes]:
 class Matcher:
     """Templates indexed by the words of their prefixes."""
 
-    def __init__(self, templates: list[tuple[str, str]], frequency: dict[bytes, int], threshold: float):
-        every = {w for _, t in templates for w in _words(t.encode())}
+    def __init__(self, templates: list[tuple[str, ...]], frequency: dict[bytes, int], threshold: float):
+        every = {w for t in templates for w in _words(t[1].encode())}
         self.rank = {w: i for i, w in enumerate(sorted(every, key=lambda w: (frequency.get(w, 0), w)))}
         self.templates = []
         self.lengths: list[int] = []  # words, repeated ones too
+        self.names: list[re.Pattern | None] = []
         self.index: dict[int, list[tuple[int, int]]] = {}
-        for label, text in templates:
+        for label, text, *name in templates:
             own = sorted({self.rank[w] for w in _words(text.encode())})
             if not own:
                 continue
@@ -68,14 +86,15 @@ class Matcher:
             k = len(self.templates)
             self.templates.append((label, frozenset(own), len(own), need))
             self.lengths.append(len(_words(text.encode())))
+            self.names.append(re.compile(name[0].encode()) if name else None)
             for i, r in enumerate(own[: len(own) - need + 1]):
                 self.index.setdefault(r, []).append((k, i))
         names = {r: w for w, r in self.rank.items()}
         self.prefix = frozenset(names[r] for r in self.index)
 
-    def block(self, words: list[bytes]) -> dict[str, float]:
-        """label -> best containment that reaches the threshold."""
-        rank, found = self.rank, {}
+    def block(self, text: list[bytes], a: int, b: int) -> dict[str, float]:
+        """label -> best containment that reaches the threshold, in the line that is text[a:b]."""
+        rank, found, words = self.rank, {}, text[a:b]
         size = len(set(words))
         own = sorted({rank[w] for w in words if w in rank})
         tried = set()
@@ -88,10 +107,19 @@ class Matcher:
                 if size < need or 1 + min(n - i - 1, len(own) - j - 1) < need:
                     continue
                 shared = len(template.intersection(own))
-                if shared >= need:
+                if shared >= need and self._named(k, text, a, b):
                     found[label] = max(found.get(label, 0.0), shared / n)
         return found
 
+    def _named(self, k: int, words: list[bytes], a: int, b: int) -> bool:
+        """Whether words[a:b] hold the k-th template's name; the words beside them tell whether it is a longer one."""
+        if not self.names[k]:
+            return True
+        left, own = words[max(0, a - 3) : a], words[a:b]
+        low = sum(map(len, left)) + len(left)
+        high = low + sum(map(len, own)) + len(own) + 1
+        return any(low <= m.start() and m.end() <= high for m in self.names[k].finditer(b" " + b" ".join(left + own + words[b : b + 3]) + b" "))
+
     def across(self, words: list[bytes], starts: list[int]) -> Iterator[tuple[int, int, str, float]]:
         """Matches of windows across line ends: first line, last line, label, containment. starts: each line's first word's number.
 
@@ -120,7 +148,7 @@ class Matcher:
                         tail += 1
                     a = at[tail][0]
                     first, last = bisect_right(starts, a) - 1, bisect_right(starts, i) - 1
-                    if len(count) < need or first == last:
+                    if len(count) < need or first == last or not self._named(k, words, max(0, min(a, i + 1 - self.lengths[k])), i + 1):
                         continue
                     if best and a > end:
                         yield best
@@ -157,7 +185,7 @@ def _places(joined: bytes, phrase: bytes) -> list[int]:
     return out
 
 
-def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8, across_lines: bool | None = None) -> DataFrame:
+def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: list[tuple[str, ...]] | None = None, threshold: float = 0.8, across_lines: bool | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, matches, labels, score.
 
     n_base: places where a phrase's words stand consecutively; first_word and last_word their smallest and largest start, null
@@ -169,7 +197,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     across_lines = templates is None if across_lines is None else across_lines
     phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
     small_batches(docs.sparkSession)
-    frequency = word_frequency(docs, {w for _, t in templates for w in _words(t.encode())}, text_col)
+    frequency = word_frequency(docs, {w for t in templates for w in _words(t[1].encode())}, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(Matcher(templates, frequency, threshold))
     known = [(b" " + b" ".join(_words(p.encode())) + b" ", max(_words(p.encode()), key=len), label) for p, label in phrases.items()]
     kind = docs.select(F.col(f"`{id_col}`")).schema[0].dataType.simpleString()
@@ -198,7 +226,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                         starts_of_lines.append(n)
                         n += len(own)
                         if own and not matcher.prefix.isdisjoint(own):
-                            matches += [{"block": k, "label": x, "containment": c} for x, c in sorted(matcher.block(own).items())]
+                            matches += [{"block": k, "label": x, "containment": c} for x, c in sorted(matcher.block(words, n - len(own), n).items())]
                     if across_lines and len(starts_of_lines) > 1:
                         have_lines: dict[str, list[int]] = {}
                         for m in matches:
