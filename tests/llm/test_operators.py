@@ -351,6 +351,15 @@ def test_simhash(spark, docs, none):
     assert simhash.keep_one(docs.union(docs)).count() == kept.count() and simhash.near_duplicates(none).count() == 0
 
 
+def test_keep_one_of_each_class(spark):
+    """Ids that are null or shared by different texts: no class goes without a document."""
+    a, b, c, d, e = (sentence(200) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (1, c), (2, c), (2, d), (None, d), (3, e), (3, a[:400]), (3, "")]
+    make = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = simhash.keep_one(make(rows).repartition(3)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, make([(None, a), (None, b), (1, c), (2, d), (3, e), (3, a[:400]), (3, "")]).collect()))
+
+
 @pytest.mark.parametrize("long_list", [20_000, 5])
 def test_simhash_finds_all_links(spark, long_list):
     rng = random.Random(8)

@@ -178,6 +178,24 @@ def _root(parent: np.ndarray, i: int) -> int:
     return i
 
 
+def _rooted(docs: DataFrame, k: int, max_bits: int, id_col: str, text_col: str, long_list: int, hashed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, fp) of each row, and of each fingerprint (fp, least, root): its least row (missing, doc_id, text_hash), and
+    the least fingerprint of its class. Unless hashed, text_hash is 0."""
+    kind = docs.select(F.col(f"`{id_col}`")).schema[0].dataType.simpleString()
+    small_batches(docs.sparkSession)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fingerprints_of(binary(b.column(2)), k).view(np.int64))], names=["doc_id", "text_hash", "fp"])
+
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), (F.xxhash64(text) if hashed else F.lit(0).cast("long")).alias("text_hash"), text.alias("text"))
+    got = stored(rows.mapInArrow(scan, f"doc_id {kind}, text_hash long, fp long"), "fingerprints")
+    fps = stored(got.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("missing"), "doc_id", "text_hash")).alias("least")), "distinct")
+    roots = components(linked_pairs(fps.select("fp"), max_bits=max_bits, long_list=long_list)).select(F.col("node").alias("fp"), "root")
+    return got, fps.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, *, k: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text", long_list: int = 20_000) -> DataFrame:
     """Each row of docs with its fingerprint and class.
 
@@ -186,19 +204,9 @@ def near_duplicates(docs: DataFrame, *, k: int = 3, max_bits: int = 3, id_col: s
     repeated rows, have one fingerprint and so one class. A null doc_id keeps its row; it is no class's id unless the
     class has no other. Empty input: empty result.
     """
-    kind = docs.select(F.col(f"`{id_col}`")).schema[0].dataType.simpleString()
-    small_batches(docs.sparkSession)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints_of(binary(b.column(1)), k).view(np.int64))], names=["doc_id", "fp"])
-
-    got = stored(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(scan, f"doc_id {kind}, fp long"), "fingerprints")
-    fps = stored(got.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(linked_pairs(fps.select("fp"), max_bits=max_bits, long_list=long_list)).select(F.col("node").alias("fp"), "root")
-    fps = fps.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = fps.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stored(fps.join(least, "root").select("fp", "component_id"), "classes")
+    got, fps = _rooted(docs, k, max_bits, id_col, text_col, long_list)
+    least = fps.groupBy("root").agg(F.min("least").alias("least"))
+    classes = stored(fps.select("fp", "root").join(least, "root").select("fp", F.col("least.doc_id").alias("component_id")), "classes")
     return got.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -206,17 +214,17 @@ def fingerprint_hex(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without all but one document of each class: that with the least doc_id stays.
+def keep_one(docs: DataFrame, *, k: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text", long_list: int = 20_000) -> DataFrame:
+    """docs without all but one document of each class (as in near_duplicates): that with the least doc_id stays.
 
-    The text stays where it is; only ids are compared. Where rows share that doc_id, the first of them in the order of their text's
-    hash stays.
+    The text stays where it is; only ids and texts' hashes are compared. Where rows of a class share that doc_id, the first of them in
+    the order of their text's hash stays. Classes that share an id keep a row each. A null id comes after all others.
     """
-    id_col = options.get("id_col", "doc_id")
-    classes = near_duplicates(docs, **options)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_kept"))).drop("_kept")
-    if out.select(F.count("*") > F.count_distinct(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")))).first()[0]:
-        rest = [c for c in out.columns if c != id_col]
-        out = out.groupBy(id_col).agg(F.min(F.struct(F.xxhash64(options.get("text_col", "text")), *rest)).alias("r")).select(id_col, *[F.col(f"r.`{c}`") for c in rest]).select(*docs.columns)
-    return out
+    _, fps = _rooted(docs, k, max_bits, id_col, text_col, long_list, hashed=True)
+    least = fps.groupBy("root").agg(F.min("least").alias("least"))
+    kept = stored(least.select(F.col("least.doc_id").alias("_kept"), F.col("least.text_hash").alias("_hash")), "kept")
+    out = docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_kept")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_hash"))).drop("_kept")
+    if out.count() > kept.count():  # rows repeat with id and text
+        rest = [c for c in docs.columns if c != id_col]
+        out = out.groupBy(id_col, "_hash").agg(F.min(F.struct(*rest)).alias("r")).select(id_col, *[F.col(f"r.`{c}`") for c in rest])
+    return out.select(*docs.columns)
