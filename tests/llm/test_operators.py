@@ -360,6 +360,16 @@ def test_keep_one_of_each_class(spark):
     assert sorted(map(str, got)) == sorted(map(str, make([(None, a), (None, b), (1, c), (2, d), (3, e), (3, a[:400]), (3, "")]).collect()))
 
 
+def test_thresholds_see_all_ordinary_windows(monkeypatch):
+    rng, seen, quantile = random.Random(5), [], toxicity.np.quantile
+    texts = [sentence(400, rng).encode() for _ in range(1500)] + [(sentence(30, rng) + " vile scum " * 3).encode() for _ in range(60)]
+    toxic = [i >= 1500 for i in range(len(texts))]
+    monkeypatch.setattr(toxicity.np, "quantile", lambda x, q: seen.append(sorted(x)) or quantile(x, q))
+    model = toxicity.fit(texts, toxic)
+    gains = model.gains([w for t, bad in zip(texts, toxic) if not bad for w in toxicity.windows(t, model.size)])
+    assert len(gains) > 50_000 and seen == [sorted(gains)]
+
+
 @pytest.mark.parametrize("long_list", [20_000, 5])
 def test_simhash_finds_all_links(spark, long_list):
     rng = random.Random(8)

@@ -5,9 +5,9 @@ and each is compressed with the ordinary dictionary and with that and the toxic
 clearly shorter, the window holds what only toxic text explains. The trainer picks what recurs, which in toxic text is ordinary
 for the most part; so the toxic dictionary is pruned of strings that ordinary text holds about as often.
 
-Thresholds on the window's gain are quantiles of ordinary training windows; a logistic curve over a text's gains is fitted to
-the training labels and calibrated to their true share. The fit uses a sample of at most `fit_rows` labelled texts; scoring
-covers every window of every text.
+Thresholds on the window's gain are quantiles of all ordinary training windows; a logistic curve over a text's gains is fitted to
+the training labels and calibrated to their true share. The fit uses a sample of at most `fit_rows` labelled texts, and of these
+at most `most_windows` windows of each kind train the dictionaries; scoring covers every window of every text.
 """
 
 from __future__ import annotations
@@ -68,8 +68,8 @@ class Classifier:
         a, b = (c.compress for c in self._with)
         return np.array([len(a(w)) - len(b(w)) for w in parts], np.float64)
 
-    def features(self, text: bytes) -> np.ndarray:
-        g = self.gains(windows(text, self.size))
+    def features(self, g: np.ndarray) -> np.ndarray:
+        """Of a text whose windows have these gains."""
         one, two = (g >= self.thresholds[0]).sum(), (g >= self.thresholds[1]).sum()
         top = np.partition(g, len(g) - 3)[-3:] if len(g) > 3 else g
         return np.array([g.max(), g.mean(), top.mean(), one / len(g), two / len(g), np.log1p(one), np.log1p(two), np.log(len(g))])
@@ -77,7 +77,7 @@ class Classifier:
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        x = (np.array([self.features(t) for t in texts]) - self.mean) / self.scale
+        x = (np.array([self.features(self.gains(windows(t, self.size))) for t in texts]) - self.mean) / self.scale
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -500, 500)))
 
 
@@ -98,6 +98,7 @@ def _trained(samples: list[bytes], size: int, k: int) -> bytes:
 def fit(texts: list[bytes], toxic: list[bool], share: float | None = None, *, size: int = 40, level: int = 12, ordinary_bytes: int = 64 << 10, toxic_bytes: int = 16 << 10, most_windows: int = 200_000, seed: int = 1) -> Classifier:
     """A classifier from labelled texts. share: the toxic texts' true share, if those given are not in proportion.
 
+    most_windows: at most so many windows of each kind, chosen at random, train the dictionaries; thresholds and curve see all.
     Without texts of both kinds every score is that share (0 if it is not known).
     """
     rng = random.Random(seed)
@@ -124,9 +125,10 @@ def fit(texts: list[bytes], toxic: list[bool], share: float | None = None, *, si
     n = [int((~y).sum()), int(y.sum())]
     kept = sorted((w for w in found if held[1][w] >= 3 and held[1][w] / n[1] > 8 * (held[0][w] + 0.5) / n[0]), key=lambda w: (held[1][w], w))
     model = Classifier(ordinary, b" " + b" ".join(kept) + b" " if kept else b"", size, level, (1.0, 2.0), np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(len(FEATURES) + 1))
-    first, second = np.quantile(model.gains(plain[:50_000]), [0.99, 0.999])
+    gains = [model.gains(windows(t, size)) for t in texts]
+    first, second = np.quantile(np.concatenate([g for g, k in zip(gains, toxic) if not k]), [0.99, 0.999])
     model.thresholds = (max(2.0, float(first)), max(3.0, float(first) + 1, float(second)))
-    x = np.array([model.features(t) for t in texts])
+    x = np.array([model.features(g) for g in gains])
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
     weight = np.where(y, share / n[1], (1 - share) / n[0]) * len(y)
     model.weights = _logistic((x - model.mean) / model.scale, y.astype(float), weight)
