@@ -39,7 +39,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages go, and documents that are benchmark passages for the most part."""
-    return _documents(decontam.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")))
+    items = table(spark, sf_dir, "benchmark").withColumn("item_id", F.coalesce(F.col("item_id").cast("string"), F.lit("")))  # passages without an id go too
+    return _documents(decontam.decontaminate(docs.select(*COLUMNS), items))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,6 +65,14 @@ def test_decontamination_stage(spark, sf, stages):
     assert texts(stages["decontamination"]) == want
 
 
+def test_benchmark_passages_without_an_id_go(spark, tmp_path):
+    passage = " ".join(f"word{i}" for i in range(12))
+    spark.createDataFrame([(None, passage)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, passage, "en", "web", 0), (2, "another text", "en", "web", 12)]
+    got = P.cut_benchmarks(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), str(tmp_path))
+    assert texts(got) == [(2, "another text")]
+
+
 def test_packing_stage(stages):
     lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     got = {}

@@ -157,7 +157,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     and the columns of docs named in keep.
 
     Null and empty texts have no words and no hits. Items without words are ignored; an item shorter than the window
-    is a window as a whole. Equal items are all named. Repeated documents give repeated rows. An empty benchmark
+    is a window as a whole. Items without an id (null) are ignored, as in the query's SQL. Equal items are all named. Repeated documents give repeated rows. An empty benchmark
     gives no hits, an empty docs an empty result. Columns that aren't named are not looked at.
     """
     out = _marked(docs, benchmark, id_col, text_col, window, block_bytes, keep)
