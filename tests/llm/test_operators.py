@@ -309,21 +309,94 @@ def test_language_model(spark, docs, none):
     assert [r["train_tokens"] for r in kneser_ney.lm_scores(held, folds=1, fold=0).collect()] == [0]
 
 
+def brute_kneser_ney(train, order):
+    """token, words before it -> probability; plainly, from lists of n-grams."""
+    from collections import Counter, defaultdict
+
+    full = [tuple(["<s>"] * (order - 1) + w) for w in train]
+    counts = {order: Counter(t[i - order + 1 : i + 1] for t in full for i in range(order - 1, len(t)))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    vocab = {w for t in train for w in t}
+    cut, after = {}, {}
+    for k, c in counts.items():
+        t = [sum(v == m for v in c.values()) for m in (1, 2, 3, 4)]
+        cut[k] = kneser_ney.discounts(*t)
+        after[k] = defaultdict(Counter)
+        for g, n in c.items():
+            after[k][g[:-1]][g[-1]] = n
+
+    def p(word, before, k=order):
+        if k == 0:
+            return 1 / (len(vocab) + 1)
+        own = after[k].get(tuple(before[-k + 1 :] if k > 1 else ()))
+        if not own:
+            return p(word, before, k - 1)
+        d = lambda n: cut[k][min(n, 3) - 1] if n else 0.0
+        return ((own[word] - d(own[word])) + sum(map(d, own.values())) * p(word, before, k - 1)) / sum(own.values())
+
+    return p
+
+
+@pytest.mark.parametrize(("order", "shard_bytes"), [(3, 16 << 20), (3, 400), (2, 400), (4, 600)])
+def test_language_model_against_plain_kneser_ney(spark, order, shard_bytes):
+    """One shard and many; with many, frequent words and the beginning are hot."""
+    import math
+
+    rng = random.Random(order)
+    text = lambda: " ".join(rng.choice(WORDS[: rng.choice([3, 12, 60])]) for _ in range(rng.randint(0, 30)))
+    rows = [(i, text()) for i in range(120)] + [(500, None), (501, "Ab AB ab " * 400), (502, text() + " unseen words")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = by_id(kneser_ney.lm_scores(d, order=order, shard_bytes=shard_bytes))
+    toks = {i: [*(t or "").lower().split(), "</s>"] for i, t in rows}
+    p = brute_kneser_ney([w for i, w in toks.items() if zlib.crc32(str(i).encode()) % 5 != 1], order)
+    for i, w in toks.items():
+        padded = ["<s>"] * (order - 1) + w
+        want = sum(math.log10(p(padded[j], padded[:j])) for j in range(order - 1, len(padded)))
+        assert math.isclose(got[i]["score"], want, rel_tol=1e-9), (i, got[i]["score"], want)
+
+
 def test_language_model_sums_to_one(spark):
     rows = [(i, sentence(30)) for i in range(40)]
     d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    import numpy as np
+
     from tidemill.llm.common import scratch
 
     m = kneser_ney.train(d, scratch(spark, "ngrams"), shard_bytes=500)
     words = sorted({w for _, t in rows for w in t.split()})
+    known = kneser_ney.Known(m)
+    n, _ = known.of([" ".join([*words, "unseen", "another"]).encode()])
+    every = np.append(n[:-1], 1)  # all known words, an unknown one, and the end
+    for before in ((0, 0), (0, n[0]), (n[0], n[7]), (n[-1], n[3]), (n[3], n[-1])):
+        count, base, p = m.probabilities([np.full(len(every), x) for x in before] + [every], known)
+        assert abs(p.sum() - 1) < 1e-9 and (p > 0).all() and count.sum() == m.n_tokens and (count == 0).sum() == 1
+        assert abs((10**base).sum() - 1) < 1e-9
+
+
+def test_language_model_misses_no_shard(spark, tmp_path):
+    """A file that is gone is an error, not a count of zero; large counts are kept whole."""
     import numpy as np
 
-    h, _ = kneser_ney.WordHashes().of([" ".join([*words, "unseen", "another"]).encode()])
-    every = np.append(h[:-1], kneser_ney.END)  # all known words, an unknown one, and the end
-    for context in (h[0], h[7], h[-1], kneser_ney.BEGIN):
-        count, base, p = m.pairs(np.full(len(every), context), every)
-        assert abs(p.sum() - 1) < 1e-9 and (p > 0).all() and count.sum() == m.sums["n_tokens"] and (count == 0).sum() == 1
-        assert abs((10**base).sum() - 1) < 1e-9
+    d = spark.createDataFrame([(i, sentence(30)) for i in range(40)], "doc_id bigint, text string")
+    m = kneser_ney.train(d, f"file://{tmp_path}/m", shard_bytes=500)
+    next((tmp_path / "m").glob("own-*")).unlink()
+    with pytest.raises(FileNotFoundError):
+        m.score([" ".join(WORDS).encode()] * 2, kneser_ney.Known(m))
+    with pytest.raises(ValueError):
+        kneser_ney.train(d, "unused", order=1)
+    v = np.array([3, 254, 255, 1 << 40, 0, 1 << 33])
+    assert (kneser_ney._counts(kneser_ney._small("n", v), "n", np.array([5, 3, 2, 1, 0])) == v[[5, 3, 2, 1, 0]]).all()
+
+
+def test_scratch_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from tidemill.llm import common
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: None), sparkContext=SimpleNamespace(master="spark://x:7077"))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(fake)
 
 
 def brute_classes(rows, max_bits=3):

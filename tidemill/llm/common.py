@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import ctypes.util
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -25,9 +26,11 @@ except (OSError, AttributeError):  # not every C library has it
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests, where that is unset, a new one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset and all run on one machine, a new one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = _made.get("own") or _made.setdefault("own", "file://" + tempfile.mkdtemp(prefix="tidemill-"))
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -56,11 +59,22 @@ def _end(spark: SparkSession, root: str) -> None:
         pass
 
 
+def write(df: DataFrame, path: str) -> None:
+    """Writes df as Parquet; the files of the shuffles that made it are removed with the end of the query, as what reads on reads the table."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: the lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    write(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
