@@ -44,7 +44,7 @@ def by_id(df):
 
 
 def test_decontamination(spark, docs, none):
-    items = [(1, PASSAGE[: len(PASSAGE) // 2]), (2, "ONE"), (3, None), (4, ""), (5, PASSAGE), (5, "mit license"), (None, "x")]
+    items = [(1, PASSAGE[: len(PASSAGE) // 2]), (2, "ONE"), (3, None), (4, ""), (5, PASSAGE), (5, "mit license"), (None, "x"), (None, "日本語 日本語")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     want = {}
     for i, t in ROWS:
@@ -52,11 +52,11 @@ def test_decontamination(spark, docs, none):
         for item, x in items:
             own = decontam.words_of((x or "").encode())
             n = min(10, len(own))
-            for a in range(len(own) - n + 1 if n and item is not None else 0):
+            for a in range(len(own) - n + 1 if n else 0):
                 for b in range(len(w) - n + 1):
                     if w[b : b + n] == own[a : a + n]:
                         hit.update(range(b, b + n))
-                        names.add(str(item))
+                        names.update([str(item)] if item is not None else [])
         want[i] = (len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit))
     for size in (8 << 20, 60):  # one block, and many
         got = decontam.leak_digest(decontam.find_leaks(docs, bench, block_bytes=size))
@@ -234,6 +234,33 @@ def test_token_files(spark, docs, none, tmp_path):
     assert [r["start"] for r in twice] == [0, twice[0]["n_tokens"]]
 
 
+@pytest.mark.parametrize("in_order", [True, False])
+def test_token_files_lie_in_order(spark, tmp_path, in_order):
+    """Many small partitions of unlike sizes, so that one task writes several: ids ascend over all files by name, and in each."""
+    path, n = public_tokenizers.path("byte_bpe_50k.json"), 600
+    rows = [(i, f"text {i} " * (1 + (i * 7919) % 40)) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    df = df.repartitionByRange(12, "doc_id").sortWithinPartitions("doc_id") if in_order else df.repartition(12)
+    total = rans.write_ids(df, path, f"file://{tmp_path}/ids")
+    at = 0
+    files = sorted((tmp_path / "ids").glob("*.ids"))
+    assert len(files) > 1 or not in_order
+    model = rans.Model(rans.read_table(spark, f"file://{tmp_path}/ids"))
+    seen = []
+    for name in files:
+        raw = name.read_bytes()
+        with open(name, "rb") as f:
+            for offset, size, first, ids in rans.index_of(f):
+                assert first == at
+                at += ids
+                seen += list(rans.unpack_block(memoryview(raw)[offset : offset + size], model)[1])
+    assert at == total and [int(x) for x in seen] == list(range(n))
+    got = rans.read_ids(spark, f"file://{tmp_path}/ids").orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == list(range(n))
+    with pytest.raises(ValueError, match="whole number"):
+        rans.encoded(spark.createDataFrame([("a", "b")], "doc_id string, text string"), path)
+
+
 def test_order_is_seen(spark):
     make = lambda ids, n: spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id bigint, text string").coalesce(1).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
     assert rans.lies_in_order(make(range(20), 3)) and rans.lies_in_order(make([1, 1, 2, 2, 2], 2)) and rans.lies_in_order(make([], 2))
@@ -309,6 +336,17 @@ def test_language_model(spark, docs, none):
     assert [r["train_tokens"] for r in kneser_ney.lm_scores(held, folds=1, fold=0).collect()] == [0]
 
 
+def test_warc_reads_what_was_ended(spark, tmp_path):
+    """Archives that a lost attempt left behind are not read."""
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}" * 300) for i in range(40)], "page_id bigint, url string, html string")
+    warc.write_warc(warc.assign(pages), f"file://{tmp_path}/w", archive_bytes=5000)
+    names = sorted((tmp_path / "w").glob("*.warc.zst"))
+    (tmp_path / "w" / "part-000000-999-00000.warc.zst").write_bytes(names[0].read_bytes())
+    assert sorted(r["page_id"] for r in warc.read_warc(spark, f"file://{tmp_path}/w").collect()) == list(range(40)) and len(names) > 4
+    with pytest.raises(ValueError, match="whole number"):
+        warc.archived(pages.withColumn("page_id", F.col("url")))
+
+
 def brute_kneser_ney(train, order):
     """token, words before it -> probability; plainly, from lists of n-grams."""
     from collections import Counter, defaultdict

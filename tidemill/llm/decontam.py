@@ -8,13 +8,15 @@ length reaches the window, the window's words are hit.
 A word that no item has, or a pair of neighbours that stands in no item, ends every match, so the stream is cut
 there beforehand, in whole batches, and only runs long enough for a window enter the automaton.
 
-Benchmarks are read in blocks of bounded size (`block_bytes`), one automaton each; a block's automaton is what is
-sent to the workers, and each adds its hits to the documents' rows, so no shuffle is needed whatever the number of blocks.
+Benchmarks are read in blocks of bounded size (`block_bytes`), one automaton each, built and broadcast one after the other; each
+adds its hits to the documents' rows, so no shuffle is needed whatever the number of blocks. A worker holds the automata of 16 blocks at most.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -33,28 +35,17 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(ALNUM).split()
 
 
-class SuffixAutomaton:
-    """The generalised suffix automaton of some word sequences, and which items hold each of its windows."""
+class _Growing:
+    """The automaton while it is built: a dictionary of transitions for each state."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
-        self.vocab: dict[bytes, int] = {}
+    def __init__(self) -> None:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        seqs = [(item, [self.vocab.setdefault(w, len(self.vocab)) for w in words]) for item, words in items if words]
-        for _, seq in seqs:
-            last = 0
-            for c in seq:
-                last = self._extend(last, c)
-        #: (state, window length) -> items
-        self.holds: dict[tuple[int, int], set[str]] = {}
-        for item, seq in seqs:
-            n = min(window, len(seq))
-            for _, state, length in self.lengths(seq):
-                if length >= n:
-                    self.holds.setdefault((self.shortened(state, n), n), set()).add(item)
-        self.sizes = sorted({n for _, n in self.holds})
-        v = max(1, len(self.vocab))
-        self.pairs = np.array(sorted({a * v + b for _, seq in seqs for a, b in zip(seq, seq[1:])}), np.int64)
+
+    def add(self, seq: list[int]) -> None:
+        last = 0
+        for c in seq:
+            last = self._extend(last, c)
 
     def _extend(self, last: int, c: int) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -86,34 +77,79 @@ class SuffixAutomaton:
             p = link[p]
         return copy
 
+
+class SuffixAutomaton:
+    """The generalised suffix automaton of some word sequences, and which items hold each of its windows.
+
+    It is kept in flat arrays: a state's transitions, by word number, stand in a row, and so do the items of a window.
+    Items without an id have windows like any other, but are not named.
+    """
+
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
+        self.vocab: dict[bytes, int] = {}
+        seqs = [(item, [self.vocab.setdefault(w, len(self.vocab)) for w in words]) for item, words in items if words]
+        grown = _Growing()
+        for _, seq in seqs:
+            grown.add(seq)
+        self.link, self.length, self.first = array("i", grown.link), array("i", grown.length), array("i", [0])
+        self.word, self.to = array("i"), array("i")
+        for k, own in enumerate(grown.next):
+            for c in sorted(own):
+                self.word.append(c)
+                self.to.append(own[c])
+            self.first.append(len(self.word))
+            grown.next[k] = {}  # not needed any more
+        del grown
+        self.names: list[str] = sorted({item for item, _ in seqs if item is not None})
+        number = {item: k for k, item in enumerate(self.names)}
+        held: set[tuple[int, int, int]] = set()
+        for item, seq in seqs:
+            n = min(window, len(seq))
+            held.update((self.shortened(state, n), n, number.get(item, -1)) for _, state, length in self.lengths(seq) if length >= n)
+        rows = np.array(sorted(held), np.int64).reshape(-1, 3)
+        del held
+        #: windows as state * (window + 1) + length, ascending; where each one's items start; items
+        self.windows, starts = np.unique(rows[:, 0] * (window + 1) + rows[:, 1], return_index=True)
+        self.starts, self.items, self.window = np.append(starts, len(rows)).astype(np.int32), rows[:, 2].astype(np.int32), window
+        self.sizes = sorted(set(rows[:, 1].tolist()))
+        v = max(1, len(self.vocab))
+        self.pairs = np.array(sorted({a * v + b for _, seq in seqs for a, b in zip(seq, seq[1:])}), np.int64)
+
     def lengths(self, seq: list[int]) -> Iterator[tuple[int, int, int]]:
         """For each place: the place, the state, and the length of the longest match that ends there."""
-        nxt, link, length = self.next, self.link, self.length
+        first, word, to, link, length = self.first, self.word, self.to, self.link, self.length
         state = n = 0
         for i, c in enumerate(seq):
-            while state and c not in nxt[state]:
+            while True:
+                end = first[state + 1]
+                at = bisect_left(word, c, first[state], end)
+                if at < end and word[at] == c:
+                    state = to[at]
+                    n += 1
+                    break
+                if not state:
+                    break
                 state = link[state]
                 n = length[state]
-            if c in nxt[state]:
-                state = nxt[state][c]
-                n += 1
             yield i, state, n
 
     def shortened(self, state: int, n: int) -> int:
         """The state of the last n words of a match that is at least as long."""
         link, length = self.link, self.length
-        while length[link[state]] >= n:
+        while link[state] >= 0 and length[link[state]] >= n:
             state = link[state]
         return state
 
-    def hits(self, seq: list[int]) -> Iterator[tuple[int, int, set[str]]]:
-        """(first, last, items) of each window that occurs in seq."""
+    def hits(self, seq: list[int]) -> Iterator[tuple[int, int, list[str]]]:
+        """(first, last, named items) of each window that occurs in seq."""
         for i, state, n in self.lengths(seq):
             for size in self.sizes:
                 if n < size:
                     break
-                if items := self.holds.get((self.shortened(state, size), size)):
-                    yield i - size + 1, i, items
+                key = self.shortened(state, size) * (self.window + 1) + size
+                at = int(np.searchsorted(self.windows, key))
+                if at < len(self.windows) and self.windows[at] == key:
+                    yield i - size + 1, i, [self.names[k] for k in self.items[self.starts[at] : self.starts[at + 1]].tolist() if k >= 0]
 
     def runs(self, ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int]]:
         """[from, to) of the runs in which each neighbouring pair occurs in an item and a window fits. starts: each document's first place."""
@@ -136,20 +172,17 @@ class SuffixAutomaton:
         yield from zip(first[keep].tolist(), ends[keep].tolist())
 
 
-def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list[SuffixAutomaton]:
-    """One automaton for each block of about block_bytes of item text. Only one block's text is held at a time."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null")
+def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[SuffixAutomaton]:
+    """One automaton after the other, each for about block_bytes of item text. Only one block's text and automaton are held at a time."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
-    part = F.pmod(F.xxhash64("item_id"), F.lit(n))
-    out = []
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     for k in range(n):
-        rows = items.where(part == k).collect()
-        out.append(SuffixAutomaton([(r[0], words_of((r[1] or "").encode())) for r in rows], window))
-    return out
+        yield SuffixAutomaton([(r[0], words_of((r[1] or "").encode())) for r in items.where(part == k).toLocalIterator()], window)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 10, block_bytes: int = 8 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 10, block_bytes: int = 2 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
     """Where benchmark windows occur in documents: one row per row of docs.
 
     Columns: doc_id, text, n_words (long), n_hit (long: words inside any occurrence of a window), spans (maximal
@@ -157,7 +190,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     and the columns of docs named in keep.
 
     Null and empty texts have no words and no hits. Items without words are ignored; an item shorter than the window
-    is a window as a whole. Items without an id (null) are ignored, as in the query's SQL. Equal items are all named. Repeated documents give repeated rows. An empty benchmark
+    is a window as a whole. The windows of items without an id (null) are hit like any other, but items does not name them. Equal items are all named. Repeated documents give repeated rows. An empty benchmark
     gives no hits, an empty docs an empty result. Columns that aren't named are not looked at.
     """
     out = _marked(docs, benchmark, id_col, text_col, window, block_bytes, keep)
@@ -165,25 +198,29 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     return out.select(*[F.col(f"`{c}`") for c in keep], "doc_id", "text", "n_words", F.coalesce(n_hit, F.lit(0).cast("long")).alias("n_hit"), F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
-def _marked(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int, keep: tuple[str, ...], then=None, schema: str | None = None) -> DataFrame:
-    """keep, doc_id, n_words, spans, items and text of each row; or, of that schema, what `then` makes of such batches in the same worker."""
+def _marked(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int, keep: tuple[str, ...], then=None, schema: str | None = None, together: int = 16) -> DataFrame:
+    """keep, doc_id, n_words, spans, items and text of each row; or, of that schema, what `then` makes of such batches in the same worker.
+
+    A worker goes through the automata of `together` blocks at once; between these the rows are stored.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     out = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{id_col}`").alias("doc_id"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast(_SPANS).alias("spans"), F.lit(None).cast("array<string>").alias("items"), F.col(f"`{text_col}`").alias("text"))
-    blocks = _blocks(benchmark, window, block_bytes)
-    for k, automaton in enumerate(blocks):
-        find = _finder(spark.sparkContext.broadcast(automaton))
-        if then is not None and k == len(blocks) - 1:
-            return out.mapInArrow(lambda batches, find=find: map(then, find(batches)), schema)
-        out = out.mapInArrow(find, out.schema)
-        if k % 16 == 15:
-            out = stored(out, "leaks")
-    return out
-
-
-def _finder(shared):
+    shared, blocks = [], _blocks(benchmark, window, block_bytes)
+    automaton = next(blocks)
+    while automaton is not None:
+        shared.append(spark.sparkContext.broadcast(automaton))
+        automaton = next(blocks, None)  # the one before lives on in its broadcast only
+        find = _finder(shared)
+        if automaton is None:
+            return out.mapInArrow((lambda batches: map(then, find(batches))) if then else find, schema or out.schema)
+        if len(shared) == together:
+            out, shared = stored(out.mapInArrow(find, out.schema), "leaks"), []
+
+
+def _finder(shared: list):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a: SuffixAutomaton = shared.value
+        automata: list[SuffixAutomaton] = [x.value for x in shared]
         for batch in slices(batches):
             texts = binary(batch.column("text"))
             words: list[bytes] = []
@@ -191,18 +228,19 @@ def _finder(shared):
             for t in texts:
                 starts.append(len(words))
                 words += t.translate(ALNUM).split()
-            ids = np.fromiter(map(a.vocab.get, words, repeat(-1)), np.int64, len(words))
             bounds = np.array(starts + [len(words)], np.int64)
             spans, items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
             found: dict[int, tuple[set[tuple[int, int]], set[str]]] = {}
-            for lo, hi in a.runs(ids, bounds):
-                row = None
-                for first, last, of in a.hits(ids[lo:hi].tolist()):
-                    if row is None:
-                        row = int(np.searchsorted(bounds, lo, "right")) - 1
-                        own = found.setdefault(row, (set(), set()))
-                    own[0].add((lo + first - starts[row], lo + last - starts[row]))
-                    own[1].update(of)
+            for a in automata:
+                ids = np.fromiter(map(a.vocab.get, words, repeat(-1)), np.int64, len(words))
+                for lo, hi in a.runs(ids, bounds):
+                    row = None
+                    for first, last, of in a.hits(ids[lo:hi].tolist()):
+                        if row is None:
+                            row = int(np.searchsorted(bounds, lo, "right")) - 1
+                            own = found.setdefault(row, (set(), set()))
+                        own[0].add((lo + first - starts[row], lo + last - starts[row]))
+                        own[1].update(of)
             for row, (more, of) in found.items():
                 more |= {(s["first"], s["last"]) for s in spans[row] or ()}
                 spans[row] = [{"first": x, "last": y} for x, y in merged(more)]
@@ -224,12 +262,12 @@ def merged(spans: set[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 10, max_coverage: float = 0.5, block_bytes: int = 8 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 10, max_coverage: float = 0.5, block_bytes: int = 2 << 20) -> DataFrame:
     """docs without the spans that occur in the benchmark.
 
     A span of hit words goes, with what stands between its words; what stands around it stays, with a line's end in
     its place. A document more than `max_coverage` of whose words are hit goes as a whole. Columns: those of docs, then n_words, n_hit and
-    removed (what was cut out, joined by line ends; null where nothing was); docs' own columns of these names are dropped. Nulls and ties: see find_leaks.
+    removed (what was cut out, joined by line ends; null where nothing was); docs' own columns of these names are dropped. Nulls, ties, repeated rows and empty inputs: see find_leaks.
     """
     own = ("n_words", "n_hit", "removed", "spans", "items")
     rest = tuple(c for c in docs.columns if c not in (id_col, text_col, *own))

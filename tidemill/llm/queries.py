@@ -85,13 +85,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 WORDS_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP1_SQL = f"""
-WITH b AS (SELECT item_id, {WORDS_SQL} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+WITH b AS (SELECT item_id, {WORDS_SQL} AS ws FROM benchmark),
 iw AS (SELECT DISTINCT item_id, size, array_to_string(ws[i : i + size - 1], ' ') AS win FROM (SELECT item_id, ws, least(10, len(ws)) AS size, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)),
 d AS (SELECT doc_id, coalesce({WORDS_SQL}, []) AS ws FROM documents),
 dw AS (SELECT doc_id, size, i, array_to_string(ws[i : i + size - 1], ' ') AS win FROM (SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM iw))),
 hits AS (SELECT doc_id, i, dw.size AS size, item_id FROM dw JOIN iw USING (size, win)),
 n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT doc_id, i, size FROM hits)) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN items USING (doc_id)
 """

@@ -24,12 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, slices, small_batches
+from .common import delete, scratch, slices, small_batches
 from .tokens import encoder
 
 MAGIC, TABLE = b"TMRANS1\n", b"TMFREQ1\n"
 SCALE, LANES = 20, 4096
 LOW = np.uint64(1 << 31)
+#: Name of the table of the files that belong to a folder.
+FILES = "files"
 HEAD = struct.Struct("<4sIIIQIIII")  # mark, documents, ids, lanes, first id, bytes of documents, words, crc32 of ids, crc32 of what follows
 ENTRY, FOOT = struct.Struct("<QQQI"), struct.Struct("<QII8s")
 
@@ -243,11 +245,13 @@ def _frequencies(tokens: DataFrame) -> np.ndarray:
 def write_ids(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> int:
     """Writes all documents' ids under path, a folder that all executors reach; returns the number of ids.
 
-    Files lie in ascending order of doc_id by name, and so do the blocks in a file. Null is as empty: its end id alone.
-    Rows that share a doc_id lie next to each other. A file's name comes from its first block and it is renamed when whole, so a task that
-    runs again writes it anew.
+    Files lie in ascending order of doc_id by name, and so do the blocks in a file: a file holds neighbouring blocks of one partition. Null is as empty: its end id alone.
+    Rows that share a doc_id lie next to each other, null ids first. Ids must be whole numbers (ValueError); other columns are not looked at. A file's name comes from
+    its first block and it is renamed when whole, so a task that runs again writes it anew; a table beside the files names those that belong to the folder.
     """
     spark = docs.sparkSession
+    if docs.schema[id_col].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
+        raise ValueError(f"{id_col} must be a whole number")
     small_batches(spark)
     order = None
     # documents that lie in order already are spared the shuffle; whether they did is told once more by what was read
@@ -277,26 +281,35 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 2, id
         freq, base = shared.value
         model = Model(freq)
         fs, root = pyarrow.fs.FileSystem.from_uri(path)
-        out, index, place, name = None, [], len(MAGIC), ""
+        out, index, place, name, after = None, [], len(MAGIC), "", None
         attempt = TaskContext.get().taskAttemptId()
+
+        def ended():
+            out.write(pack_index(index, place))
+            out.close()
+            fs.move(f"{name}.{attempt}", name)
+            return pa.RecordBatch.from_arrays([pa.array([name.rpartition("/")[2]]), pa.array([len(index)], pa.int64())], names=["file", "blocks"])
+
         for b in batches:
             for part, seq, at, n, n_docs, docs, width, ids in zip(*[b.column(c).to_pylist() for c in ("part", "seq", "at", "n", "n_docs", "docs", "width", "ids")]):
-                if out is None:
-                    name = f"{root}/part-{base[part][0]:06d}-{seq:06d}.ids"
+                if (part, seq) != after:  # a task may get several partitions' blocks, in any order
+                    if out is not None:
+                        yield ended()
+                    name, index, place = f"{root}/part-{base[part][0]:08d}-{seq:08d}.ids", [], len(MAGIC)
                     out = fs.open_output_stream(f"{name}.{attempt}", compression=None)
                     out.write(MAGIC)
+                after = part, seq + 1
                 first = base[part][1] + at
                 raw = pack_block(np.frombuffer(ids, f"<u{width}").astype(np.uint32), first, docs, n_docs, model)
                 index.append((place, len(raw), first, n))
                 out.write(raw)
                 place += len(raw)
         if out is not None:
-            out.write(pack_index(index, place))
-            out.close()
-            fs.move(f"{name}.{attempt}", name)
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(index)], pa.int64())], names=["file", "blocks"])
+            yield ended()
 
-    tokens.where("seq >= 0").drop("symbols", "counts", "low", "high", "rising").mapInArrow(write, "file string, blocks long").agg(F.sum("blocks")).collect()
+    done = tokens.where("seq >= 0").drop("symbols", "counts", "low", "high", "rising").mapInArrow(write, "file string, blocks long")
+    done.write.mode("overwrite").parquet(f"{path}/{FILES}")  # only what tasks have ended with counts
+    delete(spark, kept)
     return total
 
 
@@ -314,39 +327,56 @@ def pack_index(index: list[tuple[int, int, int, int]], place: int) -> bytes:
     return table + FOOT.pack(place, len(index), zlib.crc32(table), MAGIC)
 
 
-def blocks_of(raw: bytes) -> Iterator[memoryview]:
-    """The blocks of a file, by its index."""
-    at, n, crc, magic = FOOT.unpack_from(raw, len(raw) - FOOT.size)
-    table = raw[at : len(raw) - FOOT.size]
-    if magic != MAGIC or raw[: len(MAGIC)] != MAGIC or zlib.crc32(table) != crc:
+def index_of(f) -> list[tuple[int, int, int, int]]:
+    """(offset, bytes, first id, ids) of the blocks of an open file."""
+    size = f.seek(0, 2)
+    f.seek(max(0, size - FOOT.size))
+    at, n, crc, magic = FOOT.unpack(f.read(FOOT.size))
+    f.seek(at)
+    table = f.read(n * ENTRY.size)
+    f.seek(0)
+    if magic != MAGIC or f.read(len(MAGIC)) != MAGIC or zlib.crc32(table) != crc or at + len(table) + FOOT.size != size:
         raise ValueError("the index differs from its checksum")
-    view = memoryview(raw)
-    for offset, size, _, _ in ENTRY.iter_unpack(table):
-        yield view[offset : offset + size]
+    return list(ENTRY.iter_unpack(table))
 
 
 def read_ids(spark: SparkSession, path: str, *, with_ids: bool = True) -> DataFrame:
-    """The documents of all files under path: doc_id, start, n_tokens, ids_crc32 (long) and with_ids ids (binary, little-endian unsigned 32-bit)."""
+    """The documents of all files under path: doc_id, start, n_tokens, ids_crc32 (long) and with_ids ids (binary, little-endian unsigned 32-bit).
+
+    Files' indexes are read first; then blocks are dealt out one by one, so a file is decoded by as many workers as it has blocks.
+    """
     shared = spark.sparkContext.broadcast(read_table(spark, path))
 
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pyarrow.fs.FileSystem.from_uri(path)
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                with fs.open_input_file(f"{root}/{name}") as f:
+                    at = [(x[0], x[1]) for x in index_of(f)]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), *[pa.array(c, pa.int64()) for c in zip(*at)]], names=["file", "offset", "size"])
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(shared.value)
+        fs, root = pyarrow.fs.FileSystem.from_uri(path)
         for b in batches:
-            for content in b.column(0):
-                for block in blocks_of(content.as_py()):
-                    first, doc_ids, lengths, ids = unpack_block(block, model)
-                    raw = memoryview(ids.astype("<u4").tobytes())
-                    ends = np.cumsum(lengths)
-                    parts = [raw[4 * a : 4 * z] for a, z in zip((ends - lengths).tolist(), ends.tolist())]
-                    cols = [pa.array(doc_ids, pa.int64()), pa.array(first + ends - lengths), pa.array(lengths), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(cols + ([pa.array([bytes(x) for x in parts], pa.binary())] if with_ids else []), names=["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(path).select("content")
-    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+            for name, offset, size in zip(*[b.column(c).to_pylist() for c in ("file", "offset", "size")]):
+                with fs.open_input_file(f"{root}/{name}") as f:
+                    f.seek(offset)
+                    first, doc_ids, lengths, ids = unpack_block(memoryview(f.read(size)), model)
+                raw = memoryview(ids.astype("<u4").tobytes())
+                ends = np.cumsum(lengths)
+                parts = [raw[4 * a : 4 * z] for a, z in zip((ends - lengths).tolist(), ends.tolist())]
+                cols = [pa.array(doc_ids, pa.int64()), pa.array(first + ends - lengths), pa.array(lengths), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols + ([pa.array([bytes(x) for x in parts], pa.binary())] if with_ids else []), names=["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
+
+    files = spark.read.schema("file string, blocks long").parquet(f"{path}/{FILES}")
+    blocks, bytes_ = files.agg(F.sum("blocks")).first()[0] or 1, "file string, offset long, size long"
+    dealt = files.mapInArrow(look, bytes_).repartition(max(1, min(blocks, 4 * spark.sparkContext.defaultParallelism + blocks // 16)))
+    return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def encoded(docs: DataFrame, tokenizer: str, path: str | None = None, *, with_ids: bool = False, **options) -> DataFrame:
-    """Writes docs' ids (under path, or a scratch folder) and reads them back. An empty input gives an empty result."""
+    """Writes docs' ids (under path, or a scratch folder) and reads them back: see write_ids() and read_ids(). An empty input gives an empty result."""
     spark = docs.sparkSession
     path = path or scratch(spark, "ids")
     if not write_ids(docs, tokenizer, path, **options):

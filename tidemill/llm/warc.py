@@ -24,6 +24,8 @@ from .common import give_back, scratch, small_batches
 SKIPPABLE = 0x184D2A5D
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: The table of the archives that belong to a folder.
+FILES, FILES_SCHEMA = "files", "file string, n long"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -76,20 +78,20 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
 def write_warc(assigned: DataFrame, path: str, *, archive_bytes: int = 16 << 20, dict_bytes: int = 64 << 10, level: int = 3) -> int:
     """Writes the archives of assign()'s rows under path, a folder that all executors reach. Returns the number of records.
 
-    A file's name comes from its task, and it is renamed when whole, so a task that runs again writes the same files anew.
+    Each attempt of a task names its archives differently. A table beside them, which Spark writes for attempts that ended well only, tells which
+    belong to the folder; what a lost attempt left is not among them, however rows or archives' bounds differ when the task runs again.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(path)
         fs.create_dir(root, recursive=True)
-        task, held, size, k = TaskContext.get().partitionId(), [], 0, 0
-        attempt = TaskContext.get().taskAttemptId()
+        held, size, k = [], 0, 0
+        task = f"part-{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}"
 
         def flush():
-            name = f"{root}/part-{task:06d}-{k:05d}.warc.zst"
-            with fs.open_output_stream(f"{name}.{attempt}", compression=None) as f:
+            name = f"{task}-{k:05d}.warc.zst"
+            with fs.open_output_stream(f"{root}/{name}", compression=None) as f:
                 f.write(archive(held, dict_bytes, level))
-            fs.move(f"{name}.{attempt}", name)
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(held)], pa.int64())], names=["file", "n"])
 
         for b in batches:
@@ -103,8 +105,10 @@ def write_warc(assigned: DataFrame, path: str, *, archive_bytes: int = 16 << 20,
             yield flush()
         give_back()
 
-    small_batches(assigned.sparkSession)
-    return assigned.mapInArrow(write, "file string, n long").agg(F.sum("n")).first()[0] or 0
+    spark = assigned.sparkSession
+    small_batches(spark)
+    assigned.mapInArrow(write, FILES_SCHEMA).write.mode("overwrite").parquet(f"{path}/{FILES}")
+    return spark.read.schema(FILES_SCHEMA).parquet(f"{path}/{FILES}").agg(F.sum("n")).first()[0] or 0
 
 
 def read_archive(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -128,7 +132,7 @@ def read_archive(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """The records of all archives under path: page_id (long), url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits).
+    """The records of all archives that write_warc() has ended under path: page_id (long), url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits).
 
     Digests of responses are computed anew and must equal their headers.
     """
@@ -137,10 +141,13 @@ def read_warc(spark, path: str) -> DataFrame:
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pyarrow.fs.FileSystem.from_uri(path)
         for b in batches:
-            for raw in b.column(0):
+            for name in b.column(0).to_pylist():
+                with fs.open_input_stream(f"{root}/{name}", compression=None) as f:
+                    raw = f.read()
                 rows, size = [], 0
-                for head, block in read_archive(raw.as_py()):
+                for head, block in read_archive(raw):
                     kind, digest, n = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:"), int(head["x-payload-length"])
                     payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
                     if payload is not None and (len(payload) != n or hashlib.sha1(payload).hexdigest() != digest):
@@ -153,13 +160,21 @@ def read_warc(spark, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows), types)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select("content")
-    return files.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    files = spark.read.schema(FILES_SCHEMA).parquet(f"{path}/{FILES}").select("file")
+    n = files.count()
+    return files.repartition(max(1, min(n, 4 * spark.sparkContext.defaultParallelism + n // 4))).mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def archived(pages: DataFrame, path: str | None = None, *, archive_bytes: int = 16 << 20, **options) -> DataFrame:
-    """Writes pages as archives (under path, or a scratch folder) and reads them back. An empty input gives an empty result."""
+    """Writes pages as archives (under path, or a scratch folder) and reads them back.
+
+    Nulls, ties and repeated rows: see assign(); each row of pages has one record. Ids must be whole numbers (ValueError). Columns of pages other than
+    the three are not looked at. An empty input gives an empty result.
+    """
     spark = pages.sparkSession
+    id_col = options.get("id_col", "page_id")
+    if pages.schema[id_col].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
+        raise ValueError(f"{id_col} must be a whole number")
     path = path or scratch(spark, "warc")
     if not write_warc(assign(pages, **options), path, archive_bytes=archive_bytes):
         return spark.createDataFrame([], "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
