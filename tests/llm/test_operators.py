@@ -509,6 +509,44 @@ def test_simhash_finds_all_links(spark, long_list):
     assert {f: root.get(f, f) for f in signed} == {f: find(f) for f in signed}
 
 
+def test_simhash_of_long_lists():
+    """Lists far above what is compared pair by pair: same classes as brute force, and no quadratic number of comparisons."""
+    import numpy as np
+
+    rng = random.Random(9)
+    fps = {rng.getrandbits(14) << 20 | rng.getrandbits(3) for _ in range(900)} | {rng.getrandbits(40) for _ in range(300)}
+    f = np.array(sorted(fps), np.uint64)
+    links = pa_rows(simhash._links(np.zeros(len(f), np.int64), f.view(np.int64), 3))
+
+    def classes(pairs):
+        root = list(range(len(f)))
+        for a, b in pairs:
+            simhash_a, simhash_b = simhash._root(root, a), simhash._root(root, b)
+            root[max(simhash_a, simhash_b)] = min(simhash_a, simhash_b)
+        return [simhash._root(root, i) for i in range(len(f))]
+
+    at = {int(x): i for i, x in enumerate(f.view(np.int64))}
+    brute = [(i, j) for i in range(len(f)) for j in np.flatnonzero(np.bitwise_count(f[i] ^ f[i + 1 :]) <= 3) + i + 1]
+    assert classes([(at[u], at[v]) for u, v in links]) == classes(brute) and len(links) < len(f)
+
+
+def pa_rows(batches):
+    return [pair for b in batches for pair in zip(*[c.to_pylist() for c in b.columns])]
+
+
+RESERVED = ["_ord", "_text", "_key", "_kept", "_hash", "_row", "_part", "_id", "_label", "fp", "salt", "kept_", "part"]
+
+
+def test_names_in_use_are_no_trouble(spark):
+    """Columns that have the names which operators use inside pass through, also where ids repeat."""
+    rows = [(1, BASE, *RESERVED), (1, BASE, *RESERVED), (2, PASSAGE, *RESERVED), (None, None, *RESERVED)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"`{c}` string" for c in RESERVED))
+    for out in (substrings.remove_repeated(df), simhash.keep_one(df), decontam.decontaminate(df, spark.createDataFrame([(1, PASSAGE)], "item_id bigint, text string")), packing.best_fit(df.selectExpr("*", "7 AS length"), 20), toxicity.without_toxic(df, spark.createDataFrame([(1, 0)], "doc_id bigint, toxic int"))):
+        got = out.collect()
+        assert got and all(r[c] == c for r in got for c in RESERVED)
+    assert len(simhash.keep_one(df).collect()) == 3
+
+
 def test_components_of_a_chain(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(200, 201), (201, 200), (300, 300)], "u bigint, v bigint")
     got = {r["node"]: r["root"] for r in components.components(df).collect()}

@@ -130,13 +130,26 @@ def test_fingerprints():
         assert got == sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64))
 
 
-def test_bigram_packing():
+@pytest.mark.parametrize("words", [40, 100_000])
+def test_gram_packing(words):
+    """Dictionaries by marks and by sorting."""
     rng = np.random.default_rng(1)
-    u, w, c = rng.integers(0, 1 << 63, 500, np.uint64), rng.integers(0, 1 << 63, 500, np.uint64), rng.integers(1, 300, 500)
-    got = kneser_ney.unpack_bigrams(kneser_ney.pack_bigrams(u, w, c))
-    assert sorted(zip(*map(list, got))) == sorted(zip(u, w, c))
-    # a word's bigrams lie in its shard
-    assert (kneser_ney.shard_of(kneser_ney.bigram(u, w), 37) == kneser_ney.shard_of(u, 37)).all()
+    hashes = rng.integers(0, 1 << 63, words, np.uint64)
+    columns, c = [rng.integers(0, words, 500) for _ in range(3)], rng.integers(1, 300, 500)
+    got = kneser_ney.unpack_grams(kneser_ney.pack_grams(columns, c, hashes))
+    assert sorted(zip(*map(list, got))) == sorted(zip(*[hashes[x] for x in columns], c))
+
+
+def test_gram_tables():
+    """Hashes are found, others are not; counts beyond a byte are whole."""
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 15, 16, 40, 5000):
+        key = np.unique(rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2))
+        count = rng.integers(0, 600, len(key))
+        table = kneser_ney._hashed("x", key, ("n", count))
+        asked = np.concatenate([key[::3], rng.integers(0, 1 << 63, 50, np.uint64)])
+        at, place = kneser_ney._find(table, "x", asked)
+        assert at.tolist() == list(range(len(key[::3]))) and (kneser_ney._counts(table, "x.n", place) == count[::3]).all()
 
 
 @settings(max_examples=25, deadline=None)

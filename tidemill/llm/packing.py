@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, stored
+from .common import fresh, slices, small_batches, stored
 from .tokens import encoder
 
 
@@ -84,21 +84,22 @@ def best_fit(pieces: DataFrame, capacity: int, length_col: str = "length", order
     spark = pieces.sparkSession
     pieces = stored(pieces.drop("sequence_id", "offset"), "cut")  # range sampling reads its input once more
     length = F.col(f"`{length_col}`")
+    part_, row_ = fresh(pieces.columns, "_part", "_row")
     keys = [F.desc(length_col), *[F.col(f"`{c}`") for c in order]]
     # the salt spreads a length that many pieces have over several ranges, even where `order` doesn't tell them apart
     ranged = pieces.repartitionByRange(*keys, F.rand(7)).sortWithinPartitions(F.desc(length_col))
-    ranged = stored(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    ranged = stored(ranged.withColumn(part_, F.spark_partition_id()).withColumn(row_, F.monotonically_increasing_id()), "pieces")
     # ranges overlap in one length at most, so there are no more rows than ranges and lengths together
-    told = ranged.groupBy("_part", length.cast("long").alias("length")).agg(F.count("*").alias("n"), F.min("_row").alias("first")).collect()
+    told = ranged.groupBy(F.col(part_).alias("part"), length.cast("long").alias("length")).agg(F.count("*").alias("n"), F.min(row_).alias("first")).collect()
     counts: dict[int, int] = {}
     bases = []
-    for r in sorted(told, key=lambda r: (r["_part"], r["length"] or 0)):
+    for r in sorted(told, key=lambda r: (r["part"], r["length"] or 0)):
         if r["length"] is None or not 0 < r["length"] <= capacity:
             raise ValueError(f"a piece of length {r['length']}; lengths must be from 1 to {capacity}")
-        bases.append((r["_part"], r["length"], counts.get(r["length"], 0) - r["first"]))
+        bases.append((r["part"], r["length"], counts.get(r["length"], 0) - r["first"]))
         counts[r["length"]] = counts.get(r["length"], 0) + r["n"]
     shared = spark.sparkContext.broadcast((np.array(plan(counts, capacity), np.int64).reshape(-1, 6), np.array(bases, np.int64).reshape(-1, 3)))
-    names = [c for c in ranged.columns if c not in ("_part", "_row")]
+    names = [c for c in ranged.columns if c not in (part_, row_)]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, base = shared.value
@@ -110,7 +111,7 @@ def best_fit(pieces: DataFrame, capacity: int, length_col: str = "length", order
         base, base_key = base[base_order], base_key[base_order]
         for b in batches:
             n = b.column(length_col).to_numpy(zero_copy_only=False).astype(np.int64)
-            rank = b.column("_row").to_numpy() + base[np.searchsorted(base_key, b.column("_part").to_numpy().astype(np.int64) << 24 | n), 2]
+            rank = b.column(row_).to_numpy() + base[np.searchsorted(base_key, b.column(part_).to_numpy().astype(np.int64) << 24 | n), 2]
             own = rows[np.searchsorted(row_key, n << 40 | rank, "right") - 1]
             at = rank - own[:, 1]
             more = [pa.array(own[:, 3] + at // own[:, 4]), pa.array(own[:, 5] + n * (at % own[:, 4]))]

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, slices, small_batches, stored
+from .common import binary, fresh, slices, small_batches, stored
 from .components import components
 
 #: Bit j of a byte becomes 1 in the j-th byte of a word, so that adding words counts bits in eight lanes.
@@ -133,7 +133,7 @@ def near(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
 
 
 def _links(key: np.ndarray, fp: np.ndarray, max_bits: int) -> Iterator[pa.RecordBatch]:
-    """Keys ascending. Short lists: all pairs at distance 1, 2, ... at once. Long ones: block against block, spanning links only."""
+    """Keys ascending. Short lists: all pairs at distance 1, 2, ... at once. Long ones: split by further bits, spanning links only."""
     if len(key) < 2:
         return
     f = fp.view(np.uint64)
@@ -155,22 +155,42 @@ def _links(key: np.ndarray, fp: np.ndarray, max_bits: int) -> Iterator[pa.Record
     for s, n in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist()):
         own = f[s : s + n]
         parent = np.arange(n)
-        for i in range(n):
-            # the later members that aren't in the same class yet and are near
-            later = i + 1 + near(np.full(n - i - 1, own[i]), own[i + 1 :], max_bits)
-            if not len(later):
-                continue
-            root = _root(parent, i)
-            for j in later.tolist():
-                r = _root(parent, j)
-                if r != root:
-                    parent[r] = root
-                    us.append(fp[s + i : s + i + 1])
-                    vs.append(fp[s + j : s + j + 1])
+        for i, j in _near_pairs(own, np.arange(n), max_bits):
+            a, b = _root(parent, i), _root(parent, j)
+            if a != b:
+                parent[b] = a
+                us.append(fp[s + i : s + i + 1])
+                vs.append(fp[s + j : s + j + 1])
     if us:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
 
+def _near_pairs(f: np.ndarray, at: np.ndarray, max_bits: int, most: int = 64) -> Iterator[tuple[int, int]]:
+    """Pairs of places among `at` to be linked, each once or more often.
+
+    Of the bits in which any of them differ, max_bits + 1 blocks are made; a pair within max_bits is equal in one at least. So the
+    list is split by each block in turn, and again by the bits that are left, until parts are short. There are at most 2 ** bits distinct fingerprints in a part.
+    """
+    own = f[at]
+    if len(at) <= most:
+        i, j = np.triu_indices(len(at), 1)
+        hit = near(own[i], own[j], max_bits)
+        yield from zip(at[i[hit]].tolist(), at[j[hit]].tolist())
+        return
+    differ = int(np.bitwise_or.reduce(own ^ own[0]))
+    bits = [b for b in range(64) if differ >> b & 1]
+    if len(bits) <= max_bits:  # all of them are near
+        yield from zip(at[:-1].tolist(), at[1:].tolist())
+        return
+    for k in range(max_bits + 1):
+        key = own & np.uint64(sum(1 << b for b in bits[k :: max_bits + 1]))
+        by = np.argsort(key, kind="stable")
+        cut = np.flatnonzero(np.append(True, key[by[1:]] != key[by[:-1]]))
+        for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(by)]):
+            if z - a > 1:
+                yield from _near_pairs(f, at[by[a:z]], max_bits, most)
+
+
 def _root(parent: np.ndarray, i: int) -> int:
     while parent[i] != i:
         parent[i] = parent[parent[i]]
@@ -222,9 +242,10 @@ def keep_one(docs: DataFrame, *, k: int = 3, max_bits: int = 3, id_col: str = "d
     """
     _, fps = _rooted(docs, k, max_bits, id_col, text_col, long_list, hashed=True)
     least = fps.groupBy("root").agg(F.min("least").alias("least"))
-    kept = stored(least.select(F.col("least.doc_id").alias("_kept"), F.col("least.text_hash").alias("_hash")), "kept")
-    out = docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_kept")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_hash"))).drop("_kept")
+    own, hash_, row = fresh(docs.columns, "_kept", "_hash", "_row")
+    kept = stored(least.select(F.col("least.doc_id").alias(own), F.col("least.text_hash").alias(hash_)), "kept")
+    out = docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col(own)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(hash_))).drop(own)
     if out.count() > kept.count():  # rows repeat with id and text
         rest = [c for c in docs.columns if c != id_col]
-        out = out.groupBy(id_col, "_hash").agg(F.min(F.struct(*rest)).alias("r")).select(id_col, *[F.col(f"r.`{c}`") for c in rest])
-    return out.select(*docs.columns)
+        out = out.groupBy(F.col(f"`{id_col}`"), hash_).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias(row)).select(F.col(f"`{id_col}`"), *[F.col(f"{row}.`{c}`") for c in rest])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

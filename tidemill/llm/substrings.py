@@ -5,11 +5,13 @@ anchor. Which string of a repeated passage is its anchor depends on the passage
 anchor at the same distance. An anchor's context is all that a string around it can reach: `length - k` bytes on either side.
   1. Anchors are dealt to shards by their hash. Places with equal context but the first are covered over all of it.
      A task sends on one place of each context only, so no context has more places than there are tasks.
-  2. Where one anchor has several contexts, these are cut out of the texts and dealt to shards by the first text that has the anchor, so
-     that what one text shares with another is cut out in one piece (anchors with very many contexts go by their two halves, of which
-     any common string has one). Contexts that were dealt alike are one text, whose suffix array is built by induced
+  2. Where one anchor has several contexts, these are cut out of the texts and dealt to shards by the region of the first text that has the anchor,
+     so that what one text shares with another is cut out in few pieces. Contexts that were dealt alike are one text, whose suffix array is built by induced
      sorting; permuted common prefixes tell runs of suffixes that share `length` bytes. All places in a run but the first are covered.
-  3. Covered spans are merged by text.
+     A region has few anchors, and an anchor here at most `many` contexts, so what one array must hold is bounded.
+  3. Anchors with more contexts are those of short lines that very many texts share. The strings of `length` bytes around these are dealt by
+     their own hashes instead, the first of each task's; where a hash recurs the strings are cut out and compared.
+  4. Covered spans are merged by text.
 All steps send hashes, places and contexts; the texts themselves stay in files of the shared folder, one for each task of the first step.
 """
 
@@ -37,7 +39,9 @@ NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 K = 32
 ROWS = "to int, kind int, part int, data binary"
 TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-ANCHORS, COVERED, WANTED, SPANS, FILE = range(5)
+ANCHORS, COVERED, WANTED, SPANS, FILE, OFTEN, STRINGS = range(7)
+#: Bytes of a leading text whose anchors' contexts are dealt together.
+REGION = 2048
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -223,10 +227,12 @@ def _match(many: int) -> Callable:
                 v, o, p, part = v[reps], o[reps], p[reps], part[reps]
                 cut = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, int)
                 sizes = np.repeat(np.diff(np.append(cut, len(v))), np.diff(np.append(cut, len(v)))) if len(v) else np.zeros(0, int)
-                leader = np.repeat(np.minimum.reduceat(o, cut), np.diff(np.append(cut, len(v)))) if len(v) else o
-                several = np.flatnonzero(sizes > 1)
-                for q, cols in _dealt(part[several], [_unsigned(o[several]), p[several], _unsigned(leader[several]), (sizes[several] > many).astype(np.int64)]):
-                    out.append((to, WANTED, q, pack(*cols)))
+                first = np.lexsort((p, o, v))[cut]  # the least place of each anchor
+                leader = np.repeat(_mixed(_mixed(o[first].view(np.uint64)) + (p[first] // REGION).astype(np.uint64)), np.diff(np.append(cut, len(v)))) if len(v) else v
+                for kind, own in ((WANTED, (sizes > 1) & (sizes <= many)), (OFTEN, sizes > many)):
+                    own = np.flatnonzero(own)
+                    for q, cols in _dealt(part[own], [_unsigned(o[own]), p[own], leader[own]]):
+                        out.append((to, kind, q, pack(*cols)))
             if out:
                 yield _batch(out)
 
@@ -244,59 +250,196 @@ def _looked_up(ords: np.ndarray, sorted_: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.searchsorted(sorted_, ords, "left"), np.searchsorted(sorted_, ords, "right")
 
 
+def _places(path: str, part: int, rows: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:
+    """(ord, text, places, keys) of a part's texts that have places among the packed rows of them."""
+    o, p, key = (np.concatenate(x) for x in zip(*[unpack(data) for _, _, data in rows]))
+    o, p = _signed(o), p.astype(np.int64)
+    order = np.lexsort((p, o))
+    o, p, key = o[order], p[order], key[order]
+    for b in _texts(path, part, ["_ord", "_text"]):
+        lo, hi = _looked_up(b.column(0).to_numpy(), o)
+        for i in np.flatnonzero(hi > lo).tolist():
+            yield int(o[lo[i]]), (b.column(1)[i].as_py() or "").encode(), p[lo[i] : hi[i]], key[lo[i] : hi[i]]
+
+
+def _sent(held: list[tuple[int, int, int, bytes]], shards: int, kind: int, part: int) -> pa.RecordBatch:
+    """Pieces of text (key, ord, start, bytes), dealt by key."""
+    key, ords, starts, texts = zip(*held)
+    key, sizes = np.array(key, np.uint64), np.array([len(x) for x in texts])
+    ends = np.cumsum(sizes)
+    joined = np.frombuffer(b"".join(texts), np.uint8)
+    out = []
+    for s, (i,) in _dealt(_shard(key, shards), [np.arange(len(key))]):
+        own = np.concatenate([joined[ends[j] - sizes[j] : ends[j]] for j in i])
+        head = pack(key[i], _unsigned(np.array(ords)[i]), np.array(starts)[i], sizes[i])
+        out.append((s, kind, part, len(head).to_bytes(4, "little") + head + own.tobytes()))
+    return _batch(out)
+
+
+def _received(rows: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
+    """(keys, ords, starts, sizes, parts, all bytes) of rows of _sent()."""
+    texts, cols = [], []
+    for _, q, data in rows:
+        size = int.from_bytes(data[:4], "little")
+        key, a, b, c = unpack(data[4 : 4 + size])
+        cols.append((key, _signed(a), b.astype(np.int64), c.astype(np.int64), np.full(len(a), q)))
+        texts.append(np.frombuffer(data, np.uint8, offset=4 + size))
+    return *[np.concatenate(x) for x in zip(*cols)], np.concatenate(texts)
+
+
 def _cut(path: str, shards: int, length: int) -> Callable:
-    """A part's wanted places -> their contexts, dealt by anchor."""
-    reach, half = length - K, (length - K) // 2
+    """A part's wanted places -> their contexts, dealt by the region of the text that leads them."""
+    reach = length - K
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _grouped(batches, "part"):
+            held, n = [], 0
+            for o, text, places, keys in _places(path, part, rows):
+                spans: dict[int, list[list[int]]] = {}
+                for at, key in zip(places.tolist(), keys.tolist()):
+                    a, z = max(0, at - reach), min(len(text), at + length)
+                    if z - a < length:
+                        continue
+                    if (own := spans.setdefault(key, [])) and a <= own[-1][1]:
+                        own[-1][1] = z
+                    else:
+                        own.append([a, z])
+                for key, own in spans.items():
+                    for a, z in own:
+                        held.append((key, o, a, text[a:z]))
+                        n += z - a
+                if n >= 16 << 20:
+                    yield _sent(held, shards, WANTED, part)
+                    held, n = [], 0
+            if held:
+                yield _sent(held, shards, WANTED, part)
+
+    return run
+
+
+def _cut_often(path: str, shards: int, length: int, most: int = 1 << 20) -> Callable:
+    """A part's places of frequent anchors -> the hashes of all strings of `length` bytes around them, dealt by hash.
+
+    Of equal strings among `most` bytes the first is sent; the others, compared byte by byte, are covered.
+    """
+    reach = length - K
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _grouped(batches, "part"):
-            o, p, leader, many = (np.concatenate(x) for x in zip(*[unpack(data) for _, _, data in rows]))
-            o, p, many = _signed(o), p.astype(np.int64), many.astype(bool)
-            order = np.lexsort((p, o))
-            o, p, leader, many = o[order], p[order], _mixed(leader[order] + np.uint64(1)), many[order]
             held, n = [], 0
 
             def flush():
-                key, ords, starts, texts = zip(*held)
-                key, sizes = np.array(key, np.uint64), np.array([len(x) for x in texts])
+                ords, starts, texts = zip(*held)
+                sizes = np.array([len(x) for x in texts])
                 ends = np.cumsum(sizes)
                 joined = np.frombuffer(b"".join(texts), np.uint8)
-                out = []
-                for s, (i,) in _dealt(_shard(key, shards), [np.arange(len(key))]):
-                    own = np.concatenate([joined[ends[j] - sizes[j] : ends[j]] for j in i])
-                    head = pack(key[i], _unsigned(np.array(ords)[i]), np.array(starts)[i], sizes[i])
-                    out.append((s, WANTED, part, len(head).to_bytes(4, "little") + head + own.tobytes()))
+                h = _hashes(joined, length)
+                fits = np.ones(len(h), bool)
+                for e in ends[:-1].tolist():  # strings that reach into the next piece
+                    fits[max(0, e - length + 1) : e] = False
+                at = np.flatnonzero(fits)
+                row = np.searchsorted(ends, at, "right")
+                h, o, p = h[at], np.array(ords)[row], np.array(starts)[row] + at - (ends - sizes)[row]
+                by = np.lexsort((p, o, h))
+                h, o, p, at = h[by], o[by], p[by], at[by]
+                head = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+                first = np.repeat(head, np.diff(np.append(head, len(h))))
+                later = np.flatnonzero(first != np.arange(len(h)))
+                equal = _equal(joined, at[later], at[first[later]], length)
+                out, gone = [], later[equal]
+                if len(gone):
+                    out.append((part % shards, SPANS, part, pack(*_spans(o[gone], p[gone], length))))
+                keep = np.ones(len(h), bool)
+                keep[gone] = False
+                for s, (x, y, z) in _dealt(_shard(h[keep], shards), [h[keep], _unsigned(o[keep]), p[keep]]):
+                    out.append((s, OFTEN, part, pack(np.diff(x, prepend=np.uint64(0)), y, z)))
                 return _batch(out)
 
-            for b in _texts(path, part, ["_ord", "_text"]):
-                lo, hi = _looked_up(b.column(0).to_numpy(), o)
-                for i in np.flatnonzero(hi > lo).tolist():
-                    text = (b.column(1)[i].as_py() or "").encode()
-                    spans: dict[int, list[list[int]]] = {}
-                    for at, key, often in zip(p[lo[i] : hi[i]].tolist(), leader[lo[i] : hi[i]].tolist(), many[lo[i] : hi[i]].tolist()):
-                        a, z = max(0, at - reach), min(len(text), at + length)
-                        if z - a < length:
-                            continue
-                        if often:  # a common string has this half or that
-                            for key in (xxhash.xxh3_64_intdigest(text[max(0, at - half) : at + K], 1), xxhash.xxh3_64_intdigest(text[at : at + K + half + 1], 2)):
-                                spans.setdefault(key, []).append([a, z])
-                        elif (own := spans.setdefault(key, [])) and a <= own[-1][1]:
-                            own[-1][1] = z
-                        else:
-                            own.append([a, z])
-                    for key, own in spans.items():
-                        for a, z in own:
-                            held.append((key, int(o[lo[i]]), a, text[a:z]))
-                            n += z - a
-                    if n >= 16 << 20:
-                        yield flush()
-                        held, n = [], 0
+            for o, text, places, _ in _places(path, part, rows):
+                spans: list[list[int]] = []
+                for at in places.tolist():
+                    a, z = max(0, at - reach), min(len(text), at + length)
+                    if z - a < length:
+                        continue
+                    if spans and a <= spans[-1][1]:
+                        spans[-1][1] = z
+                    else:
+                        spans.append([a, z])
+                held += [(o, a, text[a:z]) for a, z in spans]
+                n += sum(z - a for a, z in spans)
+                if n >= most:
+                    yield flush()
+                    held, n = [], 0
             if held:
                 yield flush()
 
     return run
 
 
+def _equal(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether the strings at a and b are equal."""
+    out, step = np.zeros(len(a), bool), np.arange(length)
+    for i in range(0, len(a), 1 << 14):
+        out[i : i + (1 << 14)] = (text[a[i : i + (1 << 14), None] + step] == text[b[i : i + (1 << 14), None] + step]).all(axis=1)
+    return out
+
+
+def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A shard's hashes of strings -> the places of those that it has twice or more."""
+    for to, rows in _grouped(batches, "to"):
+        cols = []
+        for _, part, data in rows:
+            h, o, p = unpack(data)
+            cols.append((np.cumsum(h, dtype=np.uint64), o, p, np.full(len(h), part)))
+        h, o, p, part = (np.concatenate(x) for x in zip(*cols))
+        order = np.argsort(h)
+        same = h[order[1:]] == h[order[:-1]]
+        again = order[np.append(same, False) | np.append(False, same)]
+        if len(again):
+            yield _batch([(to, STRINGS, q, pack(*own)) for q, own in _dealt(part[again], [o[again], p[again], h[again]])])
+
+
+def _cut_strings(path: str, shards: int, length: int) -> Callable:
+    """A part's places of strings whose hash recurs -> the strings, dealt by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _grouped(batches, "part"):
+            held = []
+            for o, text, places, keys in _places(path, part, rows):
+                held += [(key, o, at, text[at : at + length]) for at, key in zip(places.tolist(), keys.tolist())]
+                if len(held) * length >= 16 << 20:
+                    yield _sent(held, shards, STRINGS, part)
+                    held = []
+            if held:
+                yield _sent(held, shards, STRINGS, part)
+
+    return run
+
+
+def _same_strings(length: int) -> Callable:
+    """A shard's strings -> all of equal ones but the first, as covered spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for to, rows in _grouped(batches, "to"):
+            _, o, p, _, part, text = _received(rows)
+            kind = np.unique(text.reshape(-1, length).view(f"V{length}").ravel(), return_inverse=True)[1]
+            by = np.lexsort((p, o, kind))
+            later = by[np.append(False, kind[by[1:]] == kind[by[:-1]])]
+            if len(later):
+                yield _batch([(to, SPANS, q, pack(*_spans(a, b, length))) for q, (a, b) in _dealt(part[later], [o[later], p[later]])])
+
+    return run
+
+
+def _spans(o: np.ndarray, p: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ord, start, bytes) for pack(): the strings at these places, those that meet or overlap joined."""
+    by = np.lexsort((p, o))
+    o, p = o[by], p[by]
+    first = np.flatnonzero(np.append(True, (o[1:] != o[:-1]) | (p[1:] > p[:-1] + length))[: len(o)])
+    last = np.append(first[1:] - 1, len(o) - 1)
+    return _unsigned(o[first]), p[first], p[last] + length - p[first]
+
+
 def _hashes(t: np.ndarray, length: int) -> np.ndarray:
     """Of all strings of that length."""
     h, size, out, done = _BYTE[t], 1, None, 0
@@ -364,15 +507,8 @@ def _resolve(length: int, most: int = 2 << 20) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for to, rows in _grouped(batches, "to"):
-            texts, cols = [], []
-            for _, q, data in rows:
-                size = int.from_bytes(data[:4], "little")
-                key, a, b, c = unpack(data[4 : 4 + size])
-                cols.append((key, _signed(a), b.astype(np.int64), c.astype(np.int64), np.full(len(a), q)))
-                texts.append(np.frombuffer(data, np.uint8, offset=4 + size))
-            key, o, p, n, part = (np.concatenate(x) for x in zip(*cols))
-            text, ends = np.concatenate(texts), np.cumsum(n)
-            del texts, rows, cols
+            key, o, p, n, part, text = _received(rows)
+            ends = np.cumsum(n)
             order = np.argsort(key, kind="stable")
             key, o, p, n, part, starts = key[order], o[order], p[order], n[order], part[order], (ends - n)[order]
             new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -388,14 +524,7 @@ def _resolve(length: int, most: int = 2 << 20) -> Callable:
                     continue
                 where = np.argsort(o[lo:hi], kind="stable")
                 home = part[lo:hi][where[np.searchsorted(o[lo:hi][where], so)]]
-                out = []
-                for q, (a, b) in _dealt(home, [so, sp]):
-                    by = np.lexsort((b, a))
-                    a, b = a[by], b[by]
-                    fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] > b[:-1] + length))
-                    first = np.flatnonzero(fresh)
-                    last = np.append(first[1:] - 1, len(a) - 1)
-                    out.append((to, SPANS, q, pack(_unsigned(a[first]), b[first], b[last] + length - b[first])))
+                out = [(to, SPANS, q, pack(*_spans(a, b, length))) for q, (a, b) in _dealt(home, [so, sp])]
                 yield _batch(out)
 
     return run
@@ -429,7 +558,7 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return stored(ranged.select(F.monotonically_increasing_id().alias("_ord"), *rest, text), "numbered")
 
 
-def covered_spans(docs: DataFrame, path: str, *, id_col: str, text_col: str, length: int, many: int = 2_000) -> DataFrame:
+def covered_spans(docs: DataFrame, path: str, *, id_col: str, text_col: str, length: int, many: int = 256) -> DataFrame:
     """Rows (part, kind, data) that tell each part's covered spans, and one FILE row for each part."""
     if length < 2 * K:
         raise ValueError(f"length must be {2 * K} or more")
@@ -438,10 +567,13 @@ def covered_spans(docs: DataFrame, path: str, *, id_col: str, text_col: str, len
     shards = 2 * n
     found = rows.mapInArrow(_scan(path, shards, length), ROWS)
     found = stored(found.repartition(shards, "to").sortWithinPartitions("to").mapInArrow(_match(many), ROWS), "matched")
-    docs.sparkSession.sparkContext._jvm.System.gc()  # lets go of the shuffle's files
-    contexts = found.where(F.col("kind") == WANTED).repartition(n, "part").sortWithinPartitions("part").mapInArrow(_cut(path, shards, length), ROWS)
-    spans = contexts.repartition(shards, "to").sortWithinPartitions("to").mapInArrow(_resolve(length), ROWS)
-    return found.where(F.col("kind").isin(COVERED, FILE)).union(spans)
+    shuffled = lambda df, k, key, f: df.repartition(k, key).sortWithinPartitions(key).mapInArrow(f, ROWS)
+    contexts = shuffled(found.where(F.col("kind") == WANTED), n, "part", _cut(path, shards, length))
+    spans = shuffled(contexts, shards, "to", _resolve(length))
+    often = stored(shuffled(found.where(F.col("kind") == OFTEN), n, "part", _cut_often(path, shards, length)), "often")
+    again = shuffled(often.where(F.col("kind") == OFTEN), shards, "to", _recurring)
+    strings = shuffled(shuffled(again, n, "part", _cut_strings(path, shards, length)), shards, "to", _same_strings(length))
+    return found.where(F.col("kind").isin(COVERED, FILE)).union(spans).union(often.where(F.col("kind") == SPANS)).union(strings)
 
 
 def _merge(spans: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -475,7 +607,9 @@ def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     small_batches(spark)
     path = path or scratch(spark, "texts")
     own = ["doc_id", "text", "kept", "n_bytes", "n_removed", "n_spans", "spans"]
-    docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), *[F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col, *own)], F.col(f"`{text_col}`").alias("text"))
+    others = [c for c in docs.columns if c not in (id_col, text_col, *own)]
+    # under names of their own, so that none clashes with those in use here
+    docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), *[F.col(f"`{c}`").alias(f"_other_{i}") for i, c in enumerate(others)], F.col(f"`{text_col}`").alias("text"))
     found = covered_spans(docs, path, id_col="doc_id", text_col="text", length=length)
     rest = [f for f in docs.schema.fields if f.name != "text"]
     reach = length - K
@@ -512,4 +646,4 @@ def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest]) + ", text string, kept binary, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>"
     n = max(1, docs.rdd.getNumPartitions())
-    return found.repartition(n, "part").sortWithinPartitions("part").mapInArrow(run, schema)
+    return found.repartition(n, "part").sortWithinPartitions("part").mapInArrow(run, schema).toDF("doc_id", *others, *own[1:])
