@@ -33,6 +33,8 @@ from .common import binary, delete, give_back, scratch, slices, small_batches, w
 BEGIN = np.uint64(xxhash.xxh3_64_intdigest(b"begin", 1))
 END = np.uint64(xxhash.xxh3_64_intdigest(b"end", 1))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Words of a packed table that stand in the order of their first use.
+HEAD = 4096
 #: What a row of an intermediate table is.
 GRAMS, CONTEXTS, WORDS, TIMES = range(4)
 ROWS = "level int, shard int, kind int, data binary"
@@ -138,20 +140,39 @@ def pack_grams(columns: list[np.ndarray], c: np.ndarray, hashes: np.ndarray) ->
         used = np.flatnonzero(place)
         place[used] = np.arange(len(used), dtype=np.int32)
         columns = [place[x] for x in columns]
-    by = np.lexsort([columns[-1], *columns[:-2], columns[-2]])
+    # the head's words stand in the order of their first use, frequent ones first for the most part; the others by hash, as gaps
+    head = min(len(used), HEAD)
+    hashes = hashes[used]
+    tail = np.argsort(hashes[head:])
+    move = np.arange(len(used))
+    move[head + tail] = np.arange(head, len(used))
+    hashes = np.append(hashes[:head], np.diff(hashes[head:][tail], prepend=np.uint64(0)))
+    columns = [move[x] for x in columns]
+    second = 0 if len(columns) > 2 else -1
+    rest = [x for k, x in enumerate(columns) if k not in (second % len(columns), len(columns) - 2)]
+    by = np.lexsort([*rest, columns[second], columns[-2]])
     columns = [x[by] for x in columns]
-    columns[-2] = np.diff(columns[-2], prepend=0)
-    head, body = pack(hashes[used]), pack(*columns, c[by])
-    return struct.pack("<I", len(head)) + head + body
+    x, y = columns[-2], columns[second]
+    columns[-2] = np.diff(x, prepend=0)
+    columns[second] = np.where(columns[-2] == 0, np.diff(y, prepend=0), y)  # ascends where the last but one word stays
+    told, body = pack(hashes), pack(*columns, c[by])
+    return struct.pack("<I", len(told)) + told + body
 
 
 def unpack_grams(raw: bytes) -> list[np.ndarray]:
     """Columns of word hashes, and the counts."""
     (n,) = struct.unpack_from("<I", raw)
     (hashes,) = unpack(raw[4 : 4 + n])
+    hashes[HEAD:] = np.cumsum(hashes[HEAD:], dtype=np.uint64)
     *columns, c = unpack(raw[4 + n :])
-    columns[-2] = np.cumsum(columns[-2], dtype=np.uint64)
-    return [*[hashes[x.astype(np.int64)] for x in columns], c.astype(np.int64)]
+    columns = [x.astype(np.int64) for x in columns]
+    second = 0 if len(columns) > 2 else -1
+    new = np.flatnonzero(columns[-2])
+    new = np.append(0, new[new > 0])
+    y = np.cumsum(columns[second])
+    columns[second] = y - np.repeat(y[new] - columns[second][new], np.diff(np.append(new, len(y))))
+    columns[-2] = np.cumsum(columns[-2])
+    return [*[hashes[x] for x in columns], c.astype(np.int64)]
 
 
 def summed(key: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
@@ -290,13 +311,38 @@ def _count_words(shards: int):
     return run
 
 
+def _by_shard(df: DataFrame, n: int, f, schema: str, key: tuple[str, ...] = ("level", "shard")) -> DataFrame:
+    """f(key, rows) of each shard's rows; shards are dealt to n tasks in turn, so that none gets many by chance."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            keys = list(zip(*[b.column(c).to_pylist() for c in key]))
+            at = 0
+            while at < len(keys):
+                to = at + 1
+                while to < len(keys) and keys[to] == keys[at]:
+                    to += 1
+                if keys[at] != now:
+                    if held:
+                        yield from f(now, pa.Table.from_batches(held)).select(names).to_batches()
+                    now, held = keys[at], []
+                held.append(b.slice(at, to - at))
+                at = to
+        if held:
+            yield from f(now, pa.Table.from_batches(held)).select(names).to_batches()
+
+    return df.repartitionById(n, F.pmod("shard", F.lit(n)).cast("int")).sortWithinPartitions(*key).mapInArrow(run, schema)
+
+
 def _sum_words(most: int):
     """One shard's words -> one row of them, which of them are hot, and their numbers."""
 
     def run(key, rows):
         parts = [unpack(x.as_py()) for x in rows.column("data")]
         w, c = summed(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), np.concatenate([p[1].astype(np.int64) for p in parts]))
-        return pa.table([pa.array([x], t) for x, t in ((key[0].as_py(), pa.int32()), (pack(*_gapped([w, c])), pa.binary()), (w[c > most].view(np.int64).tolist(), pa.list_(pa.int64())), (int(c.sum()), pa.int64()), (len(w), pa.int64()))], names=["shard", "data", "hot", "n", "v"])
+        return pa.table([pa.array([x], t) for x, t in ((key[1], pa.int32()), (pack(*_gapped([w, c])), pa.binary()), (w[c > most].view(np.int64).tolist(), pa.list_(pa.int64())), (int(c.sum()), pa.int64()), (len(w), pa.int64()))], names=["shard", "data", "hot", "n", "v"])
 
     return run
 
@@ -312,7 +358,7 @@ def _to_shard(last_but_one: np.ndarray, gram: np.ndarray, hot: np.ndarray, shard
     return np.where(_is_hot(last_but_one, hot), shards + shard_of(gram, shards), shard_of(last_but_one, shards))
 
 
-def _count_grams(order: int, shards: int, shared, most: int = 2_500_000):
+def _count_grams(order: int, shards: int, shared, most: int = 2_000_000):
     """Texts -> rows (level, shard, kind, data) of their n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,7 +399,7 @@ def _merge(path: str, shards: int):
     """
 
     def run(key, rows):
-        level, shard = (x.as_py() for x in key)
+        level, shard = key
         parts = [unpack_grams(x.as_py()) for x in rows.column("data")]
         *columns, c = (np.concatenate(x) for x in zip(*parts))
         del parts
@@ -411,7 +457,7 @@ def _sum_contexts(path: str):
     """One shard's rows of hot contexts of one level -> its file."""
 
     def run(key, rows):
-        level, shard = (x.as_py() for x in key)
+        level, shard = key
         parts = [unpack(x.as_py()) for x in rows.column("data")]
         values = [np.concatenate(x).astype(np.int64) for x in list(zip(*parts))[1:]]
         got = summed(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), *values)
@@ -433,8 +479,8 @@ def _save_words(path: str):
             keys.append(np.cumsum(w, dtype=np.uint64))
             values.append(v)
         w, c, a = summed(np.concatenate(keys), *np.concatenate(values, axis=1))
-        _save(path, f"words-{key[0].as_py():08d}", {"key": w.astype("<u8")} | _small("count", c) | _small("continued", a))
-        sums = [key[0].as_py(), int(a.sum()), int((a > 0).sum()), *[int((a == k).sum()) for k in (1, 2, 3, 4)]]
+        _save(path, f"words-{key[0]:08d}", {"key": w.astype("<u8")} | _small("count", c) | _small("continued", a))
+        sums = [key[0], int(a.sum()), int((a > 0).sum()), *[int((a == k).sum()) for k in (1, 2, 3, 4)]]
         return pa.table([pa.array([x], pa.int64()) for x in sums], names=["shard", "pairs", "seconds", "t1", "t2", "t3", "t4"])
 
     return run
@@ -587,13 +633,13 @@ def train(docs: DataFrame, path: str, *, order: int = 3, text_col: str = "text",
         write(df, f"{path}/{name}")
         return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
-    words = kept(texts.mapInArrow(_count_words(few), ROWS).repartition(few, "shard").groupBy("shard").applyInArrow(_sum_words(most), "shard int, data binary, hot array<long>, n long, v long"), "words")
+    words = kept(_by_shard(texts.mapInArrow(_count_words(few), ROWS), few, _sum_words(most), "shard int, data binary, hot array<long>, n long, v long"), "words")
     n_tokens, n_words = (x or 0 for x in words.agg(F.sum("n"), F.sum("v")).first())
     hot = words.select(F.explode("hot").alias("w")).toArrow().column("w").to_numpy().astype(np.int64).view(np.uint64)
     hot = np.sort(np.append(hot, BEGIN) if n_texts > most else hot)
     rows, made = texts.mapInArrow(_count_grams(order, shards, spark.sparkContext.broadcast(hot)), ROWS), []
     for k in range(order, 1, -1):
-        merged = rows.repartition(shards, "level", "shard").groupBy("level", "shard").applyInArrow(_merge(path, shards), ROWS)
+        merged = _by_shard(rows, 2 * shards if len(hot) else shards, _merge(path, shards), ROWS)
         made.append(kept(merged, f"rows{k}"))
         rows = made[-1].where(F.col("kind") == GRAMS)
         if not len(hot):
@@ -605,12 +651,12 @@ def train(docs: DataFrame, path: str, *, order: int = 3, text_col: str = "text",
     files = every.where(F.col("kind") == TIMES).select("level", "shard").distinct().toArrow()
     level, shard = (files.column(c).to_numpy() for c in ("level", "shard"))
     there = {"own": _flags(shard[shard < shards])} | {f"hot{k}": _flags(shard[(shard >= shards) & (level == k)] - shards) for k in range(2, order + 1)}
-    warm = every.where(F.col("kind") == CONTEXTS).repartition(shards, "level", "shard").groupBy("level", "shard").applyInArrow(_sum_contexts(path), "level int, shard int").toArrow()
+    warm = _by_shard(every.where(F.col("kind") == CONTEXTS), shards, _sum_contexts(path), "level int, shard int").toArrow()
     level, shard = (warm.column(c).to_numpy() for c in ("level", "shard"))
     there |= {f"contexts{k}": _flags(shard[level == k]) for k in range(2, order + 1)}
     both = words.select(F.lit(0).alias("level"), "shard", "data").union(every.where(F.col("kind") == WORDS).select("level", "shard", "data"))
     schema = "shard long, pairs long, seconds long, t1 long, t2 long, t3 long, t4 long"
-    sums = both.repartition(few, "shard").groupBy("shard").applyInArrow(_save_words(path), schema).toArrow()
+    sums = _by_shard(both, few, _save_words(path), schema, ("shard",)).toArrow()
     there["words"] = _flags(sums.column("shard").to_numpy())
     total = {c: int(sums.column(c).to_numpy().sum()) for c in sums.column_names[1:]}
     times[1] = [total[f"t{k}"] for k in (1, 2, 3, 4)]
