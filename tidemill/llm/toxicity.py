@@ -6,8 +6,7 @@ clearly shorter, the window holds what only toxic text explains. The trainer pic
 for the most part; so the toxic dictionary is pruned of strings that ordinary text holds about as often.
 
 Thresholds on the window's gain are quantiles of all ordinary training windows; a logistic curve over a text's gains is fitted to
-the training labels and calibrated to their true share. The fit uses a sample of at most `fit_rows` labelled texts, and of these
-at most `most_windows` windows of each kind train the dictionaries; scoring covers every window of every text.
+the training labels and calibrated to their true share. The fit uses a sample of at most `fit_rows` labelled texts of at most `fit_bytes` together, and all windows of these; scoring covers every window of every text.
 """
 
 from __future__ import annotations
@@ -23,11 +22,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, give_back, slices, small_batches
+from .common import binary, give_back, slices, small_batches, stored
 from .kneser_ney import held_out_by
 
 #: Values of a text's features, in order.
-FEATURES = ["largest", "mean", "mean_of_largest_3", "share_over_first", "share_over_second", "log_over_first", "log_over_second", "log_windows"]
+FEATURES = ["largest", "mean", "mean_of_largest_3", "share_over_first", "share_over_second", "log_over_first", "log_over_second", "log_windows", "sum", "sum_by_root"]
+
+#: Matches are not looked for in a dictionary's last bytes.
+PAD = b" " * 16
 
 
 def windows(text: bytes, size: int) -> list[bytes]:
@@ -64,7 +66,7 @@ class Classifier:
     def gains(self, parts: list[bytes]) -> np.ndarray:
         """Bytes that the toxic dictionary saves on each window."""
         if self._with is None:
-            self._with = _compressor(self.ordinary, self.level), _compressor(self.ordinary + self.toxic, self.level)
+            self._with = _compressor(self.ordinary + PAD, self.level), _compressor(self.ordinary + self.toxic + PAD, self.level)
         a, b = (c.compress for c in self._with)
         return np.array([len(a(w)) - len(b(w)) for w in parts], np.float64)
 
@@ -72,7 +74,7 @@ class Classifier:
         """Of a text whose windows have these gains."""
         one, two = (g >= self.thresholds[0]).sum(), (g >= self.thresholds[1]).sum()
         top = np.partition(g, len(g) - 3)[-3:] if len(g) > 3 else g
-        return np.array([g.max(), g.mean(), top.mean(), one / len(g), two / len(g), np.log1p(one), np.log1p(two), np.log(len(g))])
+        return np.array([g.max(), g.mean(), top.mean(), one / len(g), two / len(g), np.log1p(one), np.log1p(two), np.log(len(g)), np.clip(g.sum(), -64, 64), g.sum() / np.sqrt(len(g))])
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if not texts:
@@ -95,10 +97,10 @@ def _trained(samples: list[bytes], size: int, k: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def fit(texts: list[bytes], toxic: list[bool], share: float | None = None, *, size: int = 40, level: int = 12, ordinary_bytes: int = 64 << 10, toxic_bytes: int = 16 << 10, most_windows: int = 200_000, seed: int = 1) -> Classifier:
+def fit(texts: list[bytes], toxic: list[bool], share: float | None = None, *, size: int = 128, level: int = 12, ordinary_bytes: int = 64 << 10, toxic_bytes: int = 32 << 10, passes: int = 6, seed: int = 1) -> Classifier:
     """A classifier from labelled texts. share: the toxic texts' true share, if those given are not in proportion.
 
-    most_windows: at most so many windows of each kind, chosen at random, train the dictionaries; thresholds and curve see all.
+    All windows train the dictionaries, and thresholds and curve see all.
     Without texts of both kinds every score is that share (0 if it is not known).
     """
     rng = random.Random(seed)
@@ -111,12 +113,12 @@ def fit(texts: list[bytes], toxic: list[bool], share: float | None = None, *, si
     for kind in (False, True):
         own = [w for t, k in zip(texts, toxic) if k == kind for w in windows(t, size)]
         rng.shuffle(own)
-        kinds.append(own[:most_windows])
+        kinds.append(own)
     plain, bad = kinds
     ordinary = _trained(plain, ordinary_bytes, 64)
     # strings that recur in toxic texts, and those of them that ordinary texts hold far less often
     found: set[bytes] = set()
-    for _ in range(3):
+    for _ in range(passes):
         rng.shuffle(bad)
         found.update(_trained(bad, toxic_bytes, 16).split())
     held = [Counter(), Counter()]
@@ -147,8 +149,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return b
 
 
-def fit_sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4, fold: int = 2, fit_rows: int = 10_000) -> tuple[list[bytes], list[bool], float | None]:
-    """At most fit_rows labelled texts that are not held out, at most half of each kind: those with the least hash of the id; and the toxic share of all such rows."""
+def fit_sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4, fold: int = 2, fit_rows: int = 10_000, fit_bytes: int = 64 << 20) -> tuple[list[bytes], list[bool], float | None]:
+    """At most fit_rows labelled texts that are not held out, at most half of each kind: those with the least hash of the id; and the toxic share of all such rows.
+
+    Of rows that share an id, the text with the least hash stands for all. Of these texts as many are taken, in the order of the ids' hashes, as have fit_bytes together.
+    """
     rows = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_label")).where(F.col("_id").isNotNull() & F.col("_label").isin(0, 1) & ~held_out_by("_id", folds, fold)).distinct()
     counts = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().collect()}
     if not counts:
@@ -157,20 +162,25 @@ def fit_sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
     for label in (0, 1):
         least = rows.where(F.col("_label") == label).orderBy(F.xxhash64("_id"), "_id").limit(fit_rows // 2)
         chosen = least if chosen is None else chosen.union(least)
-    found = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_text", "_label")
-    got = sorted(found.toLocalIterator(), key=lambda r: (str(r["_id"]), r["_label"], r["_text"] or ""))
+    text = F.coalesce(F.col("_text"), F.lit(""))
+    found = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).join(F.broadcast(chosen), "_id")
+    found = stored(found.groupBy("_id", "_label").agg(F.min(F.struct(F.xxhash64(text).alias("h"), text.alias("t"))).alias("r")).select("_id", "_label", F.col("r.t").alias("_text"), F.xxhash64("_id").alias("_order")), "labelled")
+    sizes = found.select("_order", F.octet_length("_text").alias("n")).orderBy("_order").toArrow()
+    within = np.cumsum(sizes.column("n").to_numpy()) <= fit_bytes
+    last = int(sizes.column("_order").to_numpy()[within].max(initial=-1 << 63))
+    got = sorted(found.where(F.col("_order") <= last).toLocalIterator(), key=lambda r: (str(r["_id"]), r["_label"], r["_text"]))
     total = sum(counts.values())
-    return [(r["_text"] or "").encode() for r in got], [r["_label"] == 1 for r in got], counts.get(1, 0) / total
+    return [r["_text"].encode() for r in got], [r["_label"] == 1 for r in got], counts.get(1, 0) / total
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, fold: int = 2, threshold: float = 0.3, fit_rows: int = 10_000, **options) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, fold: int = 2, threshold: float = 0.3, fit_rows: int = 10_000, fit_bytes: int = 64 << 20, **options) -> DataFrame:
     """One row per row of docs: doc_id, held_out (crc32 of the id as text, modulo folds, is fold), score (0 to 1), predicted (1 if score >= threshold).
 
     Only texts bear upon a score. Null and empty texts are one empty window and get its score. Repeated rows and equal texts get
     equal scores. Labels that are null or neither 0 nor 1, and rows without an id, teach nothing; without labels of both kinds every score is
     their share. An empty docs gives an empty result.
     """
-    model = fit(*fit_sample(docs, labels, id_col=id_col, text_col=text_col, folds=folds, fold=fold, fit_rows=fit_rows), **options)
+    model = fit(*fit_sample(docs, labels, id_col=id_col, text_col=text_col, folds=folds, fold=fold, fit_rows=fit_rows, fit_bytes=fit_bytes), **options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.select(F.col(f"`{id_col}`")).schema[0].dataType.simpleString()
     small_batches(docs.sparkSession)
@@ -184,8 +194,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", threshold: float = 0.3, fit_rows: int = 10_000, **options) -> DataFrame:
-    """docs, all columns, without the rows that score_toxicity() predicts to be toxic."""
+def without_toxic(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", threshold: float = 0.3, fit_rows: int = 10_000, fit_bytes: int = 64 << 20, **options) -> DataFrame:
+    """docs, all columns, without the rows that score_toxicity() predicts to be toxic.
+
+    Null and empty texts stay or go alike, as an empty window scores; so do repeated rows, and equal texts. An empty docs gives an empty result, and
+    without labels of both kinds all rows get the labels' share as their score.
+    """
     model = fit(*fit_sample(docs, labels, text_col=text_col, fit_rows=fit_rows, **options))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.schema
