@@ -1,7 +1,9 @@
 """The operators against brute force, on small fixtures: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import math
 import random
+import textwrap
 import zlib
 
 import public_tokenizers
@@ -169,16 +171,51 @@ def test_license_join_is_exact(spark):
     vocab = [f"w{i}" for i in range(12)]
     templates = [(f"t{k}", " ".join(rng.choice(vocab) for _ in range(rng.randint(1, 7)))) for k in range(8)]
     rows = [(i, "\n".join(" ".join(rng.choice([*vocab, "other"]) for _ in range(rng.randint(0, 9))) for _ in range(3))) for i in range(60)]
-    got = by_id(licenses.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string"), templates=templates, phrases={}, threshold=0.7))
-    for i, t in rows:
-        want = {}
-        for k, line in enumerate(t.split("\n")):
-            for label, x in templates:
-                a, b = set(line.split()), set(x.split())
-                if len(a & b) >= 0.7 * len(b) - 1e-9:
-                    want[k, label] = max(want.get((k, label), 0), len(a & b) / len(b))
-        assert {(m["block"], m["label"]): m["containment"] for m in got[i]["matches"]} == want
-        assert got[i]["score"] == max([0.0, *want.values()])
+    for across in (True, False):
+        got = by_id(licenses.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string"), templates=templates, phrases={}, threshold=0.7, across_lines=across))
+        for i, t in rows:
+            want = {}
+            for line in [t] if across else t.split("\n"):
+                own = line.split()
+                for label, x in templates:
+                    b, span = set(x.split()), math.ceil(1.25 * len(x.split()))
+                    for at in range(max(1, len(own) - span + 1)):
+                        n = len(set(own[at : at + span]) & b)
+                        if n >= 0.7 * len(b) - 1e-9:
+                            want[label] = max(want.get(label, 0), n / len(b))
+            found = {}
+            for m in got[i]["matches"]:
+                found[m["label"]] = max(found.get(m["label"], 0), m["containment"])
+            assert found == want and got[i]["score"] == max([0.0, *want.values()]) and got[i]["labels"] == ",".join(sorted(want))
+
+
+def test_licenses_recall_and_precision(spark):
+    """Notices as they stand in files: wrapped, behind comment marks, in capitals, with a few words lost; and texts that only look alike."""
+    rng = random.Random(12)
+    rows = []
+    for label, text, *_ in licenses.TEMPLATES:
+        for width, mark in ((72, " * "), (60, "# "), (78, "// "), (200, "")):
+            own = text.upper() if mark == "# " else text
+            if len(text.split()) > 40:
+                words = own.split()
+                for k in rng.sample(range(len(words)), len(words) // 20):
+                    words[k] = rng.choice(WORDS)
+                own = " ".join(words)
+            body = "\n".join(mark + x for x in textwrap.wrap(own, width))
+            rows.append((label, f"{sentence(40, rng)}\n{body}\n{sentence(60, rng)}"))
+    planted = len(rows)
+    vocabulary = sorted({w for _, x, *_ in licenses.TEMPLATES for w in x.split()})
+    rows += [("", " ".join(rng.choice(vocabulary + WORDS * 2) for _ in range(400))) for _ in range(60)]
+    rows += [("", t) for t in (
+        "licensed grapes by the cc, under 4 roofs, scored 0 points", "All " + sentence(400, rng) + " rights " + sentence(400, rng) + " reserved " + sentence(400, rng), "The above conditions are met with the permission of all persons to whom the software is furnished",
+        "You can redistribute the apples and modify the public terms of the foundation under either version of the general license", "Use of this name in commercial products without prior written permission is at your own risk",
+    )]
+    got = by_id(licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id bigint, text string"), phrases={}))
+    found = [set(got[i]["labels"].split(",")) - {""} for i in range(len(rows))]
+    hit = sum(label in f for (label, _), f in zip(rows[:planted], found))
+    given = sum(map(len, found))
+    print("recall", hit / planted, "precision", hit / given, [(r[0], f) for r, f in zip(rows, found) if f - {r[0]}][:9], [r[0] for r, f in zip(rows[:planted], found) if r[0] not in f])
+    assert hit / planted >= 0.95 and hit / given >= 0.95
 
 
 def test_licenses_across_lines(spark):
@@ -196,7 +233,7 @@ def test_licenses_across_lines(spark):
     got = by_id(licenses.scan_licenses(df, phrases={}))
     for i, label in enumerate(["mit", "bsd", "gpl-3", "isc", "mit"]):
         assert label in got[i]["labels"].split(","), (i, got[i]["labels"])
-    assert [got[i]["score"] for i in range(5)] == [1.0] * 5 and got[0]["matches"][0]["block"] == 1
+    assert all(got[i]["score"] >= 0.8 for i in range(5)) and got[0]["matches"][0]["block"] == 1
     assert got[5]["labels"] == ""  # too far apart
     by_lines = by_id(licenses.scan_licenses(df, phrases={}, across_lines=False))
     assert all(not by_lines[i]["labels"] for i in (0, 1, 4))
@@ -473,8 +510,8 @@ def test_keep_one_of_each_class(spark):
 
 def test_thresholds_see_all_ordinary_windows(monkeypatch):
     rng, seen, quantile = random.Random(5), [], toxicity.np.quantile
-    texts = [sentence(400, rng).encode() for _ in range(1500)] + [(sentence(30, rng) + " vile scum " * 3).encode() for _ in range(60)]
-    toxic = [i >= 1500 for i in range(len(texts))]
+    texts = [sentence(400, rng).encode() for _ in range(4000)] + [(sentence(30, rng) + " vile scum " * 3).encode() for _ in range(60)]
+    toxic = [i >= 4000 for i in range(len(texts))]
     monkeypatch.setattr(toxicity.np, "quantile", lambda x, q: seen.append(sorted(x)) or quantile(x, q))
     model = toxicity.fit(texts, toxic)
     gains = model.gains([w for t, bad in zip(texts, toxic) if not bad for w in toxicity.windows(t, model.size)])

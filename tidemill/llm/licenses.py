@@ -1,20 +1,21 @@
 """Licence scan: exact set-similarity join between text blocks and licence notices.
 
-A block is a line of a text, or a window across line ends: as many consecutive words as the template has. A block and a template
-are sets of words (as in decontam.words_of). A block matches where it holds at least `threshold` of a template's words and, of a
+A block is a window of consecutive words, over line ends too: a quarter more words than the template has, so that its length is bounded by the template's
+whatever the length of lines and texts. A block and a template are sets of words (as in decontam.words_of). A block matches where it holds at least `threshold` of a template's words and, of a
 template that has one, the name: what tells its licence from others with nearly the same notice, as a pattern over the block's words. The template words are ordered by their frequency in the
 corpus, rarest first. Of a template with n words, c = ceil(threshold * n) must be found, hence one at least of its
-n - c + 1 rarest (prefix filter). A block of fewer than c words is passed over (length filter), and so is one in which the
-places of the first shared word leave room for fewer than c shared ones (positional filter). What is left is counted exactly.
+n - c + 1 rarest (prefix filter). A text of fewer than c words is passed over (length filter), and so is one in which the
+places of the first shared word leave room for fewer than c shared ones (positional filter). What is left is counted exactly, window by window.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,6 +62,23 @@ TEMPLATES = [
     ("proprietary", "All rights reserved"),
     ("unlicense", "This is free and unencumbered software released into the public domain", " unencumbered "),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", " with or without fee "),
+    ("wtfpl", "Do what the fuck you want to public license", " do what the fuck you want to "),
+]
+_AS_IS = "IN NO EVENT SHALL THE {0} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_CLAUSES = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {1}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+_NO_WARRANTY = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0}General Public License for more details. You should have received a copy of the GNU {0}General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+# whole texts of short licences, and the whole notices of long ones
+TEMPLATES += [
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.", " sublicense "),
+    ("bsd", (_CLAUSES + _AS_IS).format("COPYRIGHT HOLDER OR CONTRIBUTORS", "")),
+    ("bsd", (_CLAUSES + _AS_IS).format("COPYRIGHT HOLDER OR CONTRIBUTORS", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. ")),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.", " with or without fee "),
+    ("apache-2", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.", " apache "),
+    *[(label, f"This program is free software: {_FOUNDATION.format(name, version)}, or (at your option) any later version. {_NO_WARRANTY.format(name)}", _public(kind, version)) for label, name, kind, version in (("gpl-2", "", "", 2), ("gpl-3", "", "", 3), ("lgpl-3", "Lesser ", "lesser", 3), ("agpl-3", "Affero ", "affero", 3))],
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", " mozilla public licen[cs]e (?:version |v )*v?2 "),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", " unencumbered "),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.", " misrepresented "),
+    ("bsl-1", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so", " organization "),
 ]
 
 
@@ -75,7 +93,8 @@ class Matcher:
         every = {w for t in templates for w in _words(t[1].encode())}
         self.rank = {w: i for i, w in enumerate(sorted(every, key=lambda w: (frequency.get(w, 0), w)))}
         self.templates = []
-        self.lengths: list[int] = []  # words, repeated ones too
+        self.windows: list[int] = []  # words of a block
+        self.known = frozenset(every)
         self.names: list[re.Pattern | None] = []
         self.index: dict[int, list[tuple[int, int]]] = {}
         for label, text, *name in templates:
@@ -85,32 +104,13 @@ class Matcher:
             need = max(1, math.ceil(threshold * len(own) - 1e-9))
             k = len(self.templates)
             self.templates.append((label, frozenset(own), len(own), need))
-            self.lengths.append(len(_words(text.encode())))
+            self.windows.append(math.ceil(1.25 * len(_words(text.encode()))))
             self.names.append(re.compile(name[0].encode()) if name else None)
             for i, r in enumerate(own[: len(own) - need + 1]):
                 self.index.setdefault(r, []).append((k, i))
         names = {r: w for w, r in self.rank.items()}
         self.prefix = frozenset(names[r] for r in self.index)
 
-    def block(self, text: list[bytes], a: int, b: int) -> dict[str, float]:
-        """label -> best containment that reaches the threshold, in the line that is text[a:b]."""
-        rank, found, words = self.rank, {}, text[a:b]
-        size = len(set(words))
-        own = sorted({rank[w] for w in words if w in rank})
-        tried = set()
-        for j, r in enumerate(own):
-            for k, i in self.index.get(r, ()):
-                if k in tried:
-                    continue
-                tried.add(k)  # r is the first word that they share
-                label, template, n, need = self.templates[k]
-                if size < need or 1 + min(n - i - 1, len(own) - j - 1) < need:
-                    continue
-                shared = len(template.intersection(own))
-                if shared >= need and self._named(k, text, a, b):
-                    found[label] = max(found.get(label, 0.0), shared / n)
-        return found
-
     def _named(self, k: int, words: list[bytes], a: int, b: int) -> bool:
         """Whether words[a:b] hold the k-th template's name; the words beside them tell whether it is a longer one."""
         if not self.names[k]:
@@ -120,42 +120,43 @@ class Matcher:
         high = low + sum(map(len, own)) + len(own) + 1
         return any(low <= m.start() and m.end() <= high for m in self.names[k].finditer(b" " + b" ".join(left + own + words[b : b + 3]) + b" "))
 
-    def across(self, words: list[bytes], starts: list[int]) -> Iterator[tuple[int, int, str, float]]:
-        """Matches of windows across line ends: first line, last line, label, containment. starts: each line's first word's number.
+    def matches(self, words: list[bytes]) -> Iterator[tuple[int, str, float]]:
+        """(place of its first shared word, label, containment) of the windows that reach a template's threshold and have its name.
 
-        A window has as many words as the template; the lines are those of its first and its last shared word. Of windows
-        that overlap, the best is given.
+        Of windows that overlap, the best is given.
         """
-        rank, everywhere = self.rank, set(words)
-        own = {rank[w] for w in everywhere if w in rank}
+        rank = self.rank
+        own = sorted({rank[w] for w in self.known.intersection(words)})
         tried = set()
-        for r in own:
-            for k, _ in self.index.get(r, ()):
+        for j, r in enumerate(own):
+            for k, i in self.index.get(r, ()):
+                if k in tried:
+                    continue
+                tried.add(k)  # r is the first word that they share
                 label, template, n, need = self.templates[k]
-                if k in tried or len(template.intersection(own)) < need:
+                if len(words) < need or 1 + min(n - i - 1, len(own) - j - 1) < need or len(template.intersection(own)) < need:
                     continue
-                tried.add(k)
-                at = [(i, x) for i, w in enumerate(words) if (x := rank.get(w)) in template]
+                span = self.windows[k]
+                at = [(p, x) for p, w in enumerate(words) if (x := rank.get(w)) in template]
                 count: Counter = Counter()
                 tail, best, end = 0, None, -1
-                for i, x in at:
+                for p, x in at:
                     count[x] += 1
-                    while at[tail][0] <= i - self.lengths[k]:
+                    while at[tail][0] <= p - span:
                         y = at[tail][1]
                         count[y] -= 1
                         if not count[y]:
                             del count[y]
                         tail += 1
                     a = at[tail][0]
-                    first, last = bisect_right(starts, a) - 1, bisect_right(starts, i) - 1
-                    if len(count) < need or first == last or not self._named(k, words, max(0, min(a, i + 1 - self.lengths[k])), i + 1):
+                    if len(count) < need or not self._named(k, words, max(0, p + 1 - span), min(len(words), a + span)):
                         continue
                     if best and a > end:
                         yield best
                         best = None
-                    end = i
-                    if not best or len(count) / n > best[3]:
-                        best = (first, last, label, len(count) / n)
+                    end = p
+                    if not best or len(count) / n > best[2]:
+                        best = (a, label, len(count) / n)
                 if best:
                     yield best
 
@@ -185,16 +186,15 @@ def _places(joined: bytes, phrase: bytes) -> list[int]:
     return out
 
 
-def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: list[tuple[str, ...]] | None = None, threshold: float = 0.8, across_lines: bool | None = None) -> DataFrame:
+def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: list[tuple[str, ...]] | None = None, threshold: float = 0.8, across_lines: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, matches, labels, score.
 
     n_base: places where a phrase's words stand consecutively; first_word and last_word their smallest and largest start, null
-    without any. matches: array of (block: line number from 0, of a window the first line's, label, containment). across_lines: whether
-    windows across line ends are blocks too, by default with the built-in templates; one adds nothing where one of its lines has the label. labels: base labels and the matches', distinct,
+    without any. matches: array of (block: number from 0 of the line in which the window's first shared word stands, label, containment). across_lines: whether
+    windows go over line ends. labels: base labels and the matches', distinct,
     sorted. score: 1 with a base label, else the best containment of any match, else 0. Null and empty texts have
-    no words, no labels and score 0; equal labels from several templates count once. Columns other than the two are not looked at.
+    no words, no labels and score 0; equal labels from several templates count once. Repeated rows are scanned each, an empty docs gives an empty result. Columns other than the two are not looked at.
     """
-    across_lines = templates is None if across_lines is None else across_lines
     phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
     small_batches(docs.sparkSession)
     frequency = word_frequency(docs, {w for t in templates for w in _words(t[1].encode())}, text_col)
@@ -220,23 +220,14 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                             base.add(label)
                 matches = []
                 if not matcher.prefix.isdisjoint(words):
-                    starts_of_lines, n = [], 0
-                    for k, line in enumerate(t.split(b"\n")):
-                        own = line.translate(ALNUM).split()
-                        starts_of_lines.append(n)
-                        n += len(own)
-                        if own and not matcher.prefix.isdisjoint(own):
-                            matches += [{"block": k, "label": x, "containment": c} for x, c in sorted(matcher.block(words, n - len(own), n).items())]
-                    if across_lines and len(starts_of_lines) > 1:
-                        have_lines: dict[str, list[int]] = {}
-                        for m in matches:
-                            have_lines.setdefault(m["label"], []).append(m["block"])
-                        spans: dict[tuple[int, str], float] = {}
-                        for first, last, x, c in matcher.across(words, starts_of_lines):
-                            own_lines = have_lines.get(x, [])
-                            if bisect_right(own_lines, last) == bisect_left(own_lines, first):
-                                spans[first, x] = max(spans.get((first, x), 0.0), c)
-                        matches += [{"block": k, "label": x, "containment": c} for (k, x), c in sorted(spans.items())]
+                    lines = [x.translate(ALNUM).split() for x in t.split(b"\n")]
+                    ends = list(accumulate(map(len, lines)))
+                    best: dict[tuple[int, str], float] = {}
+                    for k, own in [(0, words)] if across_lines else enumerate(lines):
+                        for a, x, c in matcher.matches(own):
+                            key = bisect_right(ends, a) if across_lines else k, x
+                            best[key] = max(best.get(key, 0.0), c)
+                    matches = [{"block": k, "label": x, "containment": c} for (k, x), c in sorted(best.items())]
                 labels = sorted(base.union(m["label"] for m in matches))
                 score = 1.0 if base else max([0.0, *(m["containment"] for m in matches)])
                 rows.append((len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), matches, ",".join(labels), score))
