@@ -144,6 +144,29 @@ def test_substrings_of_frequent_anchors(spark):
     assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == brute_repeats(rows, 100)
 
 
+def test_substrings_of_a_line_that_all_documents_share(spark):
+    """One line in all documents, shorter than the length alone and longer with what some have around it; no key holds what grows with the documents."""
+    rng = random.Random(16)
+    line, near_by = sentence(30, rng)[:90], [sentence(4, rng) for _ in range(3)]
+    rows = [(i, f"{sentence(30, rng)} {rng.choice([*near_by, sentence(4, rng)])}\n{line}\n{rng.choice([*near_by, sentence(5, rng)])} {sentence(20, rng)}") for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in substrings.remove_repeated(df).collect()) == brute_repeats(rows, 100)
+    most = []
+    for n in (300, 1200):
+        from tidemill.llm.common import scratch
+
+        docs_ = spark.createDataFrame(rows[:n], "doc_id bigint, text string").repartition(3)
+        path = scratch(spark, "texts")
+        found = substrings._numbered(docs_, "doc_id", "text").mapInArrow(substrings._scan(path, 6, 100, 64), substrings.ROWS)
+        got = found.where(F.col("kind") == substrings.ANCHORS).collect()
+        counts = {}
+        for r in got:
+            for v in substrings.unpack(bytes(r["data"]))[0].tolist():
+                counts[v] = counts.get(v, 0) + 1
+        most.append(max(counts.values()))
+    assert max(most) <= 3 * 64
+
+
 def test_substrings_of_short_periodic_texts(spark):
     rows = [(i, ("ab" * 200)[: 95 + i]) for i in range(12)] + [(100 + i, "x" * (99 + 9 * i)) for i in range(12)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)

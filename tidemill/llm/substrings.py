@@ -39,7 +39,7 @@ NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 K = 32
 ROWS = "to int, kind int, part int, data binary"
 TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-ANCHORS, COVERED, WANTED, SPANS, FILE, OFTEN, STRINGS = range(7)
+ANCHORS, COVERED, WANTED, SPANS, FILE, OFTEN, STRINGS, FREQUENT = range(8)
 #: Bytes of a leading text whose anchors' contexts are dealt together.
 REGION = 2048
 
@@ -111,8 +111,11 @@ def _unsigned(x: np.ndarray) -> np.ndarray:
     return (x ^ np.int64(-1 << 63)).view(np.uint64)
 
 
-def _scan(path: str, shards: int, length: int, most: int = 2_000_000) -> Callable:
-    """Texts (_ord first, _text last) -> anchors for shards, what a task finds covered by itself, and the task's file."""
+def _scan(path: str, shards: int, length: int, many: int, most: int = 2_000_000) -> Callable:
+    """Texts (_ord first, _text last) -> anchors for shards, what a task finds covered by itself, and the task's file.
+
+    An anchor with more than `many` contexts here is frequent: its places stay, and its shard is told only that it is, so that none gets all places of one anchor.
+    """
     reach = length - K
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,6 +134,16 @@ def _scan(path: str, shards: int, length: int, most: int = 2_000_000) -> Callabl
                 rows.append((part % shards, COVERED, part, pack(_unsigned(o[again]), p[again])))
             keep = np.sort(order[first])
             v, c, o, p = v[keep], c[keep], o[keep], p[keep]
+            order = np.argsort(v, kind="stable")
+            cut = np.flatnonzero(np.append(True, v[order[1:]] != v[order[:-1]]))
+            n = np.diff(np.append(cut, len(v)))
+            frequent = np.zeros(len(v), bool)
+            frequent[order] = np.repeat(n > many, n)
+            if frequent.any():
+                rows.append((part % shards, OFTEN, part, pack(_unsigned(o[frequent]), p[frequent], np.zeros(frequent.sum(), np.uint64))))
+                for to, (cols,) in _dealt(_shard(names := v[order[cut[n > many]]], shards), [names]):
+                    rows.append((to, FREQUENT, part, pack(cols)))
+            v, c, o, p = v[~frequent], c[~frequent], o[~frequent], p[~frequent]
             for to, cols in _dealt(_shard(v, shards), [v, c, _unsigned(o), p]):
                 rows.append((to, ANCHORS, part, pack(*cols)))
             yield _batch(rows)
@@ -204,9 +217,11 @@ def _match(many: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for to, rows in _grouped(batches, "to"):
-            out, cols = [], []
+            out, cols, frequent = [], [], [np.zeros(0, np.uint64)]
             for kind, part, data in rows:
-                if kind == ANCHORS:
+                if kind == FREQUENT:
+                    frequent += unpack(data)
+                elif kind == ANCHORS:
                     v, c, o, p = unpack(data)
                     cols.append((v, c, _signed(o), p.astype(np.int64), np.full(len(v), part)))
                 else:
@@ -215,9 +230,9 @@ def _match(many: int) -> Callable:
                 v, c, o, p, part = (np.concatenate(x) for x in zip(*cols))
                 del cols
                 order = np.argsort(v)
-                s = v[order]
+                s, frequent = v[order], np.unique(np.concatenate(frequent))
                 same = s[1:] == s[:-1]
-                shared = order[np.append(same, False) | np.append(False, same)] if len(s) else order
+                shared = order[np.append(same, False) | np.append(False, same) | np.isin(s, frequent)] if len(s) else order
                 v, c, o, p, part = v[shared], c[shared], o[shared], p[shared], part[shared]
                 order, first = _firsts(v, c, o, p)
                 again = order[~first]
@@ -229,7 +244,8 @@ def _match(many: int) -> Callable:
                 sizes = np.repeat(np.diff(np.append(cut, len(v))), np.diff(np.append(cut, len(v)))) if len(v) else np.zeros(0, int)
                 first = np.lexsort((p, o, v))[cut]  # the least place of each anchor
                 leader = np.repeat(_mixed(_mixed(o[first].view(np.uint64)) + (p[first] // REGION).astype(np.uint64)), np.diff(np.append(cut, len(v)))) if len(v) else v
-                for kind, own in ((WANTED, (sizes > 1) & (sizes <= many)), (OFTEN, sizes > many)):
+                often = (sizes > many) | np.isin(v, frequent)
+                for kind, own in ((WANTED, (sizes > 1) & ~often), (OFTEN, often)):
                     own = np.flatnonzero(own)
                     for q, cols in _dealt(part[own], [_unsigned(o[own]), p[own], leader[own]]):
                         out.append((to, kind, q, pack(*cols)))
@@ -565,7 +581,7 @@ def covered_spans(docs: DataFrame, path: str, *, id_col: str, text_col: str, len
     rows = _numbered(docs, id_col, text_col)
     n = max(1, rows.rdd.getNumPartitions())
     shards = 2 * n
-    found = rows.mapInArrow(_scan(path, shards, length), ROWS)
+    found = rows.mapInArrow(_scan(path, shards, length, many), ROWS)
     found = stored(found.repartition(shards, "to").sortWithinPartitions("to").mapInArrow(_match(many), ROWS), "matched")
     shuffled = lambda df, k, key, f: df.repartition(k, key).sortWithinPartitions(key).mapInArrow(f, ROWS)
     contexts = shuffled(found.where(F.col("kind") == WANTED), n, "part", _cut(path, shards, length))
