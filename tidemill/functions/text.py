@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Phrases by which boilerplate is known, and those of short navigation texts.
@@ -49,15 +53,41 @@ def normalized(text: Column) -> Column:
 def shingles(text: Column, n: int = 3) -> Column:
     """Distinct character n-grams of the normalized text: shorter texts are one, empty ones none."""
 
-
     def grams(t: Column) -> Column:
-        # characters are split once: looking up the i-th in a string would start at its beginning each time
-        cut = let(F.split(t, ""), lambda cs: F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.array_join(F.slice(cs, i, n), "")))
+        # one scan: an empty match at each character, not at a surrogate pair's second half, with what follows captured
+        cut = F.regexp_extract_all(t, F.lit(rf"(?s)(?![\uDC00-\uDFFF])(?=(.{{{n}}}))"), F.lit(1))
         return F.when(F.length(t) >= n, F.array_distinct(cut)).when(t != "", F.array(t)).otherwise(F.array().cast("array<string>"))
 
     return let(normalized(text), grams)
 
 
+def with_shingle_codes(df: DataFrame, text: Column, out: str = "grams") -> DataFrame:
+    """df with the distinct character 3-grams of the normalized text as ascending numbers: three code points of 21 bits each, so equal for equal 3-grams only.
+
+    Shorter texts are one gram, empty and null ones none. The texts' characters are one vector, cut and sorted at once.
+    """
+    names = df.columns
+    rows = df.withColumn("_normal", normalized(F.coalesce(text, F.lit(""))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                grams = []
+                for t in b.column(b.num_columns - 1).to_pylist():
+                    c = np.frombuffer(t.encode("utf-32-le"), "<u4").astype(np.int64)
+                    if len(c) >= 3:
+                        grams.append(np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:]))
+                    else:
+                        grams.append(np.array([int(sum(int(x) << 21 * k for k, x in enumerate(c[::-1])))] if len(c) else [], np.int64))
+                ends = np.append(0, np.cumsum([len(g) for g in grams])).astype(np.int32)
+                values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(grams)))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], values], names=[*names, out])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return rows.mapInArrow(run, f"{kinds}, `{out}` array<bigint>")
+
+
 def words(text: Column) -> Column:
     """Runs of letters and digits: an approximation of Unicode's word boundaries that SQL can express."""
     return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
@@ -89,12 +119,24 @@ def seed_of(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
+#: There are that many different placeholder vectors.
+VECTORS = 2000
+
+
+def embeddings(spark: SparkSession, size: int = EMBEDDING_SIZE) -> DataFrame:
+    """(rest, vector): the placeholder vectors of texts whose seed_of() leaves that rest."""
+    return spark.range(VECTORS, numPartitions=1).select(F.col("id").alias("rest"), _unit(F.col("id"), size).alias("vector"))
+
+
+def _unit(seed: Column, size: int) -> Column:
+    raw = let(seed, lambda s: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: ((s % VECTORS + i) % VECTORS) / F.lit(1000.0) - 1))
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return let(raw, lambda v: let(norm(v), lambda m: F.transform(v, lambda x: F.when(m > 0, x / m).otherwise(x)))).cast("array<float>")
+
+
 def embedding(text: Column, size: int = EMBEDDING_SIZE) -> Column:
     """A placeholder vector of unit length from the text's hash; null for an empty text."""
-    raw = let(seed_of(text), lambda seed: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: ((seed % 2000 + i) % 2000) / F.lit(1000.0) - 1))
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    unit = let(raw, lambda v: let(norm(v), lambda m: F.transform(v, lambda x: F.when(m > 0, x / m).otherwise(x))))
-    return F.when(text != "", unit.cast("array<float>"))
+    return F.when(text != "", _unit(seed_of(text), size))
 
 
 def checked_embedding(vector: Column, size: int = EMBEDDING_SIZE, strict: bool = True) -> Column:

@@ -50,8 +50,15 @@ def _normalize(href: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([normalize(h, b) for h, b in zip(href, base)], dtype=object)
 
 
+#: Absolute URLs that the JVM's form covers: plain hosts and paths, parameters that need no coding.
+_PLAIN = r"^https?://[a-z0-9][a-z0-9.-]*(?:/[A-Za-z0-9_~-][A-Za-z0-9_~.-]*)*/?(?:\?[A-Za-z0-9_.~-]+=[A-Za-z0-9_.~-]*(?:&[A-Za-z0-9_.~-]+=[A-Za-z0-9_.~-]*)*)?(?:#.*)?$"
+
+
 def normalize_url(href: Column, base: Column) -> Column:
-    return F.pandas_udf(_normalize, "string")(href, base)
+    """normalize() of links: plain absolute ones in the JVM, so that Python sees the others only."""
+    plain = href.rlike(_PLAIN) & base.rlike(_PLAIN)
+    other = F.when(~F.coalesce(plain, F.lit(False)), href)
+    return F.when(plain, normalize_absolute(href)).otherwise(F.pandas_udf(_normalize, "string")(other, base))
 
 
 def part(url: Column, k: int) -> Column:

@@ -6,7 +6,9 @@ themselves, run per key over sorted rows in Arrow batches that are never gathere
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -238,8 +240,16 @@ def crawl_allowed(robots: Column, agent: Column, path: Column) -> Column:
 
 
 def allowed(robots: str, agent: str, path: str) -> bool:
-    import re
+    best = (-1, True)
+    for n, ok, rx in _rules(robots, agent):
+        if rx.match(path):
+            best = max(best, (n, ok))
+    return best[1]
 
+
+@lru_cache(maxsize=4096)
+def _rules(robots: str, agent: str) -> list[tuple[int, bool, re.Pattern]]:
+    """The rules (length, whether they allow, pattern) of a file that hold for an agent. A file is parsed once, however many paths are asked for."""
     own, every, to, fresh = [], [], [], True
     token = re.match(r"[a-zA-Z_-]*", agent)[0].lower()
     found = False
@@ -261,13 +271,11 @@ def allowed(robots: str, agent: str, path: str) -> bool:
                     rules.append((len(value), key == "allow", value))
         elif key:
             fresh = fresh or key != "crawl-delay"
-    best = (-1, True)
+    out = []
     for n, ok, pattern in own if found else every:
         end = pattern.endswith("$")
-        rx = ".*".join(map(re.escape, (pattern[:-1] if end else pattern).split("*")))
-        if re.match(rx + ("$" if end else ""), path):
-            best = max(best, (n, ok))
-    return best[1]
+        out.append((n, ok, re.compile(".*".join(map(re.escape, (pattern[:-1] if end else pattern).split("*"))) + ("$" if end else ""))))
+    return out
 
 
 def requests_per_second(delay_ms: Column) -> Column:
@@ -309,11 +317,21 @@ def keys(prefix: str, domain: Column, suffix: str | None = None) -> Column:
 # --- memory
 
 
-def pressure(samples: DataFrame, high: float = 90.0, low: float = 85.0, key: str | None = None) -> DataFrame:
-    """samples (ts, used_percent) with under_pressure: on above high, off below low, as before in between, off at the start. key: the host's column, if samples are of many."""
+def pressure(samples: DataFrame, high: float = 90.0, low: float = 85.0, key: str | None = None, order: tuple[str, ...] = ("ts",), bucket: str = "hour") -> DataFrame:
+    """samples (ts, used_percent) with under_pressure: on above high, off below low, as before in between, off at the start. key: the host's column, if samples are of many.
+
+    The state is the last mark, so it is found within each bucket of time, in parallel; what a bucket starts with is the last mark of those before, a look over one row a bucket.
+    """
+    own = [key] if key else []
     mark = F.when(F.col("used_percent") > high, True).when(F.col("used_percent") < low, False)
-    state = F.last(mark, ignorenulls=True).over((Window.partitionBy(key) if key else Window).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
-    return samples.withColumn("under_pressure", F.coalesce(state, F.lit(False)))
+    rows = samples.withColumn("_bucket", F.date_trunc(bucket, "ts")).withColumn("_mark", mark)
+    within = F.last("_mark", ignorenulls=True).over(Window.partitionBy(*own, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    ends = rows.where(F.col("_mark").isNotNull()).groupBy(*own, "_bucket").agg(F.max_by("_mark", F.struct(*order)).alias("_end"))
+    every = rows.select(*own, "_bucket").distinct().join(ends, [*own, "_bucket"], "left")
+    before = (Window.partitionBy(*own) if own else Window.partitionBy(F.lit(0))).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = every.select(*own, "_bucket", F.last("_end", ignorenulls=True).over(before).alias("_start"))
+    out = rows.withColumn("_state", within).join(starts, [*own, "_bucket"])
+    return out.withColumn("under_pressure", F.coalesce("_state", "_start", F.lit(False))).select(*samples.columns, "under_pressure")
 
 
 # --- keys with an end

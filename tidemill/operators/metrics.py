@@ -10,6 +10,12 @@ COUNTERS = {"requests_total": "status", "pages_processed_total": "content_type",
 GAUGES = {"crawlers_active": None, "throughput_mbps": None, "global_error_rate": None, "global_success_rate": None, "domain_ban_rate": "domain", "memory_usage_percent": None, "queue_depth": "queue"}
 HISTOGRAMS = {"request_duration_seconds": "path_type"}
 BOUNDS = [0.01, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
+HELP = {
+    "requests_total": "Requests by outcome", "pages_processed_total": "Pages by content type", "bytes_transferred_total": "Bytes by direction", "crawlers_active": "Crawlers at work", "throughput_mbps": "Throughput in Mbit/s",
+    "global_error_rate": "Share of failed requests", "global_success_rate": "Share of successful requests", "domain_ban_rate": "Share of bans by domain", "memory_usage_percent": "Memory in use", "queue_depth": "Entries by queue",
+    "request_duration_seconds": "Duration of requests",
+}
+FAMILIES = {k: (t, HELP[k], n) for t, own in (("counter", COUNTERS), ("gauge", GAUGES), ("histogram", HISTOGRAMS)) for k, n in own.items()}
 RANGES = {"global_error_rate": (0.0, 1.0), "global_success_rate": (0.0, 1.0), "domain_ban_rate": (0.0, 1.0), "memory_usage_percent": (0.0, 100.0)}
 
 
@@ -35,6 +41,13 @@ def histogram(log: DataFrame, bounds: list[float] | None = None) -> DataFrame:
     return got.select("metric", "label", F.inline("x"))
 
 
+def histogram_parts(log: DataFrame, bounds: list[float] | None = None) -> DataFrame:
+    """Histograms as the exposition has them: metric, label, part (bucket, sum, count), bound (null but for bounded buckets), value."""
+    buckets = histogram(log, bounds).select("metric", "label", F.lit("bucket").alias("part"), "bound", F.col("n").cast("double").alias("value"))
+    totals = log.where(F.col("metric").isin(*HISTOGRAMS)).groupBy("metric", "label").agg(F.sum("value").alias("sum"), F.count("*").cast("double").alias("count"))
+    return buckets.union(totals.select("metric", "label", F.inline(F.array(*[F.struct(F.lit(p).alias("part"), F.lit(None).cast("double").alias("bound"), F.col(p).alias("value")) for p in ("sum", "count")]))))
+
+
 def collected(events: DataFrame) -> DataFrame:
     """success_rate (1 without requests), error_rate, total_bytes. events: success, bytes."""
     n = events.agg(F.count("success").alias("n"), F.count_if("success").alias("won"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("total_bytes"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import EMBEDDING_SIZE, clamped, embedding, sentiment
+from ..functions.text import EMBEDDING_SIZE, VECTORS, clamped, embeddings, seed_of, sentiment
 
 SCHEMA = (
     "id string, url string, content_hash bigint, title string, text_content string, media_json string, embedding array<float>, sentiment_score double, "
@@ -53,9 +53,10 @@ def soft_deleted(records: DataFrame, which: Column, now: Column) -> DataFrame:
     return records.withColumn("updated_at", F.when(hit, now.cast("long")).otherwise(F.col("updated_at"))).withColumn("is_deleted", F.col("is_deleted") | hit)
 
 
-def upserted(records: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
-    """records, each replaced by the update of the same key."""
-    new = updates.select(F.col(key), F.struct(*updates.columns).alias("_new"))
+def upserted(records: DataFrame, updates: DataFrame, key: str = "id", order: str = "updated_at") -> DataFrame:
+    """records, each replaced by the last update of the same key: that with the greatest `order`, of equal ones that with the greatest hash of all its columns."""
+    last = F.max_by(F.struct(*updates.columns), F.struct(F.col(order), F.xxhash64(*[c for c in updates.columns if not c.startswith("_")])))
+    new = updates.groupBy(key).agg(last.alias("_new"))
     joined = records.select(F.col(key), F.struct(*records.columns).alias("_old")).join(new, key, "left")
     return joined.select(*[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}")).alias(c) for c in records.columns])
 
@@ -66,15 +67,30 @@ def missed(records: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame
 
 
 def enriched(records: DataFrame, now: Column, with_embedding: bool = True, with_sentiment: bool = True) -> DataFrame:
-    """records with what they lack, and error: why a record can't be enriched (then it stays as it is)."""
+    """records with what they lack, and error: why a record can't be enriched (then it stays as it is).
+
+    The placeholder vectors are 2,000, made once and joined by the text's remainder.
+    """
     text = F.coalesce(F.col("text_content"), F.lit(""))
     todo = needs_enrichment() & (text != "")
     new = {"error": F.when(needs_enrichment() & (text == ""), "Empty text"), "updated_at": F.when(todo, now.cast("long")).otherwise(F.col("updated_at"))}
     if with_embedding:
-        new["embedding"] = F.when(todo & F.col("embedding").isNull(), embedding(text)).otherwise(F.col("embedding"))
+        rest = F.when(todo & F.col("embedding").isNull(), seed_of(text) % VECTORS)
+        records = records.withColumn("_rest", rest).join(F.broadcast(embeddings(records.sparkSession).withColumnRenamed("rest", "_rest")), "_rest", "left")
+        new["embedding"] = F.coalesce(F.col("vector"), F.col("embedding"))
     if with_sentiment:
         new["sentiment_score"] = F.when(todo & F.col("sentiment_score").isNull(), clamped(sentiment(text), -1.0, 1.0)).otherwise(F.col("sentiment_score"))
-    return records.withColumns(new)
+    return records.withColumns(new).drop("_rest", "vector")
+
+
+def stored_counts(records: DataFrame) -> DataFrame:
+    """One row: count, enriched_count and deleted_count of a store's records; enriched are those that lack nothing."""
+    return records.agg(F.count("*").alias("count"), F.count_if(~needs_enrichment()).alias("enriched_count"), F.count_if("is_deleted").alias("deleted_count"))
+
+
+def worker_counts(enriched_records: DataFrame) -> DataFrame:
+    """One row: processed and errors, of what enriched() gave for records that lacked something."""
+    return enriched_records.agg(F.count_if(F.col("error").isNull()).alias("processed"), F.count_if(F.col("error").isNotNull()).alias("errors"))
 
 
 def media(url: Column, kind: str, alt: Column | None = None, width: int | None = None, height: int | None = None) -> Column:

@@ -110,7 +110,7 @@ def normalized_text(s, d):
 
 @query(f"SELECT doc_id, CAST(CASE WHEN length(t) < 3 THEN CASE WHEN t = '' THEN 0 ELSE 1 END ELSE len(list_distinct([substring(t, i, 3) FOR i IN range(1, length(t) - 1)])) END AS BIGINT) AS shingle_count FROM (SELECT doc_id, {NORMAL} AS t FROM documents)")
 def shingle_counts(s, d):
-    return _docs(s, d).select("doc_id", F.size(T.shingles(F.col("text"))).cast("long").alias("shingle_count"))
+    return T.with_shingle_codes(_docs(s, d).select("doc_id", "text"), F.col("text")).select("doc_id", F.size("grams").cast("long").alias("shingle_count"))
 
 
 def _lexicon(words: list[str]) -> str:
@@ -153,12 +153,40 @@ def dedup_exact(s, d):
     return dedup.first_levels(docs, "doc_id", "url", "content_hash").select("doc_id", "status")
 
 
-@query()
+# exact Jaccard similarity of the sets of 3-grams: candidates share one of their rarest 15 % of grams; then the greedy rule, document by document
+NEAR_SQL = f"""
+WITH RECURSIVE t AS (SELECT doc_id, text, {NORMAL} AS t FROM documents),
+g AS (SELECT doc_id, text, list_sort(CASE WHEN length(t) >= 3 THEN list_distinct([substring(t, i, 3) FOR i IN range(1, length(t) - 1)]) WHEN t <> '' THEN [t] ELSE [] END) AS grams FROM t),
+c AS (SELECT grams, len(grams) AS n, min(doc_id) AS k FROM g GROUP BY grams),
+d AS (SELECT doc_id, text, k FROM g JOIN c ON g.grams = c.grams),
+u AS (SELECT k, n, unnest(grams) AS gram FROM c),
+f AS (SELECT gram, count(*) AS df FROM u GROUP BY gram HAVING count(*) > 1),
+r AS (SELECT k, n, u.gram, row_number() OVER (PARTITION BY k ORDER BY coalesce(df, 0), u.gram) AS i FROM u LEFT JOIN f ON f.gram = u.gram),
+x AS (SELECT * FROM r WHERE i <= n - ceil(0.85 * n) + 1),
+m AS (SELECT DISTINCT p.k AS a, q.k AS b FROM x p JOIN x q ON p.gram = q.gram AND p.k < q.k AND least(p.n, q.n) >= 0.85 * greatest(p.n, q.n)),
+j AS (SELECT a, b, len(list_intersect(p.grams, q.grams)) AS s, p.n + q.n AS n FROM m JOIN c p ON p.k = a JOIN c q ON q.k = b),
+e AS (SELECT a, b, round(s / CAST(n - s AS DOUBLE), 6) AS similarity FROM j WHERE round(s / CAST(n - s AS DOUBLE), 6) >= 0.85),
+w AS (SELECT a, b, similarity FROM e UNION ALL SELECT b, a, similarity FROM e UNION ALL SELECT k, k, 1.0 FROM c),
+l AS (SELECT a, list(b) AS bs FROM w GROUP BY a),
+o AS (SELECT doc_id, k, bs, row_number() OVER (ORDER BY doc_id) AS i FROM d JOIN l ON l.a = d.k),
+z AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS classes, CAST(NULL AS BIGINT) AS kept UNION ALL
+  SELECT o.i, CASE WHEN list_has_any(z.classes, o.bs) THEN z.classes ELSE list_append(z.classes, o.k) END, CASE WHEN list_has_any(z.classes, o.bs) THEN NULL ELSE o.doc_id END FROM z JOIN o ON o.i = z.i + 1),
+y AS (SELECT d.doc_id, d.k, d.text FROM z JOIN d ON d.doc_id = z.kept),
+best AS (SELECT w.a AS k, min(y.doc_id) AS original_id, arg_min(w.similarity, y.doc_id) AS similarity FROM w JOIN y ON y.k = w.b GROUP BY w.a)
+SELECT d.doc_id AS seq, d.text AS text, y.doc_id IS NOT NULL AS kept, CASE WHEN y.doc_id IS NULL THEN original_id END AS original_id, CASE WHEN y.doc_id IS NULL THEN similarity END::DOUBLE AS similarity
+FROM d LEFT JOIN y ON y.doc_id = d.doc_id LEFT JOIN best ON best.k = d.k
+"""
+
+
+@query(f"SELECT seq, CASE WHEN kept THEN 'unique' ELSE 'near_duplicate' END AS status, original_id, similarity FROM ({NEAR_SQL})")
 def dedup_near(s, d):
     return dedup.near_duplicates(_docs(s, d).select(F.col("doc_id").alias("seq"), "text"))
 
 
-@query()
+@query(
+    f"WITH n AS (SELECT * FROM ({NEAR_SQL})), h AS (SELECT text, min(seq) AS first FROM n WHERE kept GROUP BY text) "
+    "SELECT seq, CASE WHEN kept THEN 'unique' WHEN first < seq THEN 'duplicate_hash' ELSE 'near_duplicate' END AS status, CASE WHEN NOT kept AND coalesce(first >= seq, true) THEN original_id END AS original_id, CASE WHEN NOT kept AND coalesce(first >= seq, true) THEN similarity END AS similarity FROM n LEFT JOIN h ON h.text = n.text"
+)
 def dedup_three_levels(s, d):
     docs = _docs(s, d).select(F.col("doc_id").alias("seq"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"), F.xxhash64("text").alias("content_hash"), "text")
     return dedup.check_and_index(docs)
@@ -453,8 +481,8 @@ MEMORY = "(SELECT ts, seq, least(value, 100.0) AS used FROM (SELECT ts, event_id
 
 @query(f"SELECT seq, coalesce(last_value(CASE WHEN used > 90 THEN true WHEN used < 85 THEN false END IGNORE NULLS) OVER (ORDER BY ts, seq ROWS UNBOUNDED PRECEDING), false) AS under_pressure FROM {MEMORY}")
 def memory_pressure(s, d):
-    m = _requests(s, d).select(F.struct("ts", "seq").alias("ts"), "seq", F.least("value", F.lit(100.0)).alias("used_percent"))
-    return events.pressure(m).select("seq", "under_pressure")
+    m = _requests(s, d).select("ts", "seq", F.least("value", F.lit(100.0)).alias("used_percent"))
+    return events.pressure(m, order=("ts", "seq")).select("seq", "under_pressure")
 
 
 @query(f"SELECT 'requests_total' AS metric, CASE WHEN success THEN 'success' ELSE 'failure' END AS label, CAST(count(*) AS DOUBLE) AS value FROM {REQUESTS} GROUP BY 2")
@@ -552,3 +580,9 @@ def console_entries(s, d):
 @query()
 def record_json(s, d):
     return _records(s, d).select("content_hash", json_line(False, "url", "title", "word_count", "embedding").alias("json"))
+
+
+from . import built  # noqa: E402  (its queries come after these)
+
+Q.update(built.Q)
+SQL.update(built.SQL)
