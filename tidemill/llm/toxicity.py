@@ -111,7 +111,7 @@ def fit(texts: list[bytes], toxic: list[bool], share: float | None = None, *, si
         return Classifier(b"", b"", size, level, (1.0, 2.0), np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.append(np.zeros(len(FEATURES)), np.log(p / (1 - p))))
     kinds = []
     for kind in (False, True):
-        own = [w for t, k in zip(texts, toxic) if k == kind for w in windows(t, size)]
+        own = sorted({w for t, k in zip(texts, toxic) if k == kind for w in windows(t, size)})  # what copies repeat counts once
         rng.shuffle(own)
         kinds.append(own)
     plain, bad = kinds
@@ -122,17 +122,19 @@ def fit(texts: list[bytes], toxic: list[bool], share: float | None = None, *, si
         rng.shuffle(bad)
         found.update(_trained(bad, toxic_bytes, 16).split())
     held = [Counter(), Counter()]
-    for t, k in zip(texts, toxic):
-        held[k].update(found.intersection(t.lower().split()))
-    n = [int((~y).sum()), int(y.sum())]
+    for k, own in enumerate(kinds):
+        for w in own:
+            held[k].update(found.intersection(w.split()))
+    n = [len(own) for own in kinds]
     kept = sorted((w for w in found if held[1][w] >= 3 and held[1][w] / n[1] > 8 * (held[0][w] + 0.5) / n[0]), key=lambda w: (held[1][w], w))
+    kept = [w for w in kept if 20 * held[1][w] >= held[1][kept[-1]]]
     model = Classifier(ordinary, b" " + b" ".join(kept) + b" " if kept else b"", size, level, (1.0, 2.0), np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(len(FEATURES) + 1))
     gains = [model.gains(windows(t, size)) for t in texts]
     first, second = np.quantile(np.concatenate([g for g, k in zip(gains, toxic) if not k]), [0.99, 0.999])
     model.thresholds = (max(2.0, float(first)), max(3.0, float(first) + 1, float(second)))
     x = np.array([model.features(g) for g in gains])
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
-    weight = np.where(y, share / n[1], (1 - share) / n[0]) * len(y)
+    weight = np.where(y, share / y.sum(), (1 - share) / (~y).sum()) * len(y)
     model.weights = _logistic((x - model.mean) / model.scale, y.astype(float), weight)
     return model
 
