@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chunks import ChunkConfig, chunk_array
-from ..functions.entities import EntityConfig, entity_map, entity_total
+from ..functions.entities import USUAL, entity_map, entity_total
 from ..functions.text import words, words_uax29
 from ..operators import pages as P
 
@@ -21,7 +21,7 @@ class RefineryConfig:
     least_paragraph_bytes: int = 20
     least_area_words: int = 25
     chunks: ChunkConfig = field(default_factory=ChunkConfig)
-    entities: EntityConfig = field(default_factory=EntityConfig)
+    entities: tuple[str, ...] = USUAL
     with_tables: bool = True
     with_entities: bool = True
     with_chunks: bool = True
@@ -37,7 +37,7 @@ def refine(pages: DataFrame, keys: list[str], config: RefineryConfig | None = No
     tables = P.scored_tables(F.col("raw_tables")) if c.with_tables else F.array().cast(TABLE)
     out = raw.select(*keys, P.content_struct(F.col("raw_content"), c.least_paragraph_bytes).alias("content"), P.metadata_struct(F.col("raw_head")).alias("metadata"), tables.alias("tables"))
     text = F.col("content.text")
-    out = out.withColumn("entities", entity_map(text, c.entities.types()) if c.with_entities else F.create_map().cast("map<string,array<string>>"))
+    out = out.withColumn("entities", entity_map(text, c.entities) if c.with_entities else F.create_map().cast("map<string,array<string>>"))
     found = F.when(text != "", chunk_array(text, (words_uax29 if c.exact_words else words)(text), c.chunks)).otherwise(F.array().cast(CHUNK)) if c.with_chunks else F.array().cast(CHUNK)
     out = out.withColumn("entity_count", entity_total(F.col("entities"))).withColumn("chunks", found)
     size = lambda x: F.size(x).cast("long")

@@ -63,7 +63,7 @@ def entities(s, d):
     return E.entity_rows(_docs(s, d), ["doc_id"], types=list(E.PATTERNS))
 
 
-@query(f"SELECT d.doc_id, count(e.value) AS entity_count FROM documents d LEFT JOIN ({_entity_sql(E.EntityConfig().types())}) e USING (doc_id) GROUP BY d.doc_id")
+@query(f"SELECT d.doc_id, count(e.value) AS entity_count FROM documents d LEFT JOIN ({_entity_sql(E.USUAL)}) e USING (doc_id) GROUP BY d.doc_id")
 def entity_counts(s, d):
     return E.entities_of(_docs(s, d)).select("doc_id", "entity_count")
 
@@ -452,9 +452,12 @@ def circuit_states(s, d):
     return events.circuit_states(counted, _requests(s, d).where("success").select("ts", "domain"), ttl=DAYS)
 
 
-@query()
+CIRCUIT = SQL["circuit_counts"]
+
+
+@query(f"SELECT CAST(e.ts AS TIMESTAMP) AS ts, c.seq AS seq, CAST(e.user_id AS VARCHAR) AS domain, 'https://d' || e.user_id || '.example.com/' || c.seq AS url FROM ({CIRCUIT}) c JOIN events e ON e.event_id = c.seq WHERE c.tripped")
 def render_queue(s, d):
-    return events.handed_over(events.failure_counts(_failures(s, d), ttl=DAYS))
+    return events.handed_over(events.failure_counts(_failures(s, d), ttl=DAYS)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query(f"SELECT domain, date_trunc('day', ts) AS second, count(*) AS n FROM {REQUESTS} GROUP BY 1, 2 HAVING count(*) > 3")
@@ -502,22 +505,29 @@ def metric_histogram(s, d):
     return metrics.histogram(r).select("label", "bound", "n")
 
 
-@query()
+@query("SELECT 'requests_total{status=\"' || label || '\"} ' || CAST(value AS VARCHAR) AS line FROM (" + SQL["metric_counters"] + ")")
 def metric_lines(s, d):
     return exposition(metric_counters(s, d), metrics.COUNTERS)
 
 
-@query()
+@query("SELECT event_id AS seq, CAST(CASE WHEN user_id % 3 = 0 THEN 1000 ELSE user_id % 5 * 1000 END AS BIGINT) AS standard_delay_ms, CAST(CASE WHEN user_id % 3 = 0 THEN 2000 ELSE user_id % 5 * 2000 END AS BIGINT) AS slow_path_delay_ms FROM events")
 def crawl_delays(s, d):
-    text = F.concat(F.lit("User-agent: *\nCrawl-delay: "), (F.col("seq") % 5).cast("string"), F.lit("\nDisallow: /private/"))
-    return _requests(s, d).select("seq", events.crawl_delay(text, "tidebot").alias("x")).select("seq", "x.*")
+    """Files for all agents with a delay of their own, and files for others only."""
+    r = _requests(s, d).withColumn("user", F.col("domain").cast("int"))
+    agent = F.when(F.col("user") % 3 == 0, "otherbot").otherwise("*")
+    text = F.concat(F.lit("# delays\r\nUser-agent: "), agent, F.lit("\nCrawl-delay: "), (F.col("user") % 5).cast("string"), F.lit("\nDisallow: /private/"))
+    return r.select("seq", events.crawl_delay(text, "tidebot").alias("x")).select("seq", "x.*")
 
 
-@query("SELECT event_id AS seq, user_id % 2 = 0 AS allowed FROM events")
+@query("SELECT event_id AS seq, CASE user_id % 4 WHEN 0 THEN event_id % 2 = 0 WHEN 1 THEN event_id % 2 = 0 OR event_id % 3 = 0 WHEN 2 THEN true ELSE event_id % 2 = 1 END AS allowed FROM events")
 def robots_rules(s, d):
-    r = _requests(s, d)
-    path = F.when(F.col("domain").cast("int") % 2 == 0, "/public/x").otherwise("/private/x")
-    return r.select("seq", events.crawl_allowed(F.lit("User-agent: *\nDisallow: /private/\n"), F.lit("tidebot"), path).alias("allowed"))
+    """Four files: a rule for all, a longer exception, a group of our own, and patterns with * and $."""
+    r = _requests(s, d).withColumn("file", F.col("domain").cast("int") % 4)
+    files = ["User-agent: *\nDisallow: /private/\n", "User-agent: *\nDisallow: /private/\nAllow: /private/a\n", "User-agent: *\nDisallow: /\n\nUser-agent: TideBot/2.0\nDisallow: /none\n", "User-agent: *\nDisallow: /p*c/*.html$\n"]
+    text = F.element_at(F.array(*[F.lit(x) for x in files]), F.col("file") + 1)
+    name = F.when(F.col("seq") % 3 == 0, "a.html").otherwise("x.html")
+    path = F.concat(F.when(F.col("seq") % 2 == 0, "/public/").otherwise("/private/"), name)
+    return r.select("seq", events.crawl_allowed(text, F.lit("tidebot"), path).alias("allowed"))
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS key, arg_max(event_type, ts) AS value FROM events GROUP BY user_id HAVING max(ts) > TIMESTAMP '2024-01-31' - INTERVAL '2 days'")
@@ -577,7 +587,7 @@ def console_entries(s, d):
     return console_logs(e.select("event_id", F.to_json(full).alias("log")), ["event_id"], "log")
 
 
-@query()
+@query("SELECT doc_id AS content_hash, '{\"url\":\"doc:' || doc_id || '\",\"title\":null,\"word_count\":' || len(regexp_extract_all(text, '\\S+')) || ',\"embedding\":null}' AS json FROM documents")
 def record_json(s, d):
     return _records(s, d).select("content_hash", json_line(False, "url", "title", "word_count", "embedding").alias("json"))
 
