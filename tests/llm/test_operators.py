@@ -87,7 +87,14 @@ def test_packing(docs, none):
             assert offset == at
             at += n
         assert at <= 64
-    assert len(bins) == len(set(bins)) and packing.pack_documents(none, path).count() == 0
+    # as many sequences as plain best-fit decreasing needs
+    gaps: list[int] = []
+    for n in sorted((n for own in bins.values() for _, n in own), reverse=True):
+        fit = min((g for g in gaps if g >= n), default=None)
+        if fit is not None:
+            gaps.remove(fit)
+        gaps.append((64 if fit is None else fit) - n)
+    assert len(bins) == len(gaps) and packing.pack_documents(none, path).count() == 0
 
 
 def test_packing_builds_sequences(docs):
@@ -396,6 +403,45 @@ def test_language_model(spark, docs, none):
     assert [r["train_tokens"] for r in kneser_ney.lm_scores(held, folds=1, fold=0).collect()] == [0]
 
 
+def test_warc_of_hot_payloads(spark):
+    """Payloads above the bound and below it are dealt differently, with equal results."""
+    rows = [(i, f"u{i}", ("<p>" + "abc"[i % 3] * 1200) if i % 4 else f"<p>{i}") for i in range(90)] + [(None, None, "<p>" + "b" * 1200)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = [sorted((r["page_id"] or -1, r["record_type"], r["refers_to"] or -1) for r in warc.assign(pages, many=m).collect()) for m in (5, 22, 100_000)]
+    assert got[0] == got[1] == got[2] and sum(x[1] == "revisit" for x in got[0]) == len(rows) - 23 - 3
+
+
+def test_very_long_texts(spark, tmp_path):
+    """A text beyond the slices and batches in which workers take texts, and a page beyond an archive's size."""
+    rng = random.Random(21)
+    parts = [sentence(2000, rng) for _ in range(9)]
+    long = " ".join(rng.choice(parts) for _ in range(1100))
+    assert len(long) > 8 << 20
+    rows = [(1, long), (2, parts[0]), (3, long[: 1 << 20])]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for path, make in ((public_tokenizers.path("byte_bpe_50k.json"), lambda p: rans.encoded(d, p, with_ids=True)),):
+        lib = Tokenizer.from_file(path)
+        got = by_id(make(path))
+        for i, t in rows:
+            want = b"".join(x.to_bytes(4, "little") for x in [*lib.encode(t, add_special_tokens=False).ids, 2])
+            assert bytes(got[i]["ids"]) == want
+    packed = packing.pack_documents(d, public_tokenizers.path("word_bpe_49k.json"))
+    per = by_id(packed.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("length").alias("most"), F.count("*").alias("pieces")))
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert all(per[i]["n"] == len(lib.encode(t, add_special_tokens=False).ids) + 1 and per[i]["most"] <= 2048 for i, t in rows)
+    assert {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeated(d.where("doc_id > 1")).collect()} == {i: n for i, _, n, _, _ in brute_repeats(rows[1:], 100)}
+    whole = by_id(substrings.remove_repeated(d))
+    assert whole[3]["n_removed"] == 1 << 20 and whole[1]["n_bytes"] == len(long)
+    leaks = by_id(decontam.find_leaks(d, spark.createDataFrame([(7, parts[0])], "item_id bigint, text string")))
+    assert leaks[2]["n_hit"] == 2000 == leaks[2]["n_words"] and leaks[1]["n_hit"] % 2000 == 0 < leaks[1]["n_hit"]
+    assert by_id(simhash.near_duplicates(d).select("doc_id", simhash.fingerprint_hex().alias("f")))[1]["f"] == f"{int(simhash.fingerprints_of([long.encode()])[0]):016x}"
+    assert by_id(kneser_ney.lm_scores(d, folds=7, fold=9))[1]["n_tokens"] == len(long.split()) + 1
+    assert by_id(licenses.scan_licenses(d))[1]["n_words"] == len(long.split()) == by_id(quality.judge_quality(d))[1]["n_words"]
+    assert len(toxicity.score_toxicity(d, spark.createDataFrame([(2, 1), (3, 0)], "doc_id bigint, toxic int")).collect()) == 3
+    page = spark.createDataFrame([(1, "u", long * 2), (2, "v", long * 2), (3, "w", "x")], "page_id bigint, url string, html string")
+    assert sorted((r["page_id"], r["record_type"], r["payload_bytes"]) for r in warc.archived(page).collect()) == [(1, "revisit", 2 * len(long)), (2, "response", 2 * len(long)), (3, "response", 1)]
+
+
 def test_warc_reads_what_was_ended(spark, tmp_path):
     """Archives that a lost attempt left behind are not read."""
     pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}" * 300) for i in range(40)], "page_id bigint, url string, html string")

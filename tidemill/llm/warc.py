@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, scratch, small_batches
+from .common import give_back, scratch, small_batches, stored
 
 SKIPPABLE = 0x184D2A5D
 DATE = "2024-01-01T00:00:00Z"
@@ -29,19 +29,24 @@ FILES, FILES_SCHEMA = "files", "file string, n long"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
-def assign(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 1000, salts: int = 16) -> DataFrame:
+def assign(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 1000, many: int = 100_000) -> DataFrame:
     """page_id, url, payload (binary), payload_digest, record_type, refers_to of each row of pages.
 
     Of rows with equal payloads of at least least_bytes, that with the largest page_id is the response, the others revisit
     it. A null payload is empty; a null url stays out of the record. Repeated rows with that largest page_id are the same record: each is a
-    response. A null page_id is never the largest, unless there is no other. Digests that many rows share are salted.
+    response. A null page_id is never the largest, unless there is no other. Digests that more rows share than `many`, or than a ten thousandth of
+    all rows, are at most ten thousand; they are broadcast, so their rows are not shuffled. The others go by digest.
     """
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("payload_digest", F.sha1("payload")).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
-    large = rows.where(F.octet_length("payload") >= least_bytes)
-    shared = large.groupBy("payload_digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "kept", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    rows = rows.withColumn("payload_digest", F.sha1("payload"))
+    large = rows.where(F.octet_length("payload") >= least_bytes).select("payload_digest", "page_id")
+    shared = stored(large.groupBy("payload_digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1"), "digests")
+    bound = max(many, rows.count() // 10_000)
+    hot = shared.where(F.col("n") > bound).select("payload_digest", F.col("kept").alias("hot_kept"), F.lit(True).alias("hot"))
     revisit = F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
-    out = rows.join(shared, ["payload_digest", "salt"], "left")
+    marked = rows.join(F.broadcast(hot), "payload_digest", "left")
+    found = marked.where("hot").select(*rows.columns, F.col("hot_kept").alias("kept"))
+    out = found.unionByName(marked.where("hot is null").select(*rows.columns).join(shared.where(F.col("n") <= bound).select("payload_digest", "kept"), "payload_digest", "left"))
     return out.select("page_id", "url", "payload", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("kept")).alias("refers_to"))
 
 
