@@ -105,3 +105,27 @@ def test_registered_queries(spark, sf, name):
     assert set(columns[op].split()) <= set(df.columns)
     n = table(spark, sf, "pages" if op == "op8" else "documents").count()
     assert df.count() >= n if op == "op2" else df.count() == n
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    """Nulls in all columns, empty texts, repeated rows, extra columns; and tables without rows."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, _kept string, spans string"
+    words = [f"w{i}x" for i in range(400)]
+    prose = [" ".join(words[(i * 37 + k * k) % 400] for k in range(150)) for i in range(6)]
+    rows = [(i, t, "en", "s", len(t), "a", "b") for i, t in enumerate(prose)] + [(1, prose[1], "en", "s", len(prose[1]), "a", "b"), (None, None, None, None, None, None, None), (7, "", None, None, 0, None, None), (8, None, "en", None, None, None, None), (None, prose[0] + " more of it", None, None, None, None, None)]
+    for name, docs in (("full", rows), ("none", [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(docs, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(None, None, 1), (1, 0, 0), (2, None, None)] if docs else [], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(None, " ".join(prose[3].split()[20:60])), (1, None), (2, "")] if docs else [], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+        got = P.run(spark, folder).collect()
+        assert bool(got) == bool(docs)
+        if docs:
+            # the row without an id comes first, so the text of 0, which it holds, is a repeat
+            assert {r["doc_id"] for r in got} >= {1, 2, 3, 4, 5} and 0 not in {r["doc_id"] for r in got} and sum(r["doc_id"] == 1 for r in got) == 1
+            assert all(r["offset"] + r["length"] <= 2048 for r in got)
+        stage = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, f in P.STAGES[:-1]:
+            stage = f(spark, stage, folder)
+            assert stage.columns == P.COLUMNS
+            stage.collect()
