@@ -582,8 +582,9 @@ def covered_spans(docs: DataFrame, path: str, *, id_col: str, text_col: str, len
     n = max(1, rows.rdd.getNumPartitions())
     shards = 2 * n
     found = rows.mapInArrow(_scan(path, shards, length, many), ROWS)
-    found = stored(found.repartition(shards, "to").sortWithinPartitions("to").mapInArrow(_match(many), ROWS), "matched")
-    shuffled = lambda df, k, key, f: df.repartition(k, key).sortWithinPartitions(key).mapInArrow(f, ROWS)
+    # shards and parts are numbered, so each is a partition of its own
+    shuffled = lambda df, k, key, f: df.repartitionById(k, F.pmod(F.col(key), F.lit(k))).sortWithinPartitions(key).mapInArrow(f, ROWS)
+    found = stored(shuffled(found, shards, "to", _match(many)), "matched")
     contexts = shuffled(found.where(F.col("kind") == WANTED), n, "part", _cut(path, shards, length))
     spans = shuffled(contexts, shards, "to", _resolve(length))
     often = stored(shuffled(found.where(F.col("kind") == OFTEN), n, "part", _cut_often(path, shards, length)), "often")
@@ -662,4 +663,4 @@ def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest]) + ", text string, kept binary, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>"
     n = max(1, docs.rdd.getNumPartitions())
-    return found.repartition(n, "part").sortWithinPartitions("part").mapInArrow(run, schema).toDF("doc_id", *others, *own[1:])
+    return found.repartitionById(n, F.pmod("part", F.lit(n))).sortWithinPartitions("part").mapInArrow(run, schema).toDF("doc_id", *others, *own[1:])
