@@ -92,6 +92,7 @@ def valid_area(pages: DataFrame, keys: list[str], least_words: int = 25, **optio
 
 # --- metadata
 
+# Fixed value: how dates are written in a text.
 DATE = r"(?U)(\d{4}[-/]\d{2}[-/]\d{2})|(\w+\s+\d{1,2},?\s+\d{4})"
 
 
@@ -186,6 +187,7 @@ def slow_path(pages: DataFrame, keys: list[str], **options) -> DataFrame:
 
 # --- head fingerprints, without a parse
 
+# Where a head's fields stand.
 HEAD = {
     "title": r"(?is)<title[^>]*>([^<]*)</title>",
     "description": r"""(?is)<meta[^>]*name\s*=\s*["']description["'][^>]*content\s*=\s*["']([^"']*)["']""",
