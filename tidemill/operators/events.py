@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 SEV1_RATE, SEV1_SECONDS, SEV3_RATE, LEAST, COOLDOWN = 0.5, 300, 0.9, 10, 300
 SEVERITY = {"GLOBAL_SUCCESS_RATE_LOW": "SEV-1", "DOMAIN_BAN_RATE_HIGH": "SEV-3", "MEMORY_PRESSURE": "SEV-2", "CIRCUIT_BREAKER_OPEN": "SEV-3", "RATE_LIMIT_EXCEEDED": "SEV-3", "CUSTOM_CRITICAL": "SEV-1", "CUSTOM_WARNING": "SEV-3"}
-ALERT = "ts timestamp, seq bigint, alert_type string, severity string, message string, context map<string,string>"
 
 
 def custom_type(name: str) -> str:
@@ -133,9 +132,13 @@ def warning(df: DataFrame, message: Column) -> DataFrame:
 def fired(alerts: DataFrame, cooldown: int = COOLDOWN) -> DataFrame:
     """The alerts that are sent: of one type none within `cooldown` seconds after one that was, whatever domain it told of.
 
-    Cooldowns chain, so each type is scanned in order; rows stream through, a type never has to fit in memory.
+    Cooldowns chain, so each type is scanned in order; rows stream through, a type never has to fit in memory. What is scanned are times only, of each
+    the first alert; as few are sent as periods fit into the time, and these are then looked up.
     """
-    rows = alerts.select("ts", "seq", "alert_type", "severity", "message", "context").repartition("alert_type").sortWithinPartitions("alert_type", "ts", "seq")
+    alerts = alerts.select("ts", "seq", "alert_type", "severity", "message", "context")
+    if cooldown <= 0:
+        return alerts
+    rows = alerts.groupBy("alert_type", "ts").agg(F.min("seq").alias("seq")).select("ts", "seq", "alert_type").repartition("alert_type").sortWithinPartitions("alert_type", "ts", "seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, last = None, None
@@ -149,7 +152,8 @@ def fired(alerts: DataFrame, cooldown: int = COOLDOWN) -> DataFrame:
                 keep.append(sent)
             yield b.filter(pa.array(keep))
 
-    return rows.mapInArrow(run, ALERT)
+    sent = rows.mapInArrow(run, "ts timestamp, seq bigint, alert_type string")
+    return alerts.join(sent, ["ts", "seq", "alert_type"], "left_semi").dropDuplicates(["ts", "seq", "alert_type"]).select("ts", "seq", "alert_type", "severity", "message", "context")
 
 
 def alert_stats(events: DataFrame) -> DataFrame:
