@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import textwrap
 import zlib
 
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemill.llm import components, decontam, kneser_ney, licenses, packing, quality, rans, simhash, substrings, toxicity, warc
+from tidemill.llm import components, decontam, kneser_ney, licenses, packing, quality, queries, rans, simhash, substrings, toxicity, warc
 
 RNG = random.Random(11)
 WORDS = ["".join(RNG.choice("abcdefgh") for _ in range(RNG.randint(1, 6))) for _ in range(300)]
@@ -196,6 +197,24 @@ def test_licenses(docs, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_license_query_counts_the_contract_phrases(spark, tmp_path):
+    """op4's exact columns, against a plain reading of the contract."""
+    phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    texts = [
+        None, "", "Released under the MIT License.", "the mit license, MIT LICENSE, MIT licence", "UNDER\nTHE * MIT-License under the mit license under the mit", "under the mit licenses; under the é mit license", "cc by nc cc by-NC cc BY nc-sa 4.0",
+        "Apache License, Version 2.0; apache license version 20; Apache\0License\tVersion\u00a02 apache_license_version_2", "x under the mit license apache license version 2 cc by nc", "under the MIT license " * 3000, *[t for t in TEXTS if t],
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = by_id(queries.op4_license_scan(spark, str(tmp_path)))
+    for i, t in enumerate(texts):
+        own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        at = [(k, label) for p, label in phrases.items() for k in range(len(own)) if own[k : k + len(p.split())] == p.split()]
+        places, labels = [k for k, _ in at], ",".join(sorted({x for _, x in at}))
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(own), len(at), min(places, default=None), max(places, default=None), labels), (i, t)
+        assert {x for _, x in at} <= set(r["labels"].split(","))
+
+
 def test_license_join_is_exact(spark):
     rng = random.Random(2)
     vocab = [f"w{i}" for i in range(12)]

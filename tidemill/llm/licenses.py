@@ -25,6 +25,8 @@ from .common import ALNUM, binary, slices, small_batches
 
 # Phrases that name a licence by themselves, and the notices that licences ask for.
 PHRASES = {"mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+#: The phrases that op4's contract counts.
+CONTRACT_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Between a licence and its version: up to 12 words that are no version, and other versions of which there is a choice.
 _TO_VERSION = r"(?:(?!gnu |version |v?\d)[^ ]+ ){0,12}(?:(?:version |v )*v?\d+ (?:[01] )?(?:or |and )+)*(?:version |v )*v?"
 

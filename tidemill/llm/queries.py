@@ -31,7 +31,7 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), phrases=licenses.CONTRACT_PHRASES).drop("matches")
 
 
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
