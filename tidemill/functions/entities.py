@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import ascii_borders
+
 # One pattern for each entity type. Digits and white space are Unicode's, written as classes that Java's and other regular expressions share;
 # \b tells ASCII words apart.
 PATTERNS = {
@@ -31,7 +33,7 @@ USUAL = tuple(t for t in PATTERNS if t not in ("ipv4", "credit_card", "ssn"))
 
 def matches(text: Column, kind: str) -> Column:
     """Distinct matches of one type, sorted."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(ascii_borders(PATTERNS[kind])), F.lit(0))))
 
 
 def entity_map(text: Column, types: Sequence[str] | None = None) -> Column:

@@ -34,6 +34,12 @@ def any_of(text: Column, words: list[str]) -> Column:
     return text.rlike("|".join(rf"\Q{w}\E" for w in words))
 
 
+def ascii_borders(pattern: str) -> str:
+    r"""The pattern with \b as a border of ASCII words on every Java: some take letters like n with a tilde for part of the word beside them."""
+    w = "[A-Za-z0-9_]"
+    return pattern.replace(r"\b", f"(?:(?<={w})(?!{w})|(?<!{w})(?={w}))")
+
+
 def is_boilerplate(text: Column) -> Column:
     low = F.lower(text)
     return any_of(low, BOILERPLATE) | ((F.octet_length(text) < NAVIGATION_BYTES) & any_of(low, NAVIGATION))
