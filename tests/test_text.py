@@ -107,3 +107,23 @@ def test_url_normalization(spark):
     for u in ["https://Example.com/a?b=1&a=2#x", "http://x.org", "https://x.org/s?ref=1", "https://x.org/s?a=1&a=2&utm_term=3"]:
         assert one(spark, u, urls.normalize_absolute) == n(u, u) == n(n(u, u), u)
     assert one(spark, "page", urls.normalize_absolute) is None
+
+
+def test_uax29_words_of_a_batch_take_little_memory(spark):
+    """The words are what they were, and a batch's words are no objects of their own in Python."""
+    import tracemalloc
+
+    import pandas as pd
+    import regex
+
+    odd = [None, "", "\n", "a\nb\r\nc\u2028d\x0be", "\n\u0345x", "\0\u0345 x\n\u0903", "can't 3.14 a_b \U0001d4d0 \u0e01\u0e32", " \u00e9\u0301l ", "x\u200dy\u200d\nz", "日本語 カタカナ"]
+    want = [[w for w in regex.split(r"(?w)\b", t or "") if regex.search(r"[\p{Alphabetic}\p{N}]", w)] for t in odd]
+    df = spark.createDataFrame(list(enumerate(odd)), "i int, t string").select("i", T.words_uax29(F.col("t")).alias("w"))
+    assert [r["w"] for r in df.orderBy("i").collect()] == want
+    texts = pd.Series(["some words of a text " * 1000] * 100)
+    T._cut_uax29(texts[:1])
+    tracemalloc.start()
+    got = T._cut_uax29(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 100 and peak < 3 * texts.str.len().sum()

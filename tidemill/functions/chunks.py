@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import let, words, words_uax29
+from .text import let, small_batches, words, words_uax29
 
 
 @dataclass(frozen=True)
@@ -60,7 +60,7 @@ def chunks(df: DataFrame, keys: list[str], text_col: str = "text", config: Chunk
     """One row for each chunk. exact: Unicode's word boundaries; else runs of letters and digits, all in the JVM."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     got = (words_uax29 if exact else words)(text)
-    return df.select(*keys, F.inline(chunk_array(text, got, config)))
+    return small_batches(df).select(*keys, F.inline(chunk_array(text, got, config)))
 
 
 def chunk_texts(df: DataFrame, keys: list[str], **options) -> DataFrame:

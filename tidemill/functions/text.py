@@ -34,6 +34,12 @@ def any_of(text: Column, words: list[str]) -> Column:
     return text.rlike("|".join(rf"\Q{w}\E" for w in words))
 
 
+def small_batches(df: DataFrame, most: str = "4m") -> DataFrame:
+    """df; from now on Arrow batches of its session have about that many bytes at most, so what a Python worker holds depends on no table's size. Results don't depend on it."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+    return df
+
+
 def ascii_borders(pattern: str) -> str:
     r"""The pattern with \b as a border of ASCII words on every Java: some take letters like n with a tilde for part of the word beside them."""
     w = "[A-Za-z0-9_]"
@@ -103,12 +109,17 @@ def _cut_uax29(text: pd.Series) -> pd.Series:
     import regex
 
     cut, alnum = regex.compile(r"(?w)\b"), regex.compile(r"[\p{Alphabetic}\p{N}]")
-    return text.map(lambda t: [] if t is None else [w for w in cut.split(t) if alnum.search(w)])
+    return text.map(lambda t: "" if t is None else "\n".join(w for w in cut.split(t) if alnum.search(w)))
 
 
 def words_uax29(text: Column) -> Column:
-    """Words by Unicode's default word boundaries, those with a letter or digit."""
-    return F.pandas_udf(_cut_uax29, "array<string>")(text)
+    """Words by Unicode's default word boundaries, those with a letter or digit.
+
+    Python gives a text's words as lines of one string (there is a boundary on both sides of every line end, so no word has one), and the JVM
+    makes the array: a batch takes about as much of Python's memory as its texts, and not an object for each word.
+    """
+    lines = F.pandas_udf(_cut_uax29, "string")(text)
+    return let(lines, lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, "\n")))
 
 
 def sentiment(text: Column) -> Column:
