@@ -112,6 +112,16 @@ def test_dedup(spark):
     assert dedup.bloom_size(100_000, 0.01) == (958_506, 7)
 
 
+def test_dedup_in_parts(spark, sf):
+    """Parts settle what the whole table does, with and without keys, and no table of pairs spans them."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("seq"), "text").limit(160)
+    d = d.union(d.where("seq % 5 = 0").select(F.col("seq") + 100_000, "text")).union(d.where("seq % 7 = 0").select(F.col("seq") + 200_000, F.concat("text", F.lit(" x"))))
+    d = d.select("seq", F.concat(F.lit("u"), (F.col("seq") % 150).cast("string")).alias("url"), F.when(F.col("seq") % 3 > 0, F.md5("text")).alias("content_hash"), "text").localCheckpoint()
+    for f in (dedup.near_duplicates, dedup.check_and_index):
+        got = [sorted(map(tuple, f(d, part=n).collect())) for n in (60, 10_000)]
+        assert got[0] == got[1] and len(got[0]) == d.count()
+
+
 def test_greedy_is_no_component(spark):
     ids = spark.createDataFrame([(i,) for i in range(1, 7)], "seq bigint")
     pairs = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.9), (3, 4, 0.9), (1, 5, 0.95), (3, 5, 0.9)], "a bigint, b bigint, similarity double")
