@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from tidemill.functions import fetch, links
+from tidemill.functions import text as T
 from tidemill.operators import dedup, events, metrics, records
 from tidemill.sources.io import console_logs
 
@@ -122,6 +123,36 @@ def test_dedup_in_parts(spark, sf):
         assert got[0] == got[1] and len(got[0]) == d.count()
 
 
+def test_dedup_sends_no_sets(spark):
+    """However alike the texts, neither sets, nor marks, nor pairs of documents go through a shuffle: parts are compared with kept documents where these lie."""
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60)]
+    rows = [(i, f"u{i}", i, " ".join(rng.choice(vocabulary) for _ in range(120))) for i in range(400)]
+    d = spark.createDataFrame(rows, "seq bigint, url string, content_hash bigint, text string")
+    shuffled = lambda: sum(spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(i).totalShuffleWrite() for i in range(spark.sparkContext._jsc.sc().statusStore().executorList(False).size()))
+    before = shuffled()
+    got = dedup.check_and_index(d, part=100).collect()
+    assert len(got) == 400 and shuffled() - before < sum(len(r[3]) for r in rows) / 4
+
+
+def test_dedup_like_a_loop(spark, sf):
+    """Against the greedy rule, document by document, over sets of 3-grams; also by signatures, which only must settle alike in any parts."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("seq"), "text")
+    d = d.union(d.where("seq % 4 = 0").select(F.col("seq") + 100_000, F.concat("text", F.lit(" y")))).localCheckpoint()
+    sets = {r["seq"]: frozenset(r["g"]) for r in d.select("seq", T.shingles(F.col("text")).alias("g")).collect()}
+    alike = lambda a, b: 1.0 if not a | b else round(len(a & b) / len(a | b), 6)
+    kept, want = [], {}
+    for i in sorted(sets):
+        near = next((k for k in kept if alike(sets[i], sets[k]) >= 0.85), None)
+        want[i] = ("unique", None, None) if near is None else ("near_duplicate", near, alike(sets[i], sets[near]))
+        if near is None:
+            kept.append(i)
+    got = {r["seq"]: (r["status"], r["original_id"], r["similarity"]) for r in dedup.near_duplicates(d, part=50).collect()}
+    assert got == want
+    by_signature = [sorted(map(tuple, dedup.near_duplicates(d, part=n, verify="signature").collect())) for n in (50, 10_000)]
+    assert by_signature[0] == by_signature[1] and len(by_signature[0]) == len(want)
+
+
 def test_greedy_is_no_component(spark):
     ids = spark.createDataFrame([(i,) for i in range(1, 7)], "seq bigint")
     pairs = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.9), (3, 4, 0.9), (1, 5, 0.95), (3, 5, 0.9)], "a bigint, b bigint, similarity double")
