@@ -537,6 +537,27 @@ def test_language_model_sums_to_one(spark):
         assert abs((10**base).sum() - 1) < 1e-9
 
 
+def test_language_model_looks_up_words_once(spark, monkeypatch):
+    """What a word is as a context is looked up once, not at each of its places; what is sent is sorted as one number."""
+    import numpy as np
+
+    from tidemill.llm.common import scratch
+
+    d = spark.createDataFrame([(i, " ".join(random.Random(i).choices(WORDS, k=60))) for i in range(20)], "doc_id long, text string")
+    m, asked, find = kneser_ney.train(d, scratch(spark, "ngrams")), [], kneser_ney._find
+    monkeypatch.setattr(kneser_ney, "_find", lambda arrays, prefix, key: asked.append((prefix, len(key))) or find(arrays, prefix, key))
+    texts = [r["text"].encode() for r in d.collect()]
+    n, *_ = m.score(texts, kneser_ney.Known(m))
+    assert sum(k for x, k in asked if x == "contexts2") <= len(WORDS) + 2
+    assert sum(k for _, k in asked) <= 3 * n.sum() + len(WORDS) + 2
+    columns = [np.array([5, 0, 5]), np.array([1, 2, 0]), np.array([3, 3, 3])]
+    key, bits = kneser_ney._joined(columns)
+    assert np.argsort(key).tolist() == [1, 2, 0] and bits == 3 and kneser_ney._joined([columns[0] << 30] * 2) is None
+    own = kneser_ney.WordNumbers()
+    words, sizes = own.of([b" A b\x1c\n\x0bb ", b"", b"\t", "Ä a\u00a0 a ".encode()])
+    assert words.tolist() == [2, 3, 4, 5, 6, 2] and sizes.tolist() == [3, 0, 0, 3]
+
+
 def test_language_model_misses_no_shard(spark, tmp_path):
     """A file that is gone is an error, not a count of zero; large counts are kept whole."""
     import numpy as np

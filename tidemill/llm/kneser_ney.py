@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 import zstandard
@@ -63,16 +64,20 @@ class WordNumbers(dict):
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of all words, how many each text has)."""
-        words: list[bytes] = []
-        sizes = []
-        for t in texts:
-            own = t.lower().split()
-            sizes.append(len(own))
-            words += own
-        out = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        # Arrow cuts the words and finds the distinct ones, and only these are looked up; its white space is that of bytes
+        cut = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.binary()).view(pa.string()))
+        words, sizes = cut.flatten(), cut.value_lengths().to_numpy().astype(np.int64)
+        full = pc.greater(pc.binary_length(words), 0)
+        if pc.any(pc.invert(full)).as_py():  # beside white space at an end
+            ends = np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False)))
+            after = np.cumsum(sizes)
+            words, sizes = words.filter(full), ends[after] - ends[after - sizes]
+        words = words.dictionary_encode()
+        own = words.dictionary.view(pa.binary()).to_pylist()
+        out = np.fromiter(map(self.__getitem__, own), np.int32, len(own))[words.indices.to_numpy()]
         if len(self.known) < len(self.hashes):
             self.known = np.append(self.known, np.array(self.hashes[len(self.known) :], np.uint64))
-        return out, np.array(sizes, np.int64)
+        return out, sizes
 
 
 def grams_of(words: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
@@ -86,6 +91,17 @@ def grams_of(words: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarra
     return [a[at - pad + j] for j in range(order)]
 
 
+def _joined(columns: list[np.ndarray]) -> tuple[np.ndarray, int] | None:
+    """(columns of numbers from 0 on side by side in one number, the first in the upper bits; bits of each); null if they don't fit into 63 bits."""
+    bits = max([1, *[int(c.max(initial=0)).bit_length() for c in columns]])
+    if bits * len(columns) > 63:
+        return None
+    key = columns[0].astype(np.int64)
+    for c in columns[1:]:
+        key = key << bits | c
+    return key, bits
+
+
 def gram_hash(columns: list[np.ndarray]) -> np.ndarray:
     """Of n-grams, given their words' hashes; equal for equal n-grams only, up to 64 bits."""
     x = columns[0]
@@ -150,7 +166,8 @@ def pack_grams(columns: list[np.ndarray], c: np.ndarray, hashes: np.ndarray) ->
     columns = [move[x] for x in columns]
     second = 0 if len(columns) > 2 else -1
     rest = [x for k, x in enumerate(columns) if k not in (second % len(columns), len(columns) - 2)]
-    by = np.lexsort([*rest, columns[second], columns[-2]])
+    key = _joined([columns[-2], *[columns[second]] * (len(columns) > 1), *rest])
+    by = np.argsort(key[0]) if key else np.lexsort([*rest, columns[second], columns[-2]])
     columns = [x[by] for x in columns]
     x, y = columns[-2], columns[second]
     columns[-2] = np.diff(x, prepend=0)
@@ -187,6 +204,8 @@ def summed(key: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
 
 def _dealt(to: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(number, places that have it)."""
+    if len(to) and to.min() >= -(1 << 15) and to.max() < 1 << 15:
+        to = to.astype(np.int16)  # sorted by radix
     by = np.argsort(to, kind="stable")
     to = to[by]
     cut = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, int)
@@ -224,19 +243,20 @@ def _hashed(prefix: str, key: np.ndarray, *values: tuple[str, np.ndarray]) -> di
 def _find(arrays: dict[str, np.ndarray], prefix: str, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places among key, places in the table) of the keys that the table has."""
     first, low = arrays[f"{prefix}.first"], arrays[f"{prefix}.low"]
+    by = np.argsort(key)  # so that the table is read from its beginning to its end
+    key = key[by]
     bits = (len(first) - 1).bit_length() - 1
     bucket = (key >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
     want = ((key >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     lo, end = first[bucket].astype(np.int64), first[bucket + 1].astype(np.int64)
-    hi = end.copy()
-    for _ in range(int((end - lo).max(initial=0)).bit_length()):
-        mid = (lo + hi) >> 1
-        less = (low[np.minimum(mid, len(low) - 1)] < want) & (mid < hi)
-        lo = np.where(less, mid + 1, lo)
-        hi = np.where(less, hi, mid)
+    for k in range(int((end - lo).max(initial=0)).bit_length() - 1, -1, -1):
+        mid = lo + ((1 << k) - 1)
+        less = low.take(mid, mode="clip") < want
+        less &= mid < end
+        lo += less.astype(np.int64) << k
     at = np.flatnonzero(lo < end)
     at = at[low[lo[at]] == want[at]]
-    return at, lo[at]
+    return by[at], lo[at]
 
 
 def _save(path: str, name: str, arrays: dict[str, np.ndarray]) -> None:
@@ -265,7 +285,7 @@ def _mapped(path: str, name: str) -> dict[str, np.ndarray]:
             while part := there.read(1 << 24):
                 f.write(part)
         f.flush()
-    whole = np.memmap(f, np.uint8, "r")
+    whole = np.memmap(f, np.uint8, "r").view(np.ndarray)  # which need not tell every part of it where it is mapped
     f.close()
     (n,) = struct.unpack("<Q", whole[:8].tobytes())
     at, out = 8 + n + -n % 8, {}
@@ -353,9 +373,11 @@ def _is_hot(word: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return hot[np.minimum(np.searchsorted(hot, word), len(hot) - 1)] == word
 
 
-def _to_shard(last_but_one: np.ndarray, gram: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
+def _to_shard(columns: list[np.ndarray], hot: np.ndarray, shards: int) -> np.ndarray:
     """Below `shards`: that of the last but one word; from there on, if this is hot, that of the n-gram."""
-    return np.where(_is_hot(last_but_one, hot), shards + shard_of(gram, shards), shard_of(last_but_one, shards))
+    to, warm = shard_of(columns[-2], shards), np.flatnonzero(_is_hot(columns[-2], hot))
+    to[warm] = shards + shard_of(gram_hash([x[warm] for x in columns]), shards)
+    return to
 
 
 def _count_grams(order: int, shards: int, shared, most: int = 2_000_000):
@@ -368,13 +390,20 @@ def _count_grams(order: int, shards: int, shared, most: int = 2_000_000):
         def flush():
             columns = [np.concatenate(x) for x in zip(*held)]
             hashes = numbers.known
-            g = gram_hash([hashes[x] for x in columns])
-            by = np.argsort(g)
-            g = g[by]
-            at = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-            c = np.diff(np.append(at, len(g)))
-            columns, g = [x[by[at]] for x in columns], g[at]
-            for s, own in _dealt(_to_shard(hashes[columns[-2]], g, hot, shards)):
+            if joined := _joined(columns):  # sorted by numbers: nothing is hashed or moved for each occurrence
+                key, bits = joined
+                key.sort()
+                at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                c, key = np.diff(np.append(at, len(key))), key[at]
+                columns = [(key >> bits * k & (1 << bits) - 1).astype(np.int32) for k in range(order - 1, -1, -1)]
+            else:
+                g = gram_hash([hashes[x] for x in columns])
+                by = np.argsort(g)
+                g = g[by]
+                at = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+                c = np.diff(np.append(at, len(g)))
+                columns = [x[by[at]] for x in columns]
+            for s, own in _dealt(_to_shard([hashes[x] for x in columns], hot, shards)):
                 yield _batch([(order, s, GRAMS, pack_grams([x[own] for x in columns], c[own], hashes))])
 
         for b in slices(batches):
@@ -544,6 +573,23 @@ class Model:
         for row, name in zip(stats, STATS):
             row[at[hit]] = _counts(f, f"contexts{k}.{name}", place)
 
+    def _left(self, k: int, stats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(occurrences of contexts, what the discounts leave for shorter endings)."""
+        d = self.discounts[k]
+        return stats[0], np.where(stats[0] > 0, (d[0] * stats[1] + d[1] * stats[2] + d[2] * stats[3]) / np.maximum(stats[0], 1), 1.0)
+
+    def after_word(self, w: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """_left() of words as contexts. shard: -1 of hot ones."""
+        u, stats = gram_hash([w]), np.zeros((4, len(w)), np.int64)
+        for s, at in _dealt(shard):
+            if s >= 0 and (f := self._file("own", s)) is not None:
+                self._contexts(f, 2, u[at], at, stats)
+        warm = np.flatnonzero(shard < 0)
+        for s, at in _dealt(shard_of(u[warm], self.shards)):
+            if (f := self._file("contexts2", s)) is not None:
+                self._contexts(f, 2, u[warm[at]], warm[at], stats)
+        return self._left(2, stats)
+
     def probabilities(self, columns: list[np.ndarray], known: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of n-grams of word numbers: (counts of the last words, their log10 base probabilities, probabilities after the words before)."""
         hashes, last = known.hashes, columns[-1]
@@ -560,15 +606,17 @@ class Model:
             for s, at in places:
                 if (f := self._file("own", s)) is not None:
                     self._grams(f, k, g[at], at, c)
-                    self._contexts(f, k, u[at], at, stats)
-            for kind, key, look, into in ((f"hot{k}", g, self._grams, c), (f"contexts{k}", u, self._contexts, stats)):
+                    if k > 2:
+                        self._contexts(f, k, u[at], at, stats)
+            for kind, key, look, into in ((f"hot{k}", g, self._grams, c), *[(f"contexts{k}", u, self._contexts, stats)] * (k > 2)):
                 for s, at in _dealt(shard_of(key[warm], self.shards)):
                     if (f := self._file(kind, s)) is not None:
                         look(f, k, key[warm[at]], warm[at], into)
-            d = self.discounts[k]
-            total = np.maximum(stats[0], 1)
-            left = np.where(stats[0] > 0, (d[0] * stats[1] + d[1] * stats[2] + d[2] * stats[3]) / total, 1.0)
-            p = np.where(stats[0] > 0, _lowered(c, d) / total, 0.0) + left * p
+            if k > 2:
+                total, left = self._left(k, stats)
+            else:  # the context is a word
+                total, left = known.total[columns[-2]], known.left[columns[-2]]
+            p = np.where(total > 0, _lowered(c, self.discounts[k]) / np.maximum(total, 1), 0.0) + left * p
         return count, base, p
 
     def score(self, texts: list[bytes], known: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -582,7 +630,7 @@ class Model:
 
 
 class Known:
-    """Numbered words of a worker, with what a model has of each: count, log10 base probability, probability without context, shard (-1: hot)."""
+    """Numbered words of a worker, with what a model has of each: count, log10 base probability, probability without context, shard (-1: hot), and as a context its occurrences and what they leave."""
 
     def __init__(self, model: Model, most: int = 300_000):
         self.model, self.numbers = model, WordNumbers(most)
@@ -590,8 +638,8 @@ class Known:
 
     def _fresh(self) -> None:
         self.numbers._fresh()
-        self.hashes = self.count = self.shard = np.zeros(0, np.int64)
-        self.base = self.alone = np.zeros(0)
+        self.hashes = self.count = self.shard = self.total = np.zeros(0, np.int64)
+        self.base = self.alone = self.left = np.zeros(0)
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if self.numbers.full:
@@ -604,7 +652,9 @@ class Known:
             self.count = np.append(self.count, count)
             self.base = np.append(self.base, np.log10((count + 0.5) / (m.n_tokens + 0.5 * (m.n_words + 1))))
             self.alone = np.append(self.alone, _lowered(continued, m.discounts[1]) / max(1, m.pairs) + m.rest / (m.n_words + 1))
-            self.shard = np.append(self.shard, np.where(_is_hot(new, m.hot), -1, shard_of(new, m.shards)))
+            shard = np.where(_is_hot(new, m.hot), -1, shard_of(new, m.shards))
+            total, left = m.after_word(new, shard)
+            self.shard, self.total, self.left = np.append(self.shard, shard), np.append(self.total, total), np.append(self.left, left)
         return out
 
 
