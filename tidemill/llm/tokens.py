@@ -9,6 +9,8 @@ from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 _GAP = re.compile(r" (?=\s|$)")
@@ -48,6 +50,10 @@ class ChunkEncoder:
         self.line = vocab.get(_BYTES[10])
         #: each id's bytes
         self.raw = [np.array(i, dtype).tobytes() for i in range(max(vocab.values(), default=0) + 1)]
+        #: each id's number of bytes, in byte-level vocabularies
+        self.sizes = np.zeros(len(self.raw), np.int64)
+        for token, i in vocab.items():
+            self.sizes[i] = len(token)
         self.seen: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.lines: dict[str, bytes] = {}
@@ -62,28 +68,45 @@ class ChunkEncoder:
         heads: set[str] = set()
         after: set[str] = set()
         tails: set[str] = set()
+        match = _SIMPLE.fullmatch
         for w in new:
-            if m := _SIMPLE.fullmatch(w):
+            if w.isascii() and w.isalpha():
+                heads.add(w)
+            elif m := match(w):
                 head, tail, line, last = parts = m.groups()
                 if head not in seen:
                     heads.add(head)
-                tails.add(tail)
                 if line:
                     if line not in lines:
                         after.add(line)
                     tails.add(last)
                 if tail or line:
+                    tails.add(tail)
                     cut.append((w, parts))
             else:
                 other.append(w)
-        self._alone(list(heads), " ", seen)
-        self._alone(list(after), "\n", lines)
+        together = self._together if self.kind == "led" else self._alone
+        together(list(heads), " ", seen)
+        together(list(after), "\n", lines)
         if tails := [x for x in tails if x not in self.tails]:
             self.tails.update(zip(tails, self._whole(tails)))
         ends = self.tails
         seen.update([(w, seen[a] + ends[b] + (lines[c] + ends[d] if c else b"")) for w, (a, b, c, d) in cut])
         seen.update(zip(other, self._whole([" " + w for w in other])))
 
+    def _together(self, words: list[str], lead: str, into: dict[str, bytes]) -> None:
+        """As _alone(), for byte-level tokenizers: a thousand words are one text, and the ids' bytes tell where each word's ids end."""
+        if not words:
+            return
+        chunks = [lead + lead.join(words[i : i + 1000]) for i in range(0, len(words), 1000)]
+        ids = np.concatenate([np.array(e.ids, self.dtype) for e in self.lib.encode_batch_fast(chunks, add_special_tokens=False)])
+        ends, want = np.cumsum(self.sizes[ids]), np.cumsum(pc.binary_length(pa.array(words, pa.string())).to_numpy().astype(np.int64) + 1)
+        at = np.searchsorted(ends, want)
+        if at[-1] != len(ids) - 1 or (ends[at] != want).any():  # a pattern that doesn't cut there
+            return self._alone(words, lead, into)
+        raw, to = ids.tobytes(), ((at + 1) * ids.itemsize).tolist()
+        into.update(zip(words, [raw[a:z] for a, z in zip([0, *to], to)]))
+
     def _alone(self, words: list[str], lead: str, into: dict[str, bytes]) -> None:
         """Ids of lead + word for words that are one pretoken each: straight from the library's model, on the word's byte alphabet."""
         tokenize, raw = self.lib.model.tokenize, self.raw
@@ -115,17 +138,20 @@ class ChunkEncoder:
         if len(self.lines) + len(self.tails) > self.keep // 2:
             self.lines.clear()
             self.tails = {"": b""}
-        cut = [t.split(" ") for t in texts]
-        firsts = [w[0] for w in cut]
-        if self.kind == "led":
-            for k, (t, w) in enumerate(zip(texts, cut)):
-                if "  " in t or _GAP.search(t):
-                    cut[k] = w = _joined(w)
-                    firsts[k] = w[0]
-        for w in cut:
-            del w[0]
+        odd = [k for k, t in enumerate(texts) if "  " in t or _GAP.search(t)] if self.kind == "led" else []
+        apart = [_joined(texts[k].split(" ")) for k in odd]
+        others = set(odd)
+        plain = [t for k, t in enumerate(texts) if k not in others] if odd else texts
+        # Arrow cuts the other texts and finds the distinct pieces, so only these are looked up one by one
+        cut = pc.split_pattern(pa.array(plain, pa.string()), " ")
+        pieces, sizes = cut.flatten(), cut.value_lengths().to_numpy().astype(np.int64)
+        later = np.ones(len(pieces), bool)
+        later[first := np.cumsum(sizes) - sizes] = False
+        firsts = pieces.take(pa.array(first)).to_pylist()
+        pieces = pieces.filter(pa.array(later)).dictionary_encode()
+        own = pieces.dictionary.to_pylist()
         seen = self.seen
-        new = [x for x in set().union(*cut) if x not in seen]
+        new = [x for x in own if x not in seen] + [x for x in set().union(*[w[1:] for w in apart]) if x not in seen]
         if new and self.old:
             old = self.old
             seen.update([(x, old[x]) for x in new if x in old])
@@ -133,8 +159,22 @@ class ChunkEncoder:
         if new:
             self._learn(new)
         get = seen.__getitem__
+        ids = list(map(get, own))
+        width = np.dtype(self.dtype).itemsize
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+        ids, at = np.frombuffer(b"".join(ids), self.dtype), pieces.indices.to_numpy()
+        from_, n = (np.cumsum(n) - n)[at], n[at]
+        to = np.cumsum(n)
+        ids = memoryview(ids[np.arange(int(n.sum())) + np.repeat(from_ - (to - n), n)].view(np.uint8))
+        ends = (np.append(0, to)[np.cumsum(sizes - 1)] * width).tolist()
         heads = iter(self._whole([f for f in firsts if f]))
-        return [(next(heads) if f else b"") + b"".join(map(get, w)) for f, w in zip(firsts, cut)]
+        out = [(next(heads) if f else b"") + ids[a:z] for f, a, z in zip(firsts, [0, *ends], ends)]
+        if odd:
+            heads = iter(self._whole([w[0] for w in apart if w[0]]))
+            others = iter(out)
+            told = {k: (next(heads) if w[0] else b"") + b"".join(map(get, w[1:])) for k, w in zip(odd, apart)}
+            out = [told[k] if k in told else next(others) for k in range(len(texts))]
+        return out
 
 
 @lru_cache(maxsize=2)
