@@ -18,21 +18,21 @@ from tidemill.llm.tokens import ChunkEncoder
 ALPHABET = ["a", "b", " ", "  ", "\n", "\t", " ", "　", "'s", "12", "é", "ß", "İ", "Σ", "é", "́", "!", "<|endoftext|>", "\0", "日本", "the", ".", "Fo.", "x\ny", "$$$"]
 
 
-def test_new_words_are_encoded_together():
-    """Words of a byte-level tokenizer go to the library a thousand at a time, and each gets the ids that it has alone."""
-    enc, alone = (ChunkEncoder(open(public_tokenizers.path("byte_bpe_50k.json")).read()) for _ in range(2))
-    rng = np.random.default_rng(4)
-    words = sorted({"".join(chr(c) for c in rng.choice([*range(97, 123), *range(192, 215), *range(65, 91)], rng.integers(1, 12))) for _ in range(3000)})
-    calls = []
-    enc._alone = lambda words, lead, into: calls.append(len(words))
-    text = " ".join(["x", *words, *[f"{w},\n{w}!" for w in words[::5]], "a  b", " c"])
-    assert enc.encode([text, "", text[:50]]) == [np.array(alone.lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in (text, "", text[:50])]
-    assert not calls
-    for lead in (" ", "\n"):
-        got, want = {}, {}
-        enc._together(words, lead, got)
-        alone._alone(words, lead, want)
-        assert got == want
+def test_pieces_are_looked_up_once():
+    """A batch's texts give each distinct piece to the dictionary once, however often it occurs."""
+    asked = []
+
+    class Told(dict):
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+
+    enc = ChunkEncoder(open(public_tokenizers.path("byte_bpe_50k.json")).read())
+    enc.seen = Told()
+    words = ["alpha", "bêta", "gamma,", "delta.\nEta", "42", "x"]
+    texts = [" ".join(words * 500), "", "  a  b", " ".join(words), "one"]
+    assert enc.encode(texts) == [np.array(enc.lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert len(asked) < 50
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
