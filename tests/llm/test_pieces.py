@@ -1,5 +1,6 @@
 """Small parts, without Spark."""
 
+import json
 import random
 
 import numpy as np
@@ -35,6 +36,44 @@ def test_pieces_are_looked_up_once():
     assert len(asked) < 50
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_are_encoded_once_whatever_signs_are_by_them(name):
+    """The library gets letters, digits and signs apart, each once, also in later batches; texts that must not be cut so have its ids all the same."""
+    asked = []
+
+    class Model:
+        def tokenize(self, text):
+            asked.append(text)
+            return lib.model.tokenize(text)
+
+    class Lib:
+        model = Model()
+
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return lib.encode_batch_fast(texts, **options)
+
+    enc = ChunkEncoder(open(public_tokenizers.path(name)).read())
+    lib, enc.lib = enc.lib, Lib()
+    words = ["alpha", "bêta", "Gamma", "delta", "éta", "Iota", "kappa", "x", "Ÿy", "Zürich"]
+    texts = [f"one {a}-{b}.\n{c}!" for a in words for b in words for c in ("7", *words)]
+    odd = ["a \n <|endoftext|> b", "a  <|endoftext|>b <|endoftext|", "a \u3000b \xa0c \u2014 d", "x \n\ny\n z", "it's,'s!'ll 'tis", "e\u0301,\u0301 =\u0338", "1²3½ \x85a \x1cb", " \n", " ", "\n", ""]
+    want = [np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts + odd]
+    assert enc.encode(texts) == want[: len(texts)]
+    assert len(asked) < 60
+    assert enc.encode(texts[::2]) == want[: len(texts) : 2]
+    assert len(asked) < 60
+    assert enc.encode(odd) == want[len(texts) :]
+
+
+@pytest.mark.parametrize("change", [{"normalizer": None}, {"normalizer": {"type": "NFC"}}, {"added_tokens": [{"id": 49407, "content": "abc", "single_word": False, "lstrip": False, "rstrip": False, "normalized": True, "special": False}]}])
+def test_other_tokenizers_are_not_cut(change):
+    """A tokenizer that is not just the one whose words are known gives the library's ids."""
+    enc = ChunkEncoder(json.dumps(json.load(open(public_tokenizers.path("word_bpe_49k.json"))) | change))
+    texts = ["Foo BAR foo", "Às, ÀB", "abc ABC xabcx. Abc"]
+    assert enc.encode(texts) == [np.array(enc.lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_library(name):
     enc = ChunkEncoder(open(public_tokenizers.path(name)).read(), keep=50)

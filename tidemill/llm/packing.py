@@ -136,7 +136,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec.value)
-        for batch in slices(batches):
+        for batch in slices(batches, 8 << 20):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
             for k, raw in enumerate(enc.encode(texts)):
